@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import mixing, packing, quality, toxicity
 from .common import table
 
 
@@ -17,6 +17,19 @@ def tokenizer_paths(name: str = "byte_bpe_50k") -> dict[str, str]:
     return {"path": public_tokenizers.path(f"{name}.json"), "ranks_path": public_tokenizers.path(f"{name}.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = toxicity.learn(toxicity.train_sample(docs, labels, third != 1))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits", "length")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs.select("doc_id", "text"), quality.trusted_sample(labels)).drop("text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.take(table(spark, sf_dir, "documents"))
     return mixing.in_order(out.select("doc_id", "size", "source_size", "target", "taken", "position", "position_2"), "position")
@@ -27,6 +40,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_quality": op5_quality,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
 }
