@@ -132,7 +132,8 @@ def learn(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, most_terms
             )
 
     rows = train.filter("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = stored(rows, "train")  # the bounded sample, read three times
+    # the bounded sample, read three times; copies of a text would lend their rare words false support
+    rows = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "train")
     size = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     n_toxic, n_clean = max(1, size[0]), max(1, size[1])
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
