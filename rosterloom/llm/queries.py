@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, toxicity
+from . import language, mixing, packing, quality, toxicity
 from .common import table
 
 
@@ -39,9 +39,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_paths())
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    quarter = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language.learn(language.sample(docs, quarter != 2))
+    out = language.predict(docs, model, ["doc_id"])
+    return out.select("doc_id", (quarter == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_quality": op5_quality,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
+    "op10_language": op10_language,
 }
