@@ -50,3 +50,23 @@ def words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def range_of(value: Column, cuts: list) -> Column:
+    """The number of sorted ``cuts`` at or under ``value``: a nested CASE of depth log2 of their number."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo).cast("long")
+        mid = (lo + hi) // 2
+        return F.when(value < cuts[mid], between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return between(0, len(cuts))
+
+
+def quantile_cuts(df: DataFrame, column: str, n: int) -> list:
+    """At most ``n - 1`` sorted distinct values that cut a number column in like parts (a bounded sketch)."""
+    if n < 2:
+        return []
+    found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000)).first()[0]
+    return sorted(set(found or []))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quantile_cuts, range_of, stored
 
 DIMS, BITS = 3, 10
 #: Tokens of a range on average: at most one short sequence for so many tokens.
@@ -147,11 +147,7 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
     rows = rows.withColumn("place", F.shiftleft("key", 31) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     n = max(1, min(10_000, round(total / range_tokens)))
-    cuts = []
-    if n > 1:
-        cuts = sorted(set(rows.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10_000)).first()[0]))
-    # place is cut at most 10,000 times: the cuts are a bounded sketch
-    spread = F.lit(0).cast("long") if not cuts else _range_of(F.col("place"), cuts)
+    cuts = quantile_cuts(rows, "place", n)
     word = "<u2" if _vocabulary(path) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,22 +170,10 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     parts = max(1, min(len(cuts) + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sorted_rows = rows.withColumn("range", spread).repartition(parts, "range").sortWithinPartitions("range", "place", "doc_id")
+    sorted_rows = rows.withColumn("range", range_of(F.col("place"), cuts)).repartition(parts, "range").sortWithinPartitions("range", "place", "doc_id")
     return sorted_rows.select("range", "doc_id", "ids").mapInArrow(run, PIECES)
 
 
-def _range_of(place, cuts: list[int]):
-    """The number of cuts at or under ``place``, by halving: a nested CASE of depth log2(cuts)."""
-
-    def between(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo).cast("long")
-        mid = (lo + hi) // 2
-        return F.when(place < cuts[mid], between(lo, mid)).otherwise(between(mid + 1, hi))
-
-    return between(0, len(cuts))
-
-
 def _vocabulary(path: str) -> int:
     from tokenizers import Tokenizer
 

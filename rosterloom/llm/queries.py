@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, toxicity
+from . import fingerprints, language, mixing, packing, quality, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), quality.trusted_sample(labels)).drop("text")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.take(table(spark, sf_dir, "documents"))
     return mixing.in_order(out.select("doc_id", "size", "source_size", "target", "taken", "position", "position_2"), "position")
@@ -50,6 +54,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_quality": op5_quality,
+    "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_language": op10_language,

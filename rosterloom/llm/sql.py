@@ -2,4 +2,94 @@
 
 from __future__ import annotations
 
+from .fingerprints import BOUNDS, ENOUGH, HIGH, LOW, TIER
+from .mixing import SCHEDULES, WEIGHTS
+
 SQL: dict[str, str] = {}
+
+_TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\x00-/:-@\[-`{{-\x7F]+'), lambda x: x <> ''))"
+
+_LIKE = f"""(select coalesce(max(same::double / used) filter (used >= {ENOUGH}), sum(same)::double / greatest(1, sum(used))) from (
+    select count(*) filter (x = y and x <> '-') as same, count(*) filter (x is distinct from '-' and x is not null or y is distinct from '-' and y is not null) as used from (
+      select unnest(string_split({{0}}, '.')) as x, unnest(string_split({{1}}, '.')) as y, unnest(range(greatest(len(string_split({{0}}, '.')), len(string_split({{1}}, '.'))))) as r)
+    group by r // {TIER}))"""
+
+SQL["op7_fingerprints"] = f"""
+with base as (
+  select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+nexts as (
+  select *, coalesce(lead(doc_id) over (order by doc_id), min(doc_id) over ()) as next_id,
+    coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next_text from base),
+texts as (
+  select *, left(text, (n - n // 4)::int) || left(next_text, (n // 4)::int) as edited from nexts),
+held as (
+  select term, count(*) as df from (select unnest({_TERMS.format("text")}) as term from base) group by term),
+lexicon as (
+  select term, [{", ".join(f"substring(md5(term || ':{r}'), 1, 3) < '{b}'" for r, b in enumerate(BOUNDS))}] as members from held
+  where df >= greatest(2, {LOW} * (select count(*) from base)) and df <= {HIGH} * (select count(*) from base)),
+both_texts as (
+  select doc_id, false as is_edited, text as t from texts union all select doc_id, true, edited from texts),
+found as (
+  select doc_id, is_edited, r, substring(md5(string_agg(term, ' ' order by term)), 1, 6) as part from (
+    select doc_id, is_edited, term, unnest(range({len(BOUNDS)})) as r, members from (
+      select b.doc_id, b.is_edited, l.term, l.members from (select doc_id, is_edited, unnest({_TERMS.format("t")}) as term from both_texts) b join lexicon l using (term)))
+  where members[r + 1] group by all),
+prints as (
+  select b.doc_id, b.is_edited, b.t, case when count(f.part) = 0 then 'whole:' || md5(any_value(b.t))
+    else string_agg(coalesce(f.part, '-'), '.' order by g.r) end as fingerprint
+  from both_texts b cross join range({len(BOUNDS)}) g(r) left join found f on f.doc_id = b.doc_id and f.is_edited = b.is_edited and f.r = g.r
+  group by b.doc_id, b.is_edited, b.t),
+joined as (
+  select x.doc_id, x.n as n_chars, sha256(x.edited) as edited_sha256, a.fingerprint, e.fingerprint as edited_fingerprint, o.fingerprint as next_fingerprint
+  from texts x join prints a on a.doc_id = x.doc_id and not a.is_edited join prints e on e.doc_id = x.doc_id and e.is_edited
+  join prints o on o.doc_id = x.next_id and not o.is_edited)
+select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  {_LIKE.format("fingerprint", "edited_fingerprint")} as near_edited,
+  {_LIKE.format("fingerprint", "next_fingerprint")} as near_next from joined
+"""
+
+
+def _when_trained(q: str) -> str:
+    """The inverse of the integrated schedules, at the part ``q`` of a source's demand."""
+    out = []
+    for k, knots in enumerate(SCHEDULES):
+        spans = list(zip(knots, knots[1:], strict=False))
+        areas = [(t1 - t0) * (a + b) / 2 for (t0, a), (t1, b) in spans]
+        total, done, cases = sum(areas), 0.0, ""
+        for ((t0, a), (t1, b)), area in zip(spans, areas, strict=True):
+            need, slope = f"({q} * {total!r}::double - {done!r}::double)", (b - a) / (t1 - t0)
+            at = f"{t0!r}::double + {need} / {a!r}::double" if slope == 0 else f"{t0!r}::double + (sqrt(greatest(0::double, {a * a!r}::double + {2 * slope!r}::double * {need})) - {a!r}::double) / {slope!r}::double"
+            done += area
+            cases += f" when {q} * {total!r}::double <= {done!r}::double then {at}"
+        out.append(f"when place % {len(SCHEDULES)} = {k} then (case{cases} else 1::double end)")
+    return f"least(1::double, greatest(0::double, case {' '.join(out)} end))"
+
+
+SQL["op8_mixing"] = rf"""
+with base as (
+  select doc_id, source, md5(coalesce(doc_id::varchar, '')) as k, text,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from base group by source),
+weighed as (
+  select *, [{", ".join(f"{w!r}::double" for w in WEIGHTS)}][place % {len(WEIGHTS)} + 1] as w, source_size * 2.0::double as cap from sources),
+summed as (
+  select *, sum(source_size) over () * 1.5::double as demand, sum(w) over () as w_all,
+    coalesce(sum(cap) over lower_caps, 0) as cap_before, coalesce(sum(w) over lower_caps, 0) as w_before
+  from weighed window lower_caps as (order by cap / w, place rows between unbounded preceding and 1 preceding)),
+levels as (
+  select *, case when (demand - cap_before) / (w_all - w_before) <= cap / w then (demand - cap_before) / (w_all - w_before) end as level from summed),
+targets as (
+  select source, source_size, place, least(cap, max(level) over () * w) as target from levels),
+placed as (
+  select b.doc_id, b.size, t.source_size, t.place, t.target, floor(t.target + 0.5)::bigint as goal,
+    (coalesce(sum(b.size) over (partition by b.source order by b.k, b.size, b.text rows between unbounded preceding and 1 preceding), 0))::bigint as start
+  from base b join targets t on b.source is not distinct from t.source),
+epochs as (
+  select *, greatest(0, least(size, goal - start)) as e0, greatest(0, least(size, goal - source_size - start)) as e1,
+    start / greatest(goal, 1)::double as q0, (start + source_size) / greatest(goal, 1)::double as q1 from placed)
+select doc_id, size, source_size, target, (e0 + e1)::bigint as taken,
+  case when e0 > 0 then {_when_trained("q0")} end as position,
+  case when e1 > 0 then {_when_trained("q1")} end as position_2
+from epochs
+"""
