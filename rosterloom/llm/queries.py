@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing, quality, toxicity
-from .common import table
+from . import fingerprints, language, mixing, packing, quality, sharding, toxicity, urls
+from .common import new_path, table
 
 
 def tokenizer_paths(name: str = "byte_bpe_50k") -> dict[str, str]:
@@ -25,6 +25,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits", "length")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in 16 batches, are compacted, and are read back through the manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.Store(spark, new_path(spark, "store"), docs.schema)
+    store.append(docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(16))), by="batch")
+    store.compact_fully()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge(docs.select("doc_id", "text"), quality.trusted_sample(labels)).drop("text")
@@ -53,6 +66,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_sharding": op3_sharding,
+    "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
