@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing, quality, sharding, toxicity, urls
+from . import fingerprints, language, linededup, mixing, packing, quality, sharding, toxicity, urls
 from .common import new_path, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_paths(name: str = "byte_bpe_50k") -> dict[str, str]:
     return {"path": public_tokenizers.path(f"{name}.json"), "ranks_path": public_tokenizers.path(f"{name}.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
@@ -65,6 +69,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_urls": op4_urls,
