@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, linededup, mixing, packing, quality, sharding, toxicity, urls
+from . import fingerprints, jaccard, language, linededup, mixing, packing, quality, sharding, toxicity, urls
 from .common import new_path, table
 
 
@@ -47,6 +47,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), quality.trusted_sample(labels)).drop("text")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("tie")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
+    "op6_jaccard": op6_jaccard,
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def line_dedup(docs: list[tuple], min_words: int) -> dict:
     """(doc_id, text) in order → doc_id → text: every run of enough words that occurs earlier is deleted."""
@@ -27,3 +29,39 @@ def line_dedup(docs: list[tuple], min_words: int) -> dict:
             keep += [] if drop else [x]
         out[d] = "\n".join(keep)
     return out
+
+
+def shingles(text: str | None, size: int = 5) -> frozenset:
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)])
+
+
+def jaccard_classes(docs: list[tuple], threshold: float = 0.8) -> dict:
+    """(doc_id, text) → doc_id → (class_id, n_links), by all pairs of distinct texts."""
+    texts = sorted({t for _, t in docs if shingles(t)})
+    sets = [shingles(t) for t in texts]
+    links = [set() for _ in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                links[i].add(j), links[j].add(i)
+    of = {t: i for i, t in enumerate(texts)}
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, ls in enumerate(links):
+        for j in ls:
+            root[find(i)] = find(j)
+    least: dict = {}
+    for d, t in docs:
+        if t in of:
+            r = find(of[t])
+            least[r] = min(d, least.get(r, d))
+    return {d: (least[find(of[t])], len(links[of[t]])) if t in of else (d, 0) for d, t in docs}
