@@ -1,19 +1,56 @@
-"""The training-corpus pipeline: stages over ``documents``, each written and read again."""
+"""The training-corpus pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rosterloom.llm import jaccard, linededup, mixing, packing, quality
+from rosterloom.llm.common import SPACE, stored, table
+from rosterloom.llm.queries import tokenizer_paths
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the likelihood ratio reject go."""
+    return quality.kept_documents(docs, quality.trusted_sample(table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go; so do documents that held nothing else."""
+    out = linededup.dedup(docs)
+    emptied = (F.col("lines_removed") > 0) & (F.btrim("text", F.lit(SPACE)) == "")
+    return out.filter(~emptied).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy that the mix takes, in the order of training."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack(docs, **tokenizer_paths())
+
 
-from rosterloom.llm.common import stored
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("mixing sources to target weights", mix), ("packing", pack)]
 
-STAGES: list = []
+#: SQL has neither the sampled joins nor the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{k}")
+            docs = stored(docs, f"pipeline-{k}")
     return docs
