@@ -42,7 +42,8 @@ NOT_TERM = r"[\x00-/:-@\[-`{-\x7F]+"
 
 def terms(text: Column) -> Column:
     """Distinct lower-case terms: runs of ASCII letters and digits and of all other characters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), NOT_TERM), lambda x: x != ""))
+    # array_distinct compares each string with every other one; neighbours in sorted order don't
+    return F.flatten(F.transform(F.array(F.sort_array(F.split(F.lower(text), NOT_TERM))), lambda s: F.filter(s, lambda x, i: (x != "") & ((i == 0) | (x != F.get(s, i - 1))))))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -54,6 +55,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     members = bits[0]
     for b in bits[1:]:
         members = members.bitwiseOR(b)
+    # a filter on the term alone would move below the count, and hash every word of every text
+    members = F.when(F.col("count") > 0, members)
     return held.select("term", members.alias("members")).filter("members <> 0")
 
 
