@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,18 @@ def quantile_cuts(df: DataFrame, column: str, n: int) -> list:
         return []
     found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000)).first()[0]
     return sorted(set(found or []))
+
+
+def protected(docs: DataFrame, needed: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``step`` with all columns but the needed ones under names that can't clash.
+
+    Afterwards they have their own names again; one whose name the step
+    computes gives way to the computed column.
+    """
+    names = docs.columns
+    inner = [c if c in needed else f"__in{k}__" for k, c in enumerate(names)]
+    out = step(docs.toDF(*inner))
+    made = [c for c in out.columns if c not in inner]
+    taken = {c.lower() for c in made}
+    kept = [F.col(i).alias(c) for i, c in zip(inner, names, strict=True) if i in out.columns and c.lower() not in taken]
+    return out.select(*kept, *made)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import stored
+from .common import protected, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -369,11 +369,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, class_id, n_links) of every document.
+    """(doc_id, tie, class_id, class_tie, n_links) of every document.
 
     ``class_id`` is the least doc_id of the class; ``n_links`` the number of
     other distinct texts linked to the document's text; ``tie`` the hash of the
-    text, which with doc_id names the row.
+    text, which with doc_id names the row, as class_tie and class_id name the
+    first row of the class.
     """
     rows = stored(sketched(docs), "sketches")
     full = rows.filter("node is not null")
@@ -387,18 +388,22 @@ def join(docs: DataFrame) -> DataFrame:
     links = stored(verified(near.join(sets_of(docs, wanted), "node")), "links")
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(links.select("node", "root"), "node", "root")
-    least = nodes.join(classes, "node", "left").select("node", "weight", F.col("at.doc_id").alias("doc_id"), F.coalesce("component", "node").alias("component")).join(degree, "node", "left")
-    named = least.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    facts = least.join(named, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = full.select("doc_id", "tie", "node").join(facts, "node").select("doc_id", "tie", "class_id", "n_links")
-    return out.unionByName(rows.filter("node is null").select("doc_id", "tie", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    least = nodes.join(classes, "node", "left").select("node", "weight", "at", F.coalesce("component", "node").alias("component")).join(degree, "node", "left")
+    named = least.groupBy("component").agg(F.min("at").alias("first"))
+    facts = least.join(named, "component").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.tie").alias("class_tie"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = full.select("doc_id", "tie", "node").join(facts, "node").select("doc_id", "tie", "class_id", "class_tie", "n_links")
+    return out.unionByName(rows.filter("node is null").select("doc_id", "tie", F.col("doc_id").alias("class_id"), F.col("tie").alias("class_tie"), F.lit(0).cast("long").alias("n_links")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, one of each class: that of the least doc_id, then of the least text hash; one of repeated rows."""
+    return protected(docs, ("doc_id", "text"), _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     found = stored(join(docs), "classes")
-    first = found.filter("doc_id = class_id or class_id is null").groupBy("class_id").agg(F.min(F.struct("doc_id", "tie")).alias("k"))
-    keys = first.select(F.col("k.doc_id").alias("_d"), F.col("k.tie").alias("_t"))
+    own = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))
+    keys = found.filter(own).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct()
     keyed = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_t": F.xxhash64("text")})
     kept = keyed.join(keys, keyed["_d"].eqNullSafe(keys["_d"]) & (keyed["_t"] == keys["_t"]), "left_semi")
     return kept.dropDuplicates(["_d", "_t"]).drop("_d", "_t")

@@ -25,8 +25,8 @@ later occurrences.
 Nulls: a null text has no lines and stays null.  Lines without a word are not
 part of runs; one goes if the next lines with words on both sides go.  Rows equal in doc_id
 and text are one document: each gets the same result.  An empty table gives an
-empty result.  Extra columns are kept; a clash with the names of computed
-columns raises ``ValueError``.
+empty result.  Extra columns are kept; one with the name of a computed column
+gives way to it.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import protected, stored
 
 MIN_WORDS = 20
 BLOCKS = 1024
@@ -175,8 +175,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``n_chars`` follows the new text where the table has it.
     """
-    if clash := set(COMPUTED) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are computed here")
+    return protected(docs, ("doc_id", "text", "n_chars"), lambda d: _dedup(d, min_words))
+
+
+def _dedup(docs: DataFrame, min_words: int) -> DataFrame:
     runs = deletions(docs, min_words).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs"))
     joined = docs.join(runs, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.xxhash64("text") == F.col("_tie")), "left")
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lines_removed int", "words_removed int"])

@@ -18,8 +18,8 @@ source (keyed by the leading digits of a hash), then inside each block.
 Nulls: a null or empty text has size 0 and is taken 0 times; a null source is a
 source of its own, last in order.  Repeated rows are separate documents; they
 tie, and which of two equal rows comes first doesn't change the result.  An
-empty table gives an empty result.  Extra columns are kept; a clash with the
-names of computed columns raises ``ValueError``.
+empty table gives an empty result.  Extra columns are kept; one with the
+name of a computed column gives way to it in ``take``, and stays in ``mixed``.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RX, WORD_RX, partitions
+from .common import SPACE, SPACE_RX, WORD_RX, partitions, protected
 
 WEIGHTS = (5.0, 2.0, 1.0)
-COMPUTED = ("size", "source_size", "target", "taken", "position", "position_2")
+NEEDED = ("doc_id", "text", "source", "n_chars")
 
 #: (time, relative weight) knots of the schedules, by the place of the source in order, repeating.
 SCHEDULES = (
@@ -76,8 +76,10 @@ def take(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: float
     ``position_2`` the time of its second copy (null: none).  ``digits``: each
     source is summed in 16 ** digits blocks.
     """
-    if clash := set(COMPUTED) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are computed here")
+    return protected(docs, NEEDED, lambda d: _take(d, weights, share, max_epochs, schedules, digits))
+
+
+def _take(docs: DataFrame, weights, share: float, max_epochs: float, schedules, digits: int) -> DataFrame:
     keys = {
         "size": n_words(F.col("text")),
         "_source": F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source"))),
@@ -138,6 +140,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A document taken in part keeps its first words, up to the number taken.
     """
+    return protected(docs, NEEDED, lambda d: _mixed(d, **options))
+
+
+def _mixed(docs: DataFrame, **options) -> DataFrame:
     t = take(docs, **options)
     first = F.least(F.col("size"), F.col("taken"))
     copies = F.array_compact(F.array(

@@ -48,7 +48,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).drop("tie")
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("tie", "class_tie")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
