@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.llm import jaccard, linededup, mixing, packing, quality
-from rosterloom.llm.common import SPACE, stored, table
+from rosterloom.llm.common import SPACE, protected, stored, table
 from rosterloom.llm.queries import tokenizer_paths
 
 
@@ -21,9 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; so do documents that held nothing else."""
-    out = linededup.dedup(docs)
-    emptied = (F.col("lines_removed") > 0) & (F.btrim("text", F.lit(SPACE)) == "")
-    return out.filter(~emptied).select(*docs.columns)
+
+    def step(d: DataFrame) -> DataFrame:
+        emptied = (F.col("lines_removed") > 0) & (F.btrim("text", F.lit(SPACE)) == "")
+        return linededup.dedup(d).filter(~emptied).select(*d.columns)
+
+    return protected(docs, ("doc_id", "text", "n_chars"), step)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,19 +16,19 @@ def with_count(df: DataFrame, keys: Sequence[str], out: str = "n", others: bool
 
 
 def by_group_size(df: DataFrame, keys: Sequence[str], size: int = 1, keep: bool = True) -> DataFrame:
-    hit = F.col("_n") == size
-    return with_count(df, keys, "_n").filter(hit if keep else ~hit).drop("_n")
+    hit = F.col("__count") == size
+    return with_count(df, keys, "__count").filter(hit if keep else ~hit).drop("__count")
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], accept: Column | None = None) -> DataFrame:
     """The first row per key; ``accept`` is asked of that row only, so a key can end up without one."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter((F.col("_rn") == 1) & (accept if accept is not None else F.lit(True))).drop("_rn")
+    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter((F.col("__rn") == 1) & (accept if accept is not None else F.lit(True))).drop("__rn")
 
 
 def later_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The duplicates after the first."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn > 1").drop("_rn")
+    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn > 1").drop("__rn")
 
 
 def fill(df: DataFrame, names: Sequence[str], keys: Sequence[str], order: Sequence[Column], direction: str = "down") -> DataFrame:
@@ -58,7 +58,7 @@ def extreme_rows(df: DataFrame, keys: Sequence[str], value: str, largest: bool =
     """Rows equal to the group's extreme; ``also`` filters after the extreme is taken."""
     w = Window.partitionBy(*keys)
     at = (F.max if largest else F.min)(value).over(w)
-    return df.withColumn("_x", at).filter((F.col(value) == F.col("_x")) & (also if also is not None else F.lit(True))).drop("_x")
+    return df.withColumn("__extreme", at).filter((F.col(value) == F.col("__extreme")) & (also if also is not None else F.lit(True))).drop("__extreme")
 
 
 def random_row(df: DataFrame, keys: Sequence[str], unique: Sequence[str], seed: int = 1) -> DataFrame:
@@ -84,8 +84,8 @@ def surrogate_key(df: DataFrame, order: Sequence[str], out: str = "row_id") -> D
 def changes(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], out: str = "changes") -> DataFrame:
     """How often a value differs from the row before, nulls left out."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    step = df.withColumn("_c", (F.col(value) != F.lag(value).over(w)).cast("int"))
-    return step.withColumn(out, F.coalesce(F.sum("_c").over(Window.partitionBy(*keys)), F.lit(0))).drop("_c")
+    step = df.withColumn("__step", (F.col(value) != F.lag(value).over(w)).cast("int"))
+    return step.withColumn(out, F.coalesce(F.sum("__step").over(Window.partitionBy(*keys)), F.lit(0))).drop("__step")
 
 
 def first_known(value: str, keys: Sequence[str], order: Sequence[Column]) -> Column:
@@ -100,8 +100,8 @@ def once_per_group(df: DataFrame, value: str, keys: Sequence[str], order: Sequen
 
 def first_or(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cond: Column) -> DataFrame:
     """The first row per key, and all rows that meet a condition."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter((F.col("_rn") == 1) | cond).drop("_rn")
+    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter((F.col("__rn") == 1) | cond).drop("__rn")
 
 
 def number_by_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
