@@ -82,3 +82,17 @@ def dense_ids(keys: DataFrame, order: list, out: str, parts: int | None = None)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ranged.join(F.broadcast(offsets.select("_p", "_before")), "_p")
     return placed.withColumn(out, (F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).cast("long")).drop("_p", "_before")
+
+
+def merge_with_names(df: DataFrame, row: str, cluster: str, name_group: str, noise: str, out: str = "group_id") -> DataFrame:
+    """Clusters merged with same-name groups; noise points get an id of their own unless a name links them.
+
+    ``source`` tells what made a group: cluster, names, both or noise.
+    """
+    base = df.withColumn("__c", F.when(F.coalesce(F.col(noise), F.lit(False)), F.concat(F.lit("p"), F.col(row).cast("string"))).otherwise(F.concat(F.lit("c"), F.col(cluster).cast("string"))))
+    merged = merge_groupings(base, "__c", name_group, out)
+    facts = merged.groupBy(out).agg(
+        F.count_distinct("__c").alias("__cs"), F.bool_or(F.col(name_group).isNotNull()).alias("__named"), F.bool_or(~F.coalesce(F.col(noise), F.lit(False))).alias("__clustered")
+    )
+    source = F.when(F.col("__named") & F.col("__clustered") & (F.col("__cs") > 1), "both").when(F.col("__named") & (F.col("__cs") > 1), "names").when(F.col("__clustered"), "cluster").otherwise("noise")
+    return merged.join(facts, out).select(*df.columns, out, source.alias("source"))

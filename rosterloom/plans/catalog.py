@@ -726,3 +726,222 @@ def identity_uniqueness(t):
   select (select count(*) from a where k in (select k from b)) as both, (select count(*) from a where k not in (select k from b)) as only_a, (select count(*) from b where k not in (select k from a)) as only_b""")
 def coverage(t):
     return checks.coverage(t("orders").select(F.col("o_custkey").alias("k")), t("customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k")), "k")
+
+
+# --- more of the inventory ----------------------------------------------
+
+
+@query("""select o_orderkey, case when o_orderpriority ~ '^[12]' then true when o_orderpriority ~ 'LOW$' then false end as urgent from orders""")
+def dummify(t):
+    return recode.dummify(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "urgent", "^[12]", "LOW$", drop=True)
+
+
+@query("select p_partkey, coalesce(p_name ~ 'ring', false) as p_name, coalesce(p_type ~ 'ECON', false) as p_type from part")
+def binarize(t):
+    return recode.binarize(t("part").select("p_partkey", "p_name", "p_type"), "^p_(name|type)$", "ring|ECON", else_false=True).select("p_partkey", "p_name", "p_type")
+
+
+SQL["binarize"] = "select p_partkey, p_name ~ 'ring|ECON' as p_name, p_type ~ 'ring|ECON' as p_type from part"
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, round(coalesce(q, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0), 8) as total, greatest(q, l_discount, l_tax) as most,
+  round((coalesce(q, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0)) / ((q is not null)::int + 2), 8) as mean from (select *, case when l_linenumber > 1 then l_quantity end q from lineitem)""")
+def row_reduce(t):
+    x = t("lineitem").withColumn("q", F.when(F.col("l_linenumber") > 1, F.col("l_quantity")))
+    names = ["q", "l_discount", "l_tax"]
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", F.round(recode.row_reduce(names, "sum"), 8).alias("total"), recode.row_reduce(names, "max").alias("most"), F.round(recode.row_reduce(names, "mean"), 8).alias("mean"))
+
+
+@query("select p_partkey, p_brand || '.' || p_type as cell, case p_type when 'STANDARD' then 1 when 'PROMO' then 2 else 3 end as place from part")
+def combine_levels(t):
+    return t("part").select("p_partkey", recode.combine_levels("p_brand", "p_type").alias("cell"), recode.relevel(F.col("p_type"), ["STANDARD", "PROMO"]).cast("int").alias("place"))
+
+
+@query("select o_orderkey, case when o_orderstatus = 'P' then 0.0 else o_totalprice end as o_totalprice from orders")
+def update_where(t):
+    return recode.update_where(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_orderstatus") == "P", {"o_totalprice": 0.0}).drop("o_orderstatus")
+
+
+@query(f"select o_orderkey, case when own is null and a is null then null else coalesce(own % 2 = 0, false) or coalesce(a % 2 = 0, false) end as flag, ((own + a) > 0)::int as positive from {_IDS}")
+def merge_flags(t):
+    x = _ids(t)
+    return x.select("o_orderkey", recode.merge_flags(F.col("own") % 2 == 0, F.col("a") % 2 == 0).alias("flag"), recode.any_positive("own", "a").alias("positive"))
+
+
+@query("""select o_orderkey, least(make_date(year(o_orderdate), least(greatest(m, 1), 12), 1) + (least(greatest(d, 1), 31) - 1)::int, last_day(make_date(year(o_orderdate), least(greatest(m, 1), 12), 1))) as d
+  from (select *, (o_orderkey % 14)::int m, (o_orderkey % 33)::int d from orders) where year(o_orderdate) <= 2013""")
+def date_from_parts(t):
+    k = F.col("o_orderkey")
+    return t("orders").filter(F.year("o_orderdate") <= 2013).select("o_orderkey", scalars.date_from_parts(F.year("o_orderdate"), (k % 14).cast("int"), (k % 33).cast("int")).alias("d"))
+
+
+@query("select o_orderkey, (year(o_orderdate) - o_orderkey % 7 - case when o_orderkey % 12 > 6 then 1 else 0 end)::int as opened, round((least(0.5 * (o_orderkey % 2), 8.0 / 24) * 86400 + (o_orderkey % 5) * 3600), 6)::double as seconds from orders")
+def travel_and_opening(t):
+    k = F.col("o_orderkey")
+    return t("orders").select(
+        "o_orderkey", scalars.opening_year(F.year("o_orderdate"), k % 7, k % 12).cast("int").alias("opened"),
+        F.round(scalars.travel_seconds(0.5 * (k % 2), (k % 5).cast("double"), F.lit(0.0)), 6).alias("seconds"),
+    )
+
+
+@query("""with s as (select distinct p_name as a from part), r as (select distinct c_mktsegment as b from customer)
+  select a, b, damerau_levenshtein(a, lower(b))::int as distance from s, r""")
+def edit_distances(t):
+    a = t("part").select(F.col("p_name").alias("a")).distinct()
+    b = t("customer").select(F.col("c_mktsegment").alias("b")).distinct()
+    return a.crossJoin(F.broadcast(b)).select("a", "b", fuzzy.damerau_levenshtein("a", F.lower("b")).alias("distance"))
+
+
+@query("""select c.c_custkey, y.s_suppkey, levenshtein(right(c.c_name, 6), right(y.s_name, 6))::int as distance from customer c left join supplier y on levenshtein(right(c.c_name, 6), right(y.s_name, 6)) <= 1 and y.s_nationkey = c.c_nationkey""")
+def fuzzy_left_join(t):
+    x = t("customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.right("c_name", F.lit(6)).alias("s"))
+    y = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.right("s_name", F.lit(6)).alias("s"))
+    return fuzzy.fuzzy_left_join(x, y, "s", 1, block=["nation"]).select("c_custkey", "s_suppkey", "distance")
+
+
+@query()
+def substring_distance(t):
+    return t("part").select("p_partkey", fuzzy.substring_distance(F.lit("rimg"), F.col("p_name"), 2).alias("distance"))
+
+
+@query()
+def name_key(t):
+    return t("part").select("p_partkey", scalars.name_key(F.col("p_name"), F.col("p_brand")).alias("key"))
+
+
+@query()
+def resolve_places(t):
+    place = lambda k: (F.col(k) % 7 + 1) * 100_000_000 + F.col(k)
+    x = t("part").filter("p_partkey % 5 = 0").select("p_partkey", place("p_partkey").alias("place"), F.concat("p_name", F.lit("s")).alias("name"))
+    ref = t("part").filter("p_partkey % 5 = 1").select(F.col("p_partkey").alias("ref_id"), place("p_partkey").alias("place"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return space.resolve_places(x, ref, "p_partkey", "place", "name", "ref_id", "x", "y", steps=((1, 4), (2, 2)))
+
+
+@query()
+def merge_with_names(t):
+    rows = t("supplier").select("s_suppkey", (F.col("s_suppkey") % 30).alias("cluster"), F.when(F.col("s_nationkey") < 5, F.col("s_nationkey")).alias("names"), (F.col("s_suppkey") % 9 == 0).alias("noise"))
+    return graph.merge_with_names(rows, "s_suppkey", "cluster", "names", "noise")
+
+
+@query("""select c_nationkey, sum(case when rn = 1 then c_acctbal else 0 end) as total, round(avg(half), 6) as half, bool_or(c_acctbal > 9000) as rich, count(*) as members, any_value(m.seg) as c_mktsegment from (
+  select *, c_acctbal / 2 as half, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) rn from customer) c
+  join (select c_nationkey k, arg_min(c_mktsegment, (-n, c_mktsegment)) seg from (select c_nationkey, c_mktsegment, count(*) n from customer group by all) group by 1) m on m.k = c.c_nationkey group by 1""")
+def cluster_summary(t):
+    c = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("total"), (F.col("c_acctbal") / 2).alias("half"), (F.col("c_acctbal") > 9000).alias("rich"))
+    out = space.cluster_summary(c, "c_nationkey", ["total"], ["c_mktsegment"], ["half"], ["rich"], once="c_mktsegment")
+    return out.withColumns({"total": F.round("total", 2), "half": F.round("half", 6)})
+
+
+SQL["cluster_summary"] = SQL["cluster_summary"].replace("sum(case when rn = 1 then c_acctbal else 0 end) as total", "round(sum(case when rn = 1 then c_acctbal else 0 end), 2) as total")
+
+
+@query("select distinct p_size as cluster, p_brand as area, p_partkey as id, name from (unpivot (select p_size, p_brand, p_partkey, p_name, p_type from part) on p_name, p_type into name v value name)")
+def conversion_table(t):
+    p = t("part").select(F.col("p_size").alias("cluster"), F.col("p_brand").alias("area"), F.col("p_partkey").alias("id"), "p_name", "p_type")
+    return space.conversion_table(p, "cluster", "area", "id", ["p_name", "p_type"])
+
+
+@query("""select c_custkey, coalesce(case when area = left(lpad(c_custkey::varchar, 10, '0'), 9) then area end, r.area2, area) as area from (
+  select c_custkey, case when c_custkey % 3 = 0 then left(lpad(c_custkey::varchar, 10, '0'), 9) else 'x' end as area from customer) c left join (select o_custkey, min(o_orderstatus) as area2 from orders group by 1) r on r.o_custkey = c.c_custkey""")
+def reconcile_codes(t):
+    c = t("customer").withColumn("area", F.when(F.col("c_custkey") % 3 == 0, scalars.area_code(F.col("c_custkey"), 9)).otherwise("x"))
+    ref = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("area"))
+    return space.reconcile_codes(c.select("c_custkey", "area"), "area", "c_custkey", [ref], "c_custkey", 9).select("c_custkey", "area")
+
+
+@query("""select o_orderkey, (o_orderstatus = 'F' and d = first) as first_born, count(*) filter (o_orderstatus = 'F') over (partition by o_custkey) as children, (w > 0)::int as welfare, ((w + h) > 0)::int as healthcare from (
+  select *, o_orderdate::date d, o_orderkey % 2 w, o_orderkey % 3 h, min(case when o_orderstatus = 'F' then o_orderdate::date end) over (partition by o_custkey) first from orders)""")
+def household_features(t):
+    o = t("orders").withColumns({"d": F.col("o_orderdate").cast("date"), "w": F.col("o_orderkey") % 2, "h": F.col("o_orderkey") % 3})
+    out = panel.household_features(o, "o_custkey", "d", F.col("o_orderstatus") == "F", ["w"], ["w", "h"])
+    return out.select("o_orderkey", F.coalesce("first_born", F.lit(False)).alias("first_born"), "children", "welfare", "healthcare")
+
+
+SQL["household_features"] = SQL["household_features"].replace("(o_orderstatus = 'F' and d = first) as first_born", "coalesce(o_orderstatus = 'F' and d = first, false) as first_born")
+
+
+@query("""select o_orderkey, gap::int as age_gap, abs(gap) > 3 as inconsistent from (select *, year(o_orderdate) - 1990 - o_orderkey % 8 as gap, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) rn from orders) where rn = 1 or gap between 2 and 3""")
+def clean_person_tests(t):
+    o = _registry(t).withColumns({"born": (F.lit(1990) + F.col("o_orderkey") % 8).cast("int")})
+    out = panel.clean_person_tests(o, "o_custkey", "o_orderstatus", "year", "born", F.lit(0), [F.col("o_orderkey")])
+    return out.select("o_orderkey", "age_gap", "inconsistent")
+
+
+@query("select o_custkey, greatest(least(min(year(o_orderdate)), min(1990 + o_orderkey % 30)), 1997)::int as opens, greatest(max(year(o_orderdate)), max(1990 + o_orderkey % 30))::int as closes from orders group by 1")
+def open_years(t):
+    o = _registry(t).withColumn("y2", (F.lit(1990) + F.col("o_orderkey") % 30).cast("int"))
+    return panel.open_years(o, ["o_custkey"], ["year", "y2"], ["year", "y2"], 1997)
+
+
+@query("select o_custkey, count(*) filter (o_orderstatus = 'P') = 0 as uniparental from orders group by 1")
+def uniparental(t):
+    return panel.uniparental(t("orders"), "o_custkey", F.col("o_orderstatus") == "P")
+
+
+@query("""select o_orderkey, round(coalesce(price, avg(price) over (partition by o_custkey)), 6) as price from (select *, case when o_orderkey % 4 <> 0 then o_totalprice end price from orders) o join customer c on c.c_custkey = o.o_custkey""")
+def regression_table(t):
+    o = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("price"))
+    out = panel.regression_table(o, t("customer").select("c_custkey", "c_acctbal"), ["c_custkey"], [(["c_custkey"], {"price": F.avg("price")})])
+    return out.select("o_orderkey", F.round("price", 6).alias("price"))
+
+
+@query(f"select o_orderkey, coalesce((own % 2)::int, (a >= 100)::int) as treated from {_IDS}")
+def attendance_or_eligibility(t):
+    return _ids(t).select("o_orderkey", panel.attendance_or_eligibility(F.col("own") % 2, F.col("a"), 100).alias("treated"))
+
+
+@query("select l_returnflag, bool_or(l_quantity > 49) as some, count(*) filter (l_discount > 0.05) as many, round(avg((l_tax > 0.04)::int), 8) as share, count(distinct l_suppkey) as suppliers from lineitem group by 1")
+def boolean_aggregates(t):
+    return t("lineitem").groupBy("l_returnflag").agg(
+        F.bool_or(F.col("l_quantity") > 49).alias("some"), F.count_if(F.col("l_discount") > 0.05).alias("many"),
+        F.round(aggs.share_of(F.col("l_tax") > 0.04), 8).alias("share"), F.count_distinct("l_suppkey").alias("suppliers"),
+    )
+
+
+@query()
+def random_row(t):
+    return windows.random_row(t("orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("""with h as (select *, (own is not null)::int + (a is not null)::int + (b is not null)::int as held from %s) select o_orderkey from h where held >= 0.65 * (select max(held) from h)""" % _IDS)
+def completeness_filter(t):
+    return indices.completeness_filter(_ids(t), ["own", "a", "b"]).select("o_orderkey")
+
+
+@query("""select o_custkey, o_orderkey, most from (select *, max(o_totalprice) over (partition by o_custkey) most, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rn from orders) where rn = 1""")
+def household_reduce(t):
+    o = t("orders").withColumn("most", F.col("o_totalprice"))
+    return indices.household_reduce(o, "o_custkey", ["most"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "most")
+
+
+@query("select 'orders' as src, o_custkey as k, o_totalprice as v, null::varchar as seg from orders union all select 'customer', c_custkey, c_acctbal, c_mktsegment from customer")
+def stack_named(t):
+    tables = {("orders",): t("orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v")), ("customer",): t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("seg"))}
+    return reshape.stack_named(tables, ["src"])
+
+
+@query("select variable, dense_rank() over (partition by variable order by value)::int as level, value from (unpivot (select distinct o_orderstatus, o_orderpriority from orders) on o_orderstatus, o_orderpriority into name variable value value) group by variable, value")
+def factor_dictionary(t):
+    from ..sources.ingest import factor_dictionary as build
+
+    return build(t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus", "o_orderpriority"])[1]
+
+
+@query("select o_custkey as person, year(o_orderdate)::int as year, o_orderstatus as status, try_cast(o_orderpriority as int) as priority from orders")
+def ingest_round_trip(t):
+    from pyspark.sql import types as T
+
+    from ..sources.ingest import to_contract
+
+    contract = T.StructType([T.StructField("person", T.LongType()), T.StructField("year", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("priority", T.IntegerType())])
+    raw = _registry(t).select("o_custkey", "year", "o_orderstatus", "o_orderpriority")
+    return graph.materialised(to_contract(raw, contract, [("o_custkey", "person"), ("o_orderstatus", "status"), ("o_orderpriority", "priority")]), "ingested")
+
+
+@query("select sheet, line, area || lpad(code, 4, '0') as place_id from (select *, last_value(case when head then lpad(code, 6, '0') end ignore nulls) over (partition by sheet order by line rows between unbounded preceding and current row) area from (select p_size as sheet, p_partkey as line, (p_partkey % 1000)::varchar as code, p_type = 'PROMO' as head from part)) where not head and area is not null")
+def indented_listing(t):
+    from ..sources.ingest import read_indented_listing
+
+    p = t("part").select(F.col("p_size").alias("sheet"), F.col("p_partkey").alias("line"), F.col("p_type").alias("label"), (F.col("p_partkey") % 1000).cast("string").alias("code"))
+    out = read_indented_listing(p, "line", "label", "code", "^promo$", ["sheet"])
+    return out.filter("place_id is not null").select("sheet", "line", "place_id")
