@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import protected, stored
+from .common import protected, scratch, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -401,9 +401,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def _one_of_each(docs: DataFrame) -> DataFrame:
-    found = stored(join(docs), "classes")
     own = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))
-    keys = found.filter(own).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct()
+    with scratch(docs.sparkSession):
+        keys = stored(join(docs).filter(own).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct(), "first-of-each", keep=True)
     keyed = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_t": F.xxhash64("text")})
     kept = keyed.join(keys, keyed["_d"].eqNullSafe(keys["_d"]) & (keyed["_t"] == keys["_t"]), "left_semi")
     return kept.dropDuplicates(["_d", "_t"]).drop("_d", "_t")

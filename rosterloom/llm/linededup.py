@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import protected, stored
+from .common import protected, scratch, stored
 
 MIN_WORDS = 20
 BLOCKS = 1024
@@ -179,7 +179,9 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _dedup(docs: DataFrame, min_words: int) -> DataFrame:
-    runs = deletions(docs, min_words).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs"))
+    with scratch(docs.sparkSession):
+        runs = stored(deletions(docs, min_words), "runs", keep=True)
+    runs = runs.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs"))
     joined = docs.join(runs, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.xxhash64("text") == F.col("_tie")), "left")
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lines_removed int", "words_removed int"])
     names = docs.columns
