@@ -6,16 +6,16 @@
   becomes a space.
 * ``learn`` takes labelled texts (a bounded sample) and keeps word beginnings
   (4 letters to the whole word) whose share of toxic texts is far above the
-  clean ones'; a beginning is dropped in favour of a longer one found as often, or of a shorter one found more often.  Weights
-  are smoothed log odds.
+  clean ones'.  Of beginnings of the same words the longest stays; one that
+  holds more words replaces its continuations.  Weights are smoothed log odds.
 * ``score`` finds all terms of every whole text in one pass, cancels those
   inside an exception phrase, and maps the sum of weights, normalised by the
   text's length, to a probability by a logistic curve fitted on the sample.
 
 Nulls: null and empty texts hold no term; they get the score of a text without
 terms.  Repeated rows and ties are scored alike, extra columns are ignored by
-the operator and dropped.  With no labelled rows the seed lexicon and a fixed
-curve are used.
+the operator and dropped.  With no labelled rows the lexicon is empty and a
+fixed curve gives every text the same low score.
 """
 
 from __future__ import annotations
