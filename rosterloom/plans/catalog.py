@@ -529,6 +529,13 @@ def fuzzy_join_d2(t):
     return fuzzy.fuzzy_pairs(c.filter("c_custkey % 7 = 0"), c.filter("c_custkey % 11 = 0"), "s", "s", 2)
 
 
+@query()
+def fuzzy_names_d2(t):
+    """All distinct names against each other, without the id filters that the SQL of ``fuzzy_join_d2`` has."""
+    p = t("part").select("p_name")
+    return fuzzy.fuzzy_pairs(p, p, "p_name", "p_name", 2)
+
+
 @query()
 def string_clusters(t):
     return fuzzy.cluster_strings(t("part").select("p_partkey", "p_name"), "p_name", 2, "p_partkey")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import recode, scalars
 from rosterloom.operators import aggs, checks, estimate, fuzzy, graph, indices, joins, linkage, panel, reshape, space, windows
+from rosterloom.plans import catalog
 
 D = dt.date
 
@@ -233,6 +234,13 @@ def test_fuzzy_pairs_equal_brute_force(spark, most, transpositions):
     assert values(fuzzy.fuzzy_pairs(df, df, "t", "t", most, transpositions), "left_text", "right_text", "distance") == sorted(want, key=repr)
 
 
+def test_fuzzy_names_d2_compares_all_names(spark, sf_dir):
+    names = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").collect()}
+    want = sorted(((a, b, d) for a in names for b in names if (d := _levenshtein(a, b)) <= 2), key=repr)
+    got = values(catalog.QUERIES["fuzzy_names_d2"](spark, sf_dir), "left_text", "right_text", "distance")
+    assert got == want and len(want) > len(names)
+
+
 def _levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
