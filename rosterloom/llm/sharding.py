@@ -11,7 +11,9 @@ A store is a folder::
 * ``append`` writes arrivals as small shards and commits the next version.
 * ``compact`` merges runs of similar size: shards are put in tiers by size
   (each ``FANOUT`` times the one before), and ``FANOUT`` or more of a tier
-  become one run of files near the target size.
+  become one run of files near the target size.  A run that no tier merges, of
+  whatever size, is written anew by itself if files near the target size are
+  half as many as its own or fewer; so arrivals of many small files don't stay.
 * A commit writes a temporary file and renames it to ``v<N+1>.json``; a rename
   fails if that version exists, so of two writers one must try again.  Readers
   see a version whole or not at all.  Shards of old versions stay until
@@ -46,6 +48,11 @@ class Shard:
     name: str
     rows: int
     size: int
+    files: int
+
+    def wanted(self, target: int = TARGET) -> int:
+        """The number of files near the target size that hold the run."""
+        return max(1, round(self.size / target))
 
     def tier(self, smallest: int = SMALLEST, fanout: int = FANOUT) -> int:
         tier, bound = 0, smallest
@@ -102,9 +109,10 @@ class Store:
         self.log.append({"version": base + 1, "note": note, "shards": len(shards)})
         return base + 1
 
-    def _size(self, name: str) -> int:
+    def _shard(self, name: str, rows: int) -> Shard:
         fs, p = self._fs(f"{self.path}/shards/{name}")
-        return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+        sizes = [int(s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
+        return Shard(name, rows, sum(sizes), len(sizes))
 
     def append(self, arrivals: DataFrame, by: str | None = None) -> int:
         """Write arrivals as new shards, one for each value of ``by`` (dropped), all in one job and one commit."""
@@ -116,7 +124,7 @@ class Store:
         fs, p = self._fs(f"{self.path}/shards/{name}")
         runs = [f"{name}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.isDirectory()]
         counts = self._count(runs)
-        return self.commit(base, live + [Shard(r, counts.get(r, 0), self._size(r)) for r in runs], f"append {name}")
+        return self.commit(base, live + [self._shard(r, counts.get(r, 0)) for r in runs], f"append {name}")
 
     def _read(self, names: list[str]) -> DataFrame:
         # a shard's folder is its own root, so its name doesn't become a column
@@ -129,7 +137,7 @@ class Store:
         return {r["run"]: r["count"] for r in self._read(names).select(run.alias("run")).groupBy("run").count().collect()}
 
     def plan(self) -> list[list[Shard]]:
-        """Groups of shards to merge: tiers that hold ``fanout`` or more, below the target size."""
+        """Groups of shards to merge: tiers that hold ``fanout`` or more, below the target size; and single shards of small files."""
         tiers: dict[int, list[Shard]] = {}
         for s in self.shards():
             if s.size < self.target:
@@ -145,6 +153,8 @@ class Store:
                     group = []
             if len(group) >= self.fanout:
                 groups.append(group)
+        merged = {s.name for g in groups for s in g}
+        groups += [[s] for s in self.shards() if s.name not in merged and s.files >= 2 * s.wanted(self.target)]
         return groups
 
     def compact(self) -> bool:
@@ -160,7 +170,7 @@ class Store:
             files = max(1, round(sum(s.size for s in group) / self.target))
             # a merge moves no row between tasks: each file is written from whole runs
             self._read([s.name for s in group]).coalesce(files).write.parquet(f"{self.path}/shards/{name}")
-            return Shard(name, sum(s.rows for s in group), self._size(name))
+            return self._shard(name, sum(s.rows for s in group))
 
         with ThreadPoolExecutor(min(8, len(groups))) as pool:  # Spark runs the merges side by side
             merged = list(pool.map(merge, range(len(groups))))
@@ -168,7 +178,7 @@ class Store:
         return True
 
     def compact_fully(self) -> int:
-        """Rounds until no tier has enough runs."""
+        """Rounds until no tier has enough runs and no run has too many files."""
         rounds = 0
         while self.compact():
             rounds += 1

@@ -105,6 +105,18 @@ def test_sharding_round_trip_and_conflict(spark, messy, empty, tmp_path):
     assert max(urls.RULES, key=lambda r: len(r.text)).text == "www.example.com/en/"
 
 
+def test_sharding_merges_small_files_of_large_arrivals(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "".join(random.Random(k).choices("abcdefghijklmnop", k=400)), k % 3) for k in range(3000)], "doc_id long, text string, batch int").repartition(24)
+    store = sharding.Store(spark, f"file://{tmp_path}/s", docs.drop("batch").schema, target=64 << 10, smallest=1 << 10)
+    store.append(docs, by="batch")
+    sizes = lambda: sorted(p.stat().st_size for s in store.shards() for p in (tmp_path / "s" / "shards" / s.name).glob("part-*"))
+    assert min(s.size for s in store.shards()) >= store.target and len(sizes()) == 72 and max(sizes()) < store.target / 2
+    assert store.compact_fully() > 0
+    assert store.target / 2 <= min(sizes()) and max(sizes()) <= 2 * store.target and sum(s.files for s in store.shards()) == len(sizes())
+    assert sorted(store.read().collect()) == sorted(docs.drop("batch").collect()) and sum(s.rows for s in store.shards()) == 3000
+    assert not store.plan()
+
+
 def test_urls(spark):
     pages = [
         (1, "http://A.example.com/en/x"), (2, "https://www.example.com/en/y?z#q"), (3, "http://b.org/en/"), (4, "http://x.net/es/1"), (5, None), (6, "no scheme"), (7, ""),
