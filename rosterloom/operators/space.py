@@ -97,11 +97,13 @@ def resolve_places(x: DataFrame, ref: DataFrame, row: str, place: str, name: str
     for k, (edits, digits) in enumerate(steps, 1):
         a, b = rest.withColumn("_area", area_code(F.col(place), digits)), refs.withColumn("_area", area_code(F.col(place), digits)).drop(place)
         pairs = fuzzy_pairs(a, b, name, "_name", edits, block=["_area"])
-        cand = a.join(pairs.withColumnsRenamed({"left_text": name, "right_text": "_name"}), ["_area", name]).join(b, ["_area", "_name"])
-        near = with_count(extreme_rows(cand, [row], "distance"), [row], "_n")
-        one = near.filter("_n = 1").select(row, F.col("_id").alias(id_))
-        areas = footprint(near.filter("_n > 1"), row, "_x", "_y").filter(F.col("area") < most_area).select(row)
-        pick = random_row(near.filter("_n > 1").join(areas, row, "left_semi"), [row], ["_id"], seed).select(row, F.col("_id").alias(id_))
+        # rows of one area and name share their candidates, so those are found once for all of them
+        names = extreme_rows(pairs.withColumnsRenamed({"left_text": name, "right_text": "_name"}), ["_area", name], "distance")
+        near = with_count(names.join(b, ["_area", "_name"]), ["_area", name], "_n").withColumn("_key", F.concat_ws("|", "_area", name))
+        one = a.join(near.filter("_n = 1"), ["_area", name]).select(row, F.col("_id").alias(id_))
+        several = near.filter("_n > 1")
+        areas = footprint(several, "_key", "_x", "_y").filter(F.col("area") < most_area).select("_key")
+        pick = random_row(a.join(several.join(areas, "_key", "left_semi"), ["_area", name]), [row], ["_id"], seed).select(row, F.col("_id").alias(id_))
         hit = one.unionByName(pick).withColumn("step", F.lit(k))
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select(row), row, "left_anti")

@@ -819,8 +819,8 @@ def name_key(t):
 @query()
 def resolve_places(t):
     place = lambda k: (F.col(k) % 7 + 1) * 100_000_000 + F.col(k)
-    x = t("part").filter("p_partkey % 5 = 0").select("p_partkey", place("p_partkey").alias("place"), F.concat("p_name", F.lit("s")).alias("name"))
-    ref = t("part").filter("p_partkey % 5 = 1").select(F.col("p_partkey").alias("ref_id"), place("p_partkey").alias("place"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    x = t("part").select("p_partkey", place("p_partkey").alias("place"), F.concat("p_name", F.lit("s")).alias("name"))
+    ref = t("part").select(F.col("p_partkey").alias("ref_id"), place("p_partkey").alias("place"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     return space.resolve_places(x, ref, "p_partkey", "place", "name", "ref_id", "x", "y", steps=((1, 4), (2, 2)))
 
 

@@ -317,6 +317,17 @@ def test_resolve_places(spark):
     assert got[0] == (1, 51, 1) and got[1][0] == 2 and got[1][1] in (52, 53) and len(got) == 2
 
 
+def test_resolve_places_query_takes_all_parts(spark, sf_dir):
+    parts = {r.p_partkey: (r.p_partkey % 7, r.p_name) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    got = {r.p_partkey: (r.ref_id, r.step) for r in catalog.QUERIES["resolve_places"](spark, sf_dir).collect()}
+    assert set(got) == {k for k, (_, n) in parts.items() if n is not None}
+    for k, (ref, step) in got.items():
+        area, name = parts[k]
+        near = min(_levenshtein(name + "s", n) for a, n in parts.values() if a == area and n is not None)
+        assert step == 1 and parts[ref][0] == area and _levenshtein(name + "s", parts[ref][1]) == near
+    assert {ref % 5 for ref, _ in got.values()} == set(range(5))
+
+
 # panels
 
 
