@@ -23,7 +23,8 @@ their sets is ``THRESHOLD`` or more.
    made.  Components of the forest are the classes.
 
 Nulls: null and empty texts have no shingle; each is a class of its own without
-links.  Rows equal in doc_id and text are each returned, with equal values.  An
+links.  A null doc_id is less than any other, so a class with one has it as its
+class_id.  Rows equal in doc_id and text are each returned, with equal values.  An
 empty table gives an empty result.  Extra columns are not read.
 """
 
@@ -364,7 +365,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([value[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["node", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    found = texts.join(wanted, ["doc_id", "tie"]).select("node", "text")
+    own = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["tie"] == wanted["tie"])
+    found = texts.join(wanted, own).select("node", "text")
     return found.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"])
 
 

@@ -22,7 +22,8 @@ later occurrences.
    each interval deletes exactly the later copies.  Doubling stops at the
    longest window.
 
-Nulls: a null text has no lines and stays null.  Lines without a word are not
+Nulls: a null text has no lines and stays null; a null doc_id is less than any
+other, and rows of null doc_id and one text are one document.  Lines without a word are not
 part of runs; one goes if the next lines with words on both sides go.  Rows equal in doc_id
 and text are one document: each gets the same result.  An empty table gives an
 empty result.  Extra columns are kept; one with the name of a computed column
@@ -147,8 +148,10 @@ def later_copies(suffixes: DataFrame, k: int) -> DataFrame:
     low = 1 << k
     wins = suffixes.select("doc_id", "tie", "pos", "rank", F.explode("windows").alias("m")).filter(F.col("m").between(low, 2 * low - 1))
     if k:
-        ends = suffixes.select("doc_id", "tie", F.col("pos").alias("at"), F.col("rank").alias("last"))
-        wins = wins.withColumn("at", F.col("pos") + F.col("m") - low).join(ends, ["doc_id", "tie", "at"])
+        # a null doc_id must meet itself; rows of one document have equal ranks, so one of them is enough
+        key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), "tie"]
+        ends = suffixes.groupBy(*key, F.col("pos").alias("at")).agg(F.first("rank").alias("last"))
+        wins = wins.select("*", *key[:2], (F.col("pos") + F.col("m") - low).alias("at")).join(ends, ["_id", "_no_id", "tie", "at"])
     else:
         wins = wins.withColumn("last", F.col("rank"))
     place = F.struct("doc_id", "tie", "pos")

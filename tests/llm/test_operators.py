@@ -65,6 +65,18 @@ def test_line_dedup_awkward_rows(messy, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_line_dedup_of_null_ids(spark):
+    run = "\n".join(prose(8, 700 + k) for k in range(4))
+    texts = [(None, prose(9, 710) + "\n" + run), (None, run + "\n" + prose(9, 711)), (0, prose(9, 712) + "\n" + run), (5, run), (None, prose(30, 713) + "\n" + prose(9, 714))]
+    texts += [texts[1], (7, prose(30, 713))]
+    got = linededup.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    removed = sorted((t, r) for t, r in ((x.text, x.lines_removed) for x in got))
+    first = [x for x in got if x.doc_id is None and run in x.text]
+    assert len(got) == len(texts) and len({x.text for x in first}) == 1  # the first in order of the text's hash keeps the run
+    others = [x for x in got if run not in x.text and x.lines_removed]
+    assert sum(x.lines_removed == 4 for x in others) == (3 if len(first) == 2 else 4) and [x.lines_removed for x in others if x.doc_id == 7] == [1], removed
+
+
 def test_toxicity(spark, sf_dir):
     train = spark.createDataFrame([(prose(40, k) + (" bl0ckhead" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(80)], "text string, toxic int")
     model = toxicity.learn(train)
@@ -213,6 +225,16 @@ def test_jaccard_awkward_rows(messy, empty):
     assert jaccard.join(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
+def test_jaccard_of_null_ids(spark):
+    base = prose(200, 800).split()
+    near = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (20, 90, 150)]
+    docs = spark.createDataFrame([(None, near[0]), (4, near[0]), (5, near[1]), (None, near[2]), (None, prose(50, 801)), (9, prose(50, 802))], "doc_id long, text string")
+    got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(None, None, 2), (4, None, 2), (5, None, 2), (None, None, 2), (None, None, 0), (9, 9, 0)], key=repr)
+    kept = [r.text for r in jaccard.one_of_each(docs).collect()]
+    assert len(kept) == 3 and sum(t in near for t in kept) == 1
+
+
 def test_fingerprints(spark, messy, empty):
     out = fingerprints.compare(messy, low=0.0, high=1.0).collect()
     assert len(out) == messy.count()
