@@ -51,8 +51,8 @@ SPLIT = 2.0
 DEPTH = 4
 LIMIT = 1000
 BLOCK = 512
-#: Equal sampled tokens under which a pair is ruled out: over four deviations below the mean at the threshold.
-LEAST_EQUAL = 38
+#: Equal sampled tokens under which a pair is ruled out: of pairs at the threshold 2e-8 have fewer, below what the buckets miss.
+LEAST_EQUAL = 32
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 import re
@@ -225,6 +226,11 @@ def test_jaccard_awkward_rows(messy, empty):
     assert jaccard.join(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
+def test_jaccard_rules_out_fewer_than_the_buckets_miss():
+    p, n = jaccard.THRESHOLD, jaccard.TOKENS
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(jaccard.LEAST_EQUAL)) < jaccard.missed(p)
+
+
 def test_jaccard_of_null_ids(spark):
     base = prose(200, 800).split()
     near = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (20, 90, 150)]
