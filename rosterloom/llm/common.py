@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -23,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and set.
+    Only where the session has none and runs on one machine (tests) a temporary
+    folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,23 +41,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: list[str] = []
+_held = threading.local()
+
+
+def _folders() -> list[str]:
+    if not hasattr(_held, "folders"):
+        _held.folders = []
+    return _held.folders
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside are deleted at the end, but for those that are kept; what is kept must be written by then."""
-    _scratch.append(new_path(spark, "scratch"))
+    """Tables stored inside, by this thread, are deleted at the end, but for those that are kept; what is kept must be written by then."""
+    _folders().append(new_path(spark, "scratch"))
     try:
         yield
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders().pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    path = f"{_scratch[-1]}/{name}-{uuid.uuid4().hex}" if _scratch and not keep else new_path(df.sparkSession, name)
+    path = f"{_folders()[-1]}/{name}-{uuid.uuid4().hex}" if _folders() and not keep else new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,6 +74,19 @@ def words(text: Column) -> Column:
     return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, SPACE_RX, -1))
 
 
+def written_order(docs: DataFrame) -> Column | None:
+    """A number that ascends in the order in which the rows of a read of Spark's files were written; None for other tables.
+
+    Tasks write a file each (``part-<task>``, with ``-c<n>`` if they are cut),
+    in the order of partitions; files keep the order of rows.
+    """
+    if not docs.inputFiles():
+        return None
+    name = F.col("_metadata.file_name")
+    task, cut = (F.coalesce(F.regexp_extract(name, rx, 1).try_cast("long"), F.lit(0)) for rx in (r"^part-(\d+)", r"-c(\d+)"))
+    return F.shiftleft(task, 40) + F.shiftleft(cut, 32) + F.col("_metadata.row_index")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

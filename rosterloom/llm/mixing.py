@@ -8,17 +8,20 @@ Native: DataFrame expressions only.
 * ``take`` takes whole documents in a fixed pseudo-random order of each source
   until the target is met; the last one is taken in part, so that each source
   meets its (whole-word) target exactly.
-* ``positions`` integrates each source's piecewise-linear weight schedule and
+* ``when_trained`` integrates each source's piecewise-linear weight schedule and
   inverts the cumulative token demand: the q-th part of a source's tokens is
   trained at the time t at which the integral of its schedule reaches q.
+* ``in_order`` range-sorts by that time: partitions, and the files they are
+  written to, follow each other in order of training.
 
 A source may hold any share of all rows: running sums go over blocks of a
 source (keyed by the leading digits of a hash), then inside each block.
 
 Nulls: a null or empty text has size 0 and is taken 0 times; a null source is a
 source of its own, last in order.  Repeated rows are separate documents; they
-tie, and which of two equal rows comes first doesn't change the result.  An
-empty table gives an empty result.  Extra columns are kept; one with the
+tie, and which of two equal rows comes first doesn't change the result.  Texts
+of any length are counted whole and never split over tasks.  An empty table
+gives an empty result.  Extra columns are kept; one with the
 name of a computed column gives way to it in ``take``, and stays in ``mixed``.
 """
 
@@ -161,11 +164,13 @@ def _mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def in_order(df: DataFrame, at: str) -> DataFrame:
-    """Range-sort by a position in [0, 1]; rows without one are dealt out by hash.
+    """Range-sort by a position in [0, 1]: no row of a partition is trained before one of the partition before it.
 
-    Demand is spread evenly over positions, so equal ranges of them are even
-    and need no sampling pass over the rows.
+    The k-th of n partitions holds the positions from k / n to (k + 1) / n,
+    sorted.  Demand is spread evenly over positions but for the schedules, so
+    the ranges are known beforehand and need no sampling pass over the rows.
+    Rows without a position follow those of a partition, dealt out by hash.
     """
     n = partitions(df.sparkSession)
-    place = F.coalesce(F.least(F.lit(n - 1), F.floor(F.col(at) * n)), F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    return df.withColumn("_range", place.cast("int")).repartition(n, "_range").sortWithinPartitions("_range", F.col(at).asc_nulls_last(), "doc_id").drop("_range")
+    place = F.coalesce(F.least(F.lit(n - 1), F.floor(F.col(at) * n)), F.pmod(F.xxhash64("doc_id", "size"), F.lit(n)))
+    return df.repartitionById(n, place.cast("int")).sortWithinPartitions(F.col(at).asc_nulls_last(), "doc_id")
