@@ -4,15 +4,23 @@
    a point in few dimensions, and the point a Hilbert key.  The rows (key,
    ids as 16-bit words where the vocabulary allows) are written to the shared
    folder, so that no later step tokenizes again.
-2. The keys are cut into ranges of like token counts (quantiles of the key; a
-   hash of the document breaks ties, so copies with one key are split too).
-3. Each range is sorted by key and cut into sequences of exactly ``length``
-   tokens as a stream; only the last sequence of a range is shorter.
-
-Null and empty texts hold the end id alone.  Repeated rows are packed each.
-An empty table gives no pieces.  Very long texts are cut over as many
-sequences as they need.  Only ``doc_id`` and ``text`` are read, so extra
-columns can't clash.
+2. The rows are cut into ranges of like token counts: of the Hilbert key (a hash
+   of the row breaks ties, so copies with one key are split too), or of the
+   documents' given order.  The cuts come from a bounded sample in which a row
+   stands in proportion to its tokens.
+3. Each range is one task: it is sorted by key and cut into sequences of exactly
+   ``length`` tokens as a stream; only the last sequence of a range is shorter.
+
+With an ``order`` (the training order of a mix) the ranges follow it, and
+neighbours along the curve are packed together inside a range only; ascending
+sequence ids then follow the order, range by range.  Each piece carries the
+order of its row, which also tells copies of a document apart.
+
+Null and empty texts hold the end id alone.  Repeated rows are packed each, and
+so are rows of null or equal doc_ids, of whatever type.  An empty table gives no
+pieces.  Very long texts are cut over as many sequences as they need.  Ties in
+key are put in order of a hash of the row.  Only ``doc_id``, ``text`` and the
+order are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -23,16 +31,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quantile_cuts, range_of, stored
+from .common import partitions, stored
 
 DIMS, BITS = 3, 10
-#: Tokens of a range on average: at most one short sequence for so many tokens.
-RANGE_TOKENS = 2_000_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Tokens of a range on average.  At least: one short sequence for so many tokens.  At most: what one task sorts.
+LEAST_TOKENS, MOST_TOKENS = 2_000_000, 64_000_000
+#: Of the sample that places the cuts: points for each range, and in all.
+POINTS, MOST_POINTS = 200, 1_000_000
+#: Tokens that a row costs beside its own.
+ROW_TOKENS = 64
+PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _tokenizers: dict = {}
 
 
@@ -111,8 +125,8 @@ def _tokens(path: str, ranks_path: str | None, pattern: str | None) -> Tokens:
     return _tokenizers[key]
 
 
-def tokenized(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0) -> DataFrame:
-    """(doc_id, key, tokens, ids): ids with the end id, as little-endian 16- or 32-bit words."""
+def tokenized(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0, order: Column | None = None) -> DataFrame:
+    """(doc_id, position, row, key, tokens, ids): ids with the end id, as little-endian 16- or 32-bit words; row is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -121,10 +135,11 @@ def tokenized(docs: DataFrame, path: str, ranks_path: str | None = None, pattern
         tok = _tokens(path, ranks_path, pattern)
         word = "<u2" if tok.size <= 1 << 16 else "<u4"
         signs = projection(tok.size)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(1)
+                texts = part.column(2)
                 arrays, points = [], []
                 for text in texts:
                     a = np.array([*tok.ids(text.as_py() or ""), end_id], dtype=word)
@@ -132,46 +147,76 @@ def tokenized(docs: DataFrame, path: str, ranks_path: str | None = None, pattern
                     points.append(signs[a].sum(axis=0) / np.sqrt(len(a)))
                     arrays.append(a)
                 cells = np.clip((np.array(points) / 8 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(hilbert_key(cells)), pa.array([len(a) for a in arrays], pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary())],
-                    names=["doc_id", "key", "tokens", "ids"],
-                )
+                columns = [pa.array(np.arange(row, row + part.num_rows)), pa.array(hilbert_key(cells)), pa.array([len(a) for a in arrays], pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary())]
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "position", "row", "key", "tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, tokens long, ids binary")
+    rows = docs.select("doc_id", (F.lit(None) if order is None else order).cast("long").alias("position"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, position long, row long, key long, tokens long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, length: int = 1024, end_id: int = 0, range_tokens: int = RANGE_TOKENS) -> DataFrame:
-    """One row per piece: see ``PIECES``; pieces of a sequence are gapless from offset 0."""
-    rows = stored(tokenized(docs, path, ranks_path, pattern, end_id), "tokens")
+def token_cuts(rows: DataFrame, n: int) -> np.ndarray:
+    """``n - 1`` sorted values of ``at`` between which lie about equal shares of the tokens.
+
+    Each row is drawn as many times as its weight holds steps of an even grid
+    (its hash decides about the rest), so ``POINTS * n`` points are expected, at
+    most ``MOST_POINTS``; they alone come to the driver.
+    """
+    weight = F.col("tokens") + ROW_TOKENS
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    if n < 2 or not total:
+        return np.zeros(0, np.int64)
+    step = max(1.0, total / min(MOST_POINTS, POINTS * n))
+    draw = F.pmod(F.xxhash64("row", F.lit("cuts")), F.lit(1 << 30)) / float(1 << 30)
+    points = rows.select("at", F.floor(weight / step + draw).alias("times")).filter("times > 0").toArrow()
+    at, times = points.column("at").to_numpy(), points.column("times").to_numpy().astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    sums = np.cumsum(times[order])
+    return np.unique(at[order][np.searchsorted(sums, sums[-1] * np.arange(1, n) / n)])
+
+
+def pack(
+    docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, length: int = 1024, end_id: int = 0,
+    order: Column | None = None, least_tokens: int = LEAST_TOKENS, most_tokens: int = MOST_TOKENS,
+) -> DataFrame:
+    """One row per piece: doc_id, ``PIECES``, and with ``order`` (a number, ascending) ``position``; pieces of a sequence are gapless from offset 0."""
+    rows = stored(tokenized(docs, path, ranks_path, pattern, end_id, order), "tokens")
     # the key, then a hash to split copies with one key
-    rows = rows.withColumn("place", F.shiftleft("key", 31) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
+    rows = rows.withColumn("place", F.shiftleft("key", 31) + F.pmod(F.xxhash64("row"), F.lit(1 << 31)))
+    rows = rows.withColumn("at", F.col("place") if order is None else F.coalesce("position", F.lit(-1).cast("long")))
     total = rows.agg(F.sum("tokens")).first()[0] or 0
-    n = max(1, min(10_000, round(total / range_tokens)))
-    cuts = quantile_cuts(rows, "place", n)
+    n = max(1, min(round(total / least_tokens), max(partitions(docs.sparkSession), -(-total // most_tokens))))
+    cuts = token_cuts(rows, n)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     word = "<u2" if _vocabulary(path) <= 1 << 16 else "<u4"
 
+    @F.pandas_udf("int")
+    def range_of(at: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, at.to_numpy(), side="right").astype(np.int32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.dtype(word).itemsize
         now, seq, at = None, 0, 0
         for batch in batches:
             out: list[tuple] = []
-            for rng, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for k, (rng, ids) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3), strict=True)):
                 if rng != now:
                     now, seq, at = rng, rng << 32, 0
                 data = np.frombuffer(ids.as_buffer(), dtype=word).astype("<u4").tobytes()
                 n_ids, start = len(ids.as_buffer()) // width, 0
                 while start < n_ids:
                     take = min(n_ids - start, length - at)
-                    out.append((doc, start, take, zlib.crc32(data[4 * start : 4 * (start + take)]), n_ids, seq, at))
+                    out.append((k, start, take, zlib.crc32(data[4 * start : 4 * (start + take)]), n_ids, seq, at))
                     start, at = start + take, at + take
                     if at == length:
                         seq, at = seq + 1, 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+                own, *pieces = (pa.array(c, pa.int64()) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(own), *pieces, batch.column(2).take(own)], names=["doc_id", *PIECES, "position"])
 
-    parts = max(1, min(len(cuts) + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sorted_rows = rows.withColumn("range", range_of(F.col("place"), cuts)).repartition(parts, "range").sortWithinPartitions("range", "place", "doc_id")
-    return sorted_rows.select("range", "doc_id", "ids").mapInArrow(run, PIECES)
+    ranged = rows.withColumn("range", range_of("at")).repartitionById(n, "range").sortWithinPartitions("range", "place", "row")
+    found = ranged.select("range", "doc_id", "position", "ids").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in PIECES)}, position long")
+    return found if order is not None else found.drop("position")
 
 
 def _vocabulary(path: str) -> int:
