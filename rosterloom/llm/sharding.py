@@ -15,17 +15,23 @@ A store is a folder::
   whatever size, is written anew by itself if files near the target size are
   half as many as its own or fewer; so arrivals of many small files don't stay.
 * A commit writes a temporary file and renames it to ``v<N+1>.json``; a rename
-  fails if that version exists, so of two writers one must try again.  Readers
-  see a version whole or not at all.  Shards of old versions stay until
-  ``vacuum``.
-
-Nulls, ties, repeated rows and extra columns are stored as they are.  An empty
-arrival adds no shard; an empty store reads as an empty table.
+  fails if that version exists.  Of two writers the later one puts its change
+  on the new version, if the shards that it replaces are still there, or else
+  gives up (``Conflict``) and deletes the shards that it wrote.  Readers see a
+  version whole or not at all.
+* Nothing is deleted but by ``vacuum``, and that only takes shards which a
+  committed version lists and no version since ``grace`` seconds does.  Folders
+  that no version ever listed belong to writers that have not committed yet.
+
+Nulls, ties, repeated rows, very long texts and extra columns are stored as they
+are, whatever their names.  An empty arrival adds no shard; an empty store reads
+as an empty table.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -40,7 +46,7 @@ TARGET = 128 << 20
 
 
 class Conflict(RuntimeError):
-    """Another writer committed this version first."""
+    """Another writer committed this version first, or replaced the shards that a change builds on."""
 
 
 @dataclass(frozen=True)
@@ -76,12 +82,16 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self) -> int:
+    def versions(self) -> dict[int, float]:
+        """The committed versions that can still be read, with the time of their commit in seconds."""
         fs, p = self._fs(f"{self.path}/manifest")
         if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))])
+            return {}
+        found = {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(p) if s.getLen() > 0}
+        return {int(n[1:-5]): at for n, at in found.items() if n.startswith("v") and n.endswith(".json")}
+
+    def version(self) -> int:
+        return max([0, *self.versions()])
 
     def shards(self, version: int | None = None) -> list[Shard]:
         version = self.version() if version is None else version
@@ -109,6 +119,22 @@ class Store:
         self.log.append({"version": base + 1, "note": note, "shards": len(shards)})
         return base + 1
 
+    def change(self, gone: set[str], added: list[Shard], note: str, tries: int = 20) -> int:
+        """Commit the newest version without the shards ``gone`` and with those ``added``, on top of what others commit meanwhile."""
+        for _ in range(tries):
+            base = self.version()
+            live = self.shards(base)
+            if not gone <= {s.name for s in live}:
+                break
+            try:
+                return self.commit(base, [s for s in live if s.name not in gone] + added, note)
+            except Conflict:
+                continue
+        for s in added:
+            fs, p = self._fs(f"{self.path}/shards/{s.name}")
+            fs.delete(p, True)
+        raise Conflict(f"{note}: the shards that it replaces are gone, or {tries} others came first")
+
     def _shard(self, name: str, rows: int) -> Shard:
         fs, p = self._fs(f"{self.path}/shards/{name}")
         sizes = [int(s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
@@ -116,15 +142,16 @@ class Store:
 
     def append(self, arrivals: DataFrame, by: str | None = None) -> int:
         """Write arrivals as new shards, one for each value of ``by`` (dropped), all in one job and one commit."""
-        base, live = self.version(), self.shards()
-        name = f"a{base + 1}-{uuid.uuid4().hex[:8]}"
-        if by is None:
-            arrivals, by = arrivals.withColumn("_run", F.lit(0)), "_run"
-        arrivals.withColumnRenamed(by, "_run").write.partitionBy("_run").parquet(f"{self.path}/shards/{name}")
+        name = f"a-{uuid.uuid4().hex}"
+        run = "_run"
+        while run in {c.lower() for c in arrivals.columns}:
+            run += "_"
+        arrivals = arrivals.withColumn(run, F.lit(0)) if by is None else arrivals.withColumnRenamed(by, run)
+        arrivals.write.partitionBy(run).parquet(f"{self.path}/shards/{name}")
         fs, p = self._fs(f"{self.path}/shards/{name}")
         runs = [f"{name}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.isDirectory()]
         counts = self._count(runs)
-        return self.commit(base, live + [self._shard(r, counts.get(r, 0)) for r in runs], f"append {name}")
+        return self.change(set(), [self._shard(r, counts.get(r, 0)) for r in runs], f"append {name}")
 
     def _read(self, names: list[str]) -> DataFrame:
         # a shard's folder is its own root, so its name doesn't become a column
@@ -159,43 +186,54 @@ class Store:
 
     def compact(self) -> bool:
         """Merge the groups of one round of the plan and commit; False if there was nothing to merge."""
-        base, live = self.version(), self.shards()
         groups = self.plan()
         if not groups:
             return False
         gone = {s.name for g in groups for s in g}
 
-        def merge(k: int) -> Shard:
-            group, name = groups[k], f"m{base + 1}-{k}-{uuid.uuid4().hex[:8]}"
+        def merge(group: list[Shard]) -> Shard:
+            name = f"m-{uuid.uuid4().hex}"
             files = max(1, round(sum(s.size for s in group) / self.target))
             # a merge moves no row between tasks: each file is written from whole runs
             self._read([s.name for s in group]).coalesce(files).write.parquet(f"{self.path}/shards/{name}")
             return self._shard(name, sum(s.rows for s in group))
 
         with ThreadPoolExecutor(min(8, len(groups))) as pool:  # Spark runs the merges side by side
-            merged = list(pool.map(merge, range(len(groups))))
-        self.commit(base, [s for s in live if s.name not in gone] + merged, f"merge {len(gone)} shards into {len(merged)}")
+            merged = list(pool.map(merge, groups))
+        self.change(gone, merged, f"merge {len(gone)} shards into {len(merged)}")
         return True
 
-    def compact_fully(self) -> int:
-        """Rounds until no tier has enough runs and no run has too many files."""
+    def compact_fully(self, vacuum: float | None = None) -> int:
+        """Rounds until no tier has enough runs and no run has too many files; ``vacuum``: the grace of a vacuum after each."""
         rounds = 0
         while self.compact():
             rounds += 1
-            self.vacuum()
+            if vacuum is not None:
+                self.vacuum(vacuum)
         return rounds
 
-    def vacuum(self) -> int:
-        """Delete shards that the newest version doesn't list (readers of older versions must have ended)."""
-        live = {s.name for s in self.shards()}
-        fs, p = self._fs(f"{self.path}/shards")
+    def vacuum(self, grace: float = 7 * 24 * 3600.0) -> int:
+        """Delete the shards that only versions replaced over ``grace`` seconds ago list, and empty the manifests of these versions.
+
+        Until then each version reads as it was.  The emptied files keep their
+        names, so that no late writer takes the number of an old version.  A
+        grace of 0 is for a store without readers of older versions.
+        """
+        order = sorted(self.versions().items())
+        # a version is old since its successor was committed
+        old = [v for (v, _), (_, replaced) in zip(order, order[1:], strict=False) if replaced <= time.time() - grace]
+        kept = {s.name for v, _ in order if v not in old for s in self.shards(v)}
+        dead = {s.name for v in old for s in self.shards(v)} - kept
         gone = 0
-        for top in [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []:
-            parts = [s.getPath() for s in fs.listStatus(top) if s.isDirectory()] or [top]
-            names = [x.getName() if x is top else f"{top.getName()}/{x.getName()}" for x in parts]
-            dead = [x for x, n in zip(parts, names, strict=True) if n not in live]
-            for x in [top] if len(dead) == len(parts) else dead:
-                gone += bool(fs.delete(x, True))
+        for name in sorted(dead):
+            fs, p = self._fs(f"{self.path}/shards/{name}")
+            gone += bool(fs.delete(p, True))
+            top = p.getParent()
+            if "/" in name and fs.exists(top) and not any(x.isDirectory() for x in fs.listStatus(top)):
+                fs.delete(top, True)
+        for v in old:
+            fs, p = self._fs(f"{self.path}/manifest/v{v}.json")
+            fs.create(p, True).close()
         return gone
 
     def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:

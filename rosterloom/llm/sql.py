@@ -14,7 +14,7 @@ _LIKE = f"""(select coalesce(max(same::double / used) filter (used >= {ENOUGH}),
       select unnest(string_split({{0}}, '.')) as x, unnest(string_split({{1}}, '.')) as y, unnest(range(greatest(len(string_split({{0}}, '.')), len(string_split({{1}}, '.'))))) as r)
     group by r // {TIER}))"""
 
-SQL["op3_sharding"] = "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents"
+SQL["op3_sharding"] = "select doc_id, lang, source, n_chars, md5(text) as text_md5, true as compacted from documents"
 
 SQL["op7_fingerprints"] = f"""
 with base as (
