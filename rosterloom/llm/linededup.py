@@ -23,11 +23,13 @@ later occurrences.
    longest window.
 
 Nulls: a null text has no lines and stays null; a null doc_id is less than any
-other, and rows of null doc_id and one text are one document.  Lines without a word are not
-part of runs; one goes if the next lines with words on both sides go.  Rows equal in doc_id
-and text are one document: each gets the same result.  An empty table gives an
-empty result.  Extra columns are kept; one with the name of a computed column
-gives way to it.
+other, and rows of null doc_id and one text are one document.  A doc_id may have
+any type that has an order.  Lines without a word are not part of runs; one goes
+if the next lines with words on both sides go.  Rows equal in doc_id and text
+are one document: each gets the same result.  A very long text is a row per line
+like any other; only its own lines, and its own deletions, meet in one task.  An
+empty table gives an empty result.  Extra columns are kept; one with the name of
+a computed column gives way to it.
 """
 
 from __future__ import annotations
@@ -40,12 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import protected, scratch, stored
+from .common import SPACE, protected, scratch, stored
 
 MIN_WORDS = 20
 BLOCKS = 1024
 COMPUTED = ("lines_removed", "words_removed")
-_LINES = "doc_id long, tie long, pos int, line long, windows array<int>"
 
 
 def windows_of(counts: np.ndarray, min_words: int) -> list[list[int]]:
@@ -70,20 +71,25 @@ def windows_of(counts: np.ndarray, min_words: int) -> list[list[int]]:
 
 def full_lines(text: str) -> list[str]:
     """The lines with a word."""
-    return [x for x in text.split("\n") if x.strip()]
+    return [x for x in text.split("\n") if x.strip(SPACE)]
+
+
+def n_words(line: str) -> int:
+    """The number of words of a line: runs between space and the ASCII controls from tab to carriage return."""
+    return len(line.encode().split())  # bytes know the ASCII spaces only
 
 
 def without(text: str, runs: list[dict]) -> tuple[str, int, int]:
     """The text without the runs of its full lines; the lines and words that go."""
     lines = text.split("\n")
-    full = np.array([bool(x.strip()) for x in lines])
+    full = np.array([bool(x.strip(SPACE)) for x in lines])
     gone = np.zeros(int(full.sum()), bool)
     for r in runs:
         gone[r["start"] : r["start"] + r["length"]] = True
     before = np.cumsum(full)  # full lines up to each line
     beside = np.concatenate([[False], gone, [False]])
     drop = np.where(full, beside[before], beside[before] & beside[np.minimum(before + 1, len(beside) - 1)])
-    words = sum(len(x.split()) for x, d in zip(lines, drop, strict=True) if d)
+    words = sum(n_words(x) for x, d in zip(lines, drop, strict=True) if d)
     return "\n".join(x for x, d in zip(lines, drop, strict=True) if not d), int(drop.sum()), words
 
 
@@ -92,21 +98,20 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-            doc, tie, pos, ids, wins = [], [], [], [], []
-            for d, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, pos, ids, wins = [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 lines = full_lines(text)
-                doc += [d] * len(lines)
-                tie += [t] * len(lines)
+                own += [k] * len(lines)
                 pos += range(len(lines))
                 ids += [xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x in lines]
-                wins += windows_of(np.array([len(x.split()) for x in lines]), min_words)
+                wins += windows_of(np.array([n_words(x) for x in lines]), min_words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(pos, pa.int32()), pa.array(ids, pa.int64()), pa.array(wins, pa.list_(pa.int32()))],
+                [batch.column(0).take(at := pa.array(own, pa.int64())), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(ids, pa.int64()), pa.array(wins, pa.list_(pa.int32()))],
                 names=["doc_id", "tie", "pos", "line", "windows"],
             )
 
-    keyed = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return keyed.mapInArrow(run, _LINES)
+    keyed = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, pos int, line long, windows array<int>")
 
 
 def _ranked(classes: DataFrame, group: list[str], block, order: list[str], base) -> DataFrame:
@@ -149,7 +154,7 @@ def later_copies(suffixes: DataFrame, k: int) -> DataFrame:
     wins = suffixes.select("doc_id", "tie", "pos", "rank", F.explode("windows").alias("m")).filter(F.col("m").between(low, 2 * low - 1))
     if k:
         # a null doc_id must meet itself; rows of one document have equal ranks, so one of them is enough
-        key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), "tie"]
+        key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), "tie"]
         ends = suffixes.groupBy(*key, F.col("pos").alias("at")).agg(F.first("rank").alias("last"))
         wins = wins.select("*", *key[:2], (F.col("pos") + F.col("m") - low).alias("at")).join(ends, ["_id", "_no_id", "tie", "at"])
     else:
@@ -185,7 +190,7 @@ def _dedup(docs: DataFrame, min_words: int) -> DataFrame:
     with scratch(docs.sparkSession):
         runs = stored(deletions(docs, min_words), "runs", keep=True)
     runs = runs.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.xxhash64("text") == F.col("_tie")), "left")
+    joined = docs.join(runs, (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.xxhash64("text") == F.col("_tie")), "left")
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lines_removed int", "words_removed int"])
     names = docs.columns
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
