@@ -11,8 +11,9 @@ their sets is ``THRESHOLD`` or more.
    a token meet in a bucket.  A bucket of over ``LIMIT`` nodes is split again by
    tokens chosen by a hash of its path, unless over half of it came from its
    parent together (then its nodes are alike and splitting can't part them).
-   ``RUNS`` runs give a pair at the threshold several hundred to one to meet;
-   see ``missed``.
+   Runs are repeated until a pair at the threshold meets with the chance
+   ``RECALL``: each split lets it slip, so ``missed`` takes the deepest split
+   that the data brought about.
 3. Buckets are compared by brute force in blocks of ``BLOCK`` nodes, so that a
    bucket of any size is spread over tasks and no task holds more than two
    blocks.  Sampled tokens rule pairs out; a pair that meets in several buckets
@@ -25,7 +26,9 @@ their sets is ``THRESHOLD`` or more.
 Nulls: null and empty texts have no shingle; each is a class of its own without
 links.  A null doc_id is less than any other, so a class with one has it as its
 class_id.  Rows equal in doc_id and text are each returned, with equal values.  An
-empty table gives an empty result.  Extra columns are not read.
+empty table gives an empty result.  A doc_id may have any type that has an order;
+extra columns are not read.  A very long text is one set, held by one task at a
+time; it is compared like any other.
 """
 
 from __future__ import annotations
@@ -45,7 +48,9 @@ from .common import protected, scratch, stored
 SHINGLE = 5
 THRESHOLD = 0.8
 TOKENS = 64
-RUNS = 10
+#: Runs at first; then so many more at a time, until a pair at the threshold meets with the chance RECALL.
+RUNS, MORE = 10, 2
+RECALL = 0.9999
 #: Tokens chosen of a bucket that is split: two of TOKENS on average, so that a pair at the threshold more than survives each split.
 SPLIT = 2.0
 DEPTH = 4
@@ -66,9 +71,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _SEEDS = _mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def missed(similarity: float, runs: int = RUNS) -> float:
-    """Bound on the chance that a pair of this similarity meets in no bucket that is not split."""
-    return (1 - similarity) ** runs
+def missed(similarity: float, runs: int = RUNS, splits: int = 0) -> float:
+    """The chance that a pair of this similarity meets in no bucket, if all that it meets in are split so many times.
+
+    Of a pair that meets in a bucket each sampled token is chosen for the next
+    step with the chance SPLIT / TOKENS, and is shared with that of similarity.
+    """
+    met = 1.0
+    for _ in range(splits):
+        met = 1 - (1 - SPLIT / TOKENS * similarity * met) ** TOKENS
+    return (1 - similarity * met) ** runs
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +147,8 @@ def sketched(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "tie", "text_id", "node", "n", "tokens"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "doc_id long, tie long, text_id binary, node binary, n int, tokens binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, text_id binary, node binary, n int, tokens binary")
 
 
 def _chosen(path: np.ndarray, rate: float) -> np.ndarray:
@@ -151,8 +163,9 @@ def _paths(path: np.ndarray, place: np.ndarray, token: np.ndarray) -> np.ndarray
         return _mix(_mix(path * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)) + token.astype(np.uint64))
 
 
-def split(rows: DataFrame, first: bool) -> DataFrame:
-    """(node, tokens[, path]) → (path, node): the buckets one step further."""
+def split(rows: DataFrame, runs: range | None = None) -> DataFrame:
+    """(node, tokens[, path, size]) → (path, node, parent_size): the buckets one step further; at the start those of the given runs."""
+    first = runs is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +174,8 @@ def split(rows: DataFrame, first: bool) -> DataFrame:
             tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
             nodes = batch.column(0)
             if first:
-                at = np.repeat(np.arange(len(tokens)), RUNS)
-                place = np.tile(np.arange(RUNS), len(tokens))  # a run starts with one token, as good as chosen at random
+                at = np.repeat(np.arange(len(tokens)), len(runs))
+                place = np.tile(np.array(runs), len(tokens))  # a run starts with one token, as good as chosen at random
                 path = np.zeros(len(at), np.uint64)
             else:
                 own = batch.column(2).to_numpy().astype(np.int64).view(np.uint64)
@@ -183,7 +196,17 @@ def split(rows: DataFrame, first: bool) -> DataFrame:
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """(path, node, size): the buckets of two nodes or more that are compared by brute force."""
-    level, out = split(nodes, True), None
+    out, splits = _run(nodes, range(RUNS))
+    done = RUNS
+    while missed(THRESHOLD, done, splits) > 1 - RECALL and done < TOKENS:
+        more, deeper = _run(nodes, range(done, min(TOKENS, done + MORE)))
+        out, splits, done = out.unionByName(more), max(splits, deeper), done + MORE
+    return out
+
+
+def _run(nodes: DataFrame, runs: range) -> tuple[DataFrame, int]:
+    """The buckets of these runs, and how often the most divided were split."""
+    level, out = split(nodes, runs), None
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         level = stored(level.join(sizes, "path"), f"buckets-{depth}")
@@ -193,8 +216,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
         big = level.filter(~last)
         if depth == DEPTH or big.isEmpty():
             break
-        level = split(big.join(nodes.select("node", "tokens"), "node"), False)
-    return out
+        level = split(big.join(nodes.select("node", "tokens"), "node"))
+    return out, depth - 1
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -364,7 +387,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             value, starts = shingle_sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([value[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["node", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     own = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["tie"] == wanted["tie"])
     found = texts.join(wanted, own).select("node", "text")
     return found.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"])
@@ -406,6 +429,6 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
     own = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))
     with scratch(docs.sparkSession):
         keys = stored(join(docs).filter(own).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct(), "first-of-each", keep=True)
-    keyed = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_t": F.xxhash64("text")})
+    keyed = docs.withColumns({"_d": F.col("doc_id"), "_t": F.xxhash64("text")})
     kept = keyed.join(keys, keyed["_d"].eqNullSafe(keys["_d"]) & (keyed["_t"] == keys["_t"]), "left_semi")
     return kept.dropDuplicates(["_d", "_t"]).drop("_d", "_t")
