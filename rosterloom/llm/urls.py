@@ -10,7 +10,14 @@ Native: DataFrame and SQL functions and ``pyspark.ml`` only.
   digits and signs, entropy of the host, counts of parameters, and the share of
   blocked URLs among the training URLs with the same suffix, the same last two
   host labels, or the same first path segment (smoothed, so that an unseen
-  value gives the mean).
+  value gives the mean).  The shares of a training URL come from the other
+  folds of the training table, so the trees learn to trust a share no further
+  than it holds for new URLs.
+* ``learn`` and ``probability`` can be used apart, as ``held_out`` does: it trains
+  on a part of the labelled URLs and scores the rest.
+
+The statistics and the trees come from the bounded sample alone, so they hold at
+most as many values as it has rows, however many URLs are judged.
 
 Nulls: a null url, or one without ``://``, has an empty host and path; no rule
 fits it and the trees judge its (empty) features.  Empty and very long urls,
@@ -30,8 +37,10 @@ from .common import stored
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
-#: Statistics kept of each kind (suffix, site, first segment), those of the most URLs: a bound on what is broadcast.
-MAX_STATS = 10_000
+#: URLs of the mean that a share of blocked URLs is smoothed with.
+SMOOTH = 10
+#: Folds of the training table for the shares of its own URLs.
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -115,35 +124,76 @@ def lexical(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.withColumns(features).withColumns(keys), list(features)
 
 
-def _with_stats(df: DataFrame, train: DataFrame, mean: float) -> tuple[DataFrame, list[str]]:
-    out = []
-    for key in ("k_suffix", "k_site", "k_first"):
-        sums = train.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).orderBy(F.desc("n"), key).limit(MAX_STATS)
-        name = key.replace("k_", "f_block_")
-        stats = sums.select(F.col(key), ((F.col("s") + 10 * mean) / (F.col("n") + 10)).alias(name))
-        df = df.join(F.broadcast(stats), key, "left").na.fill({name: mean})
-        out.append(name)
-    return df, out
+KEYS = ("k_suffix", "k_site", "k_first")
 
 
-def judge(pages: DataFrame, rules=RULES, most: int = MAX_TRAIN) -> DataFrame:
-    """(page_id, host, path, rule, verdict, p_block) of every page; p_block is null where a rule decides."""
+class Trees(NamedTuple):
+    """Boosted trees with the sums of their training URLs; ``model`` is None where only one label was seen, ``mean`` its share."""
+
+    model: object
+    names: list[str]
+    sums: dict[str, DataFrame]
+    mean: float
+
+
+def with_shares(df: DataFrame, sums: dict[str, DataFrame], mean: float, own: bool = False) -> DataFrame:
+    """Add the smoothed share of blocked URLs of each key; ``own``: rows of the training table, whose fold doesn't count."""
+    for key, found in sums.items():
+        # as many rows as the bounded training table at most
+        every = found.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        df = df.join(F.broadcast(every), key, "left")
+        n, s = F.coalesce("n", F.lit(0)), F.coalesce("s", F.lit(0.0))
+        if own:
+            df = df.join(F.broadcast(found.withColumnsRenamed({"n": "n_own", "s": "s_own"})), [key, "fold"], "left")
+            n, s = n - F.coalesce("n_own", F.lit(0)), s - F.coalesce("s_own", F.lit(0.0))
+        df = df.withColumn(key.replace("k_", "f_block_"), (s + SMOOTH * mean) / (n + SMOOTH)).drop("n", "s", "n_own", "s_own")
+    return df
+
+
+def learn(train: DataFrame) -> Trees:
+    """``train``: the columns of ``lexical`` with label (1: block), a bounded table."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    rows, names = lexical(parsed(pages, rules))
-    labelled = rows.filter("by_rule is not null").orderBy(F.xxhash64("url"), "page_id").limit(most)
-    train = stored(labelled.withColumn("label", F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0)), "urls")
     n, blocked = train.agg(F.count(F.lit(1)), F.sum("label")).first()
+    names = [c for c in train.columns if c.startswith("f_")] + [k.replace("k_", "f_block_") for k in KEYS]
     if not n or blocked in (0, n):
-        p = F.lit(1.0 if n and blocked else 0.0)
-        judged = rows.withColumn("p", p)
-    else:
-        learn, stats = _with_stats(train, train, blocked / n)
-        assemble = VectorAssembler(inputCols=names + stats, outputCol="features")
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, subsamplingRate=1.0).fit(assemble.transform(learn).select("features", "label"))
-        every, _ = _with_stats(rows, train, blocked / n)
-        judged = model.transform(assemble.transform(every)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+        return Trees(None, names, {}, 1.0 if n and blocked else 0.0)
+    mean = blocked / n
+    train = train.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
+    sums = {k: stored(train.groupBy(k, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")), k) for k in KEYS}
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(with_shares(train, sums, mean, own=True))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, subsamplingRate=1.0).fit(rows.select("features", "label"))
+    return Trees(model, names, sums, mean)
+
+
+def probability(rows: DataFrame, trees: Trees) -> DataFrame:
+    """Add ``p``, the probability of a block, to a table of ``lexical``."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    if trees.model is None:
+        return rows.withColumn("p", F.lit(trees.mean))
+    every = VectorAssembler(inputCols=trees.names, outputCol="features").transform(with_shares(rows, trees.sums, trees.mean))
+    return trees.model.transform(every).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+
+
+def labelled(rows: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """At most ``most`` rows that a rule decides, those of the lowest hash, with ``label``."""
+    found = rows.filter("by_rule is not null").orderBy(F.xxhash64("url"), "page_id").limit(most)
+    return stored(found.withColumn("label", F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0)), "urls")
+
+
+def judge(pages: DataFrame, rules=RULES, most: int = MAX_TRAIN) -> DataFrame:
+    """(page_id, host, path, rule, verdict, p_block) of every page; p_block is null where a rule decides."""
+    rows, _ = lexical(parsed(pages, rules))
+    judged = probability(rows, learn(labelled(rows, most)))
     p = F.when(F.col("by_rule").isNull(), F.col("p"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("p") >= 0.5, "block").otherwise("allow")).alias("verdict"), p.alias("p_block"))
+
+
+def held_out(pages: DataFrame, rules=RULES, most: int = MAX_TRAIN, folds: int = 3) -> DataFrame:
+    """(page_id, label, p) of the labelled URLs whose host is in the last of ``folds`` parts: the trees learn from the others."""
+    rows = labelled(lexical(parsed(pages, rules))[0], most)
+    last = F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == folds - 1
+    return probability(rows.filter(last), learn(rows.filter(~last))).select("page_id", "label", "p")
