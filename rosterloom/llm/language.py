@@ -1,89 +1,95 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-* ``learn`` counts character n-grams (orders 1 to ``ORDER``) inside words,
-  each word with a space before and after it, per language, over a bounded
-  sample of rows with a known language.  Counts are summed by Spark.
-* Each model is a sorted array of 64-bit n-gram hashes with, for every
-  language, the interpolated Kneser-Ney probability; a lookup is a binary
-  search, and an unseen n-gram backs off to its suffix with the weight of its
-  context, which lies in the same arrays.
+* ``learn`` counts character n-grams (orders 1 to ``ORDER``) inside words, each
+  word with a space before and after it, per language, over a bounded sample of
+  rows with a known language.  Counts, continuation counts, discounts and the
+  interpolated probabilities are Spark aggregates and joins over the n-grams of
+  all languages; none is cut off.
+* Each language's model is a sorted array of 64-bit n-gram hashes with the
+  probabilities of n-grams and the back-off weights of contexts; a lookup is a
+  binary search, and an unseen n-gram backs off to its suffix with the weight of
+  its context.
 * ``predict`` takes the lowest cross-entropy per character.  ``score`` is the
   probability that the answer is right, from the gap between the two best
   entropies by a logistic curve calibrated on the part of the sample that the
-  counts leave out; ``rejected`` marks scores under the calibrated floor.
+  counts leave out; ``rejected`` marks scores under a floor that ``REJECT`` of
+  the right answers of that part don't reach.
 
 Contexts don't cross words, so a word has one score per language: each task
 keeps the scores of the words it has met (bounded), and a text's entropy is a
-sum over its words.
-
-Nulls: a text that is null or has no letter gets ``und``, score 0.  Repeated
-rows get equal answers; extra columns are dropped.  With no labelled row every
-text gets ``und``.
+sum over its words.  A word is a letter with the letters and marks after it, in
+any script.
+
+Nulls: a text that is null or has no letter gets ``und``, score 0.  Very long
+texts are scored whole; a very long word in parts of ``LONGEST``.  Of languages
+with equal entropies the first in order of name is taken.  Repeated rows get
+equal answers; extra columns are dropped.  An empty table gives an empty result.
+With no labelled row every text gets ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 ORDER = 4
-#: Rows per language for the counts and the calibration.
+#: Rows per language for the counts and the calibration: these bound the size of its model.
 MAX_ROWS = 1_500
-#: N-grams kept in all, those of the highest counts; a bound on the size of the model.
-MAX_GRAMS = 400_000
+#: Share of the right answers of the calibration that the floor rejects.
+REJECT = 0.01
 MAX_WORDS = 500_000
 LONGEST = 64
 FLOOR_CHAR = 1e-7
-_CUT = re.compile(r"[\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def split_words(text: str) -> list[str]:
-    """Lower-cased runs of letters; a longer run is cut into parts of ``LONGEST``."""
-    found = _CUT.sub(" ", text.lower()).split()
+    """Lower-cased runs of letters and the marks on them; a longer run is cut into parts of ``LONGEST``."""
+    found = _WORD.findall(text.lower())
     if len(text) > LONGEST and any(len(w) > LONGEST for w in found):
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
 
-def gram_hash(gram: str) -> int:
-    """A 64-bit value of at most ``ORDER`` characters: exact, 16 bits each after folding the code point."""
-    h = 0
-    for c in gram:
-        cp = ord(c)
-        h = (h << 16) | ((cp if cp < 0x10000 else (cp * 2654435761) & 0xFFFF) or 1)
+def _folded(cp: np.ndarray) -> np.ndarray:
+    """16 bits of each code point; the value of one outside the basic plane is mixed."""
+    c = np.where(cp < 0x10000, cp, (cp.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFF)).astype(np.uint64)
+    c[c == 0] = 1
+    return c
+
+
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    """64-bit values of grams of at most ``ORDER`` characters: 16 bits each, the last character lowest."""
+    cp = np.array(grams, dtype=f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+    h = np.zeros(len(cp), np.uint64)
+    for k in range(ORDER):
+        h = np.where(cp[:, k] > 0, (h << np.uint64(16)) | _folded(cp[:, k]), h)
     return h
 
 
 @dataclass
 class Model:
-    """Sorted hash arrays: for a gram its probability, for a context its back-off weight, by language."""
+    """For each language sorted hashes with, for a gram its log probability and for a context its log back-off weight."""
 
     languages: tuple[str, ...]
-    keys: np.ndarray
-    logp: np.ndarray
-    backoff: np.ndarray
+    keys: list[np.ndarray]
+    logp: list[np.ndarray]
+    backoff: list[np.ndarray]
     curve: tuple[float, float] = (0.0, 4.0)
     floor: float = 0.5
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of hashes in the sorted array, and whether they are there."""
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        return at, self.keys[at] == h
-
     def words(self, ws: list[str]) -> np.ndarray:
         """The natural log probability of each word (with the space after it) in every language."""
-        cp = np.frombuffer((" " + " ".join(ws) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        c = np.where(cp < 0x10000, cp, (cp * np.uint64(2654435761)) & np.uint64(0xFFFF))
-        c[c == 0] = 1
+        cp = np.frombuffer((" " + " ".join(ws) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        c = _folded(cp)
         n, i = len(c), np.arange(len(c))
         space = np.maximum.accumulate(np.where(cp == 32, i, 0))
         order = np.minimum(i[1:] - space[:-1], ORDER - 1)  # characters of context, back to the space before the word
@@ -92,22 +98,36 @@ class Model:
             past = np.zeros(n - 1, dtype=np.uint64)
             past[k - 1 :] = c[: n - k]
             h |= np.where(order >= k, past << np.uint64(16 * k), np.uint64(0))
-        total = np.zeros((n - 1, len(self.languages)))
-        open_, full = np.arange(n - 1), np.uint64(0xFFFFFFFFFFFFFFFF)
+        grams, back = np.unique(h, return_inverse=True)
+        orders = np.zeros(len(grams), np.int64)
+        orders[back] = order
+        starts = np.flatnonzero(cp[:-1] == 32)
+        return np.column_stack([np.add.reduceat(self._of(k, grams, orders)[back], starts) for k in range(len(self.languages))])
+
+    def _of(self, k: int, grams: np.ndarray, orders: np.ndarray) -> np.ndarray:
+        """The log probability of the last character of each gram after the others, in the k-th language."""
+        keys, h, order = self.keys[k], grams.copy(), orders.copy()
+        total, open_, full = np.zeros(len(h)), np.arange(len(h)), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+        def find(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(keys, x)
+            at[at == len(keys)] = 0
+            return at, keys[at] == x
+
         while len(open_):
-            at, hit = self.find(h[open_])
-            total[open_[hit]] += self.logp[at[hit]]
+            at, hit = find(h[open_])
+            hit &= ~np.isnan(self.logp[k][at])
+            total[open_[hit]] += self.logp[k][at[hit]]
             open_ = open_[~hit]
             last = order[open_] == 0
             total[open_[last]] += np.log(FLOOR_CHAR)
             open_ = open_[~last]
             if len(open_):  # the weight of the context, then the gram without its first character
-                at, hit = self.find(h[open_] >> np.uint64(16))
-                total[open_[hit]] += self.backoff[at[hit]]
+                at, hit = find(h[open_] >> np.uint64(16))
+                total[open_[hit]] += self.backoff[k][at[hit]]
                 h[open_] &= full >> (np.uint64(64) - np.uint64(16) * order[open_].astype(np.uint64))
                 order[open_] -= 1
-        starts = np.flatnonzero(cp[:-1] == 32)
-        return np.add.reduceat(total, starts, axis=0)
+        return total
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -132,49 +152,52 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: list[tuple[str, str, int]]) -> Model:
-    """Interpolated Kneser-Ney from (lang, gram, n) of orders 1 to ``ORDER``, one discount per order."""
-    languages = tuple(sorted({c[0] for c in counts}))
-    place = {g: i for i, g in enumerate(sorted({c[1] for c in counts} | {c[1][:-1] for c in counts if len(c[1]) > 1}, key=gram_hash))}
-    logp = np.full((len(place), len(languages)), np.nan, dtype=np.float64)
-    backoff = np.zeros((len(place), len(languages)), dtype=np.float64)
-    for k, lang in enumerate(languages):
-        raw = {g: n for at, g, n in counts if at == lang}
-        # a lower order counts the different characters before it; a gram that begins a word keeps its own count
-        left: dict[str, int] = {}
-        for g in raw:
-            if len(g) > 1:
-                left[g[1:]] = left.get(g[1:], 0) + 1
-        adjusted = {g: n if len(g) == ORDER or g[0] == " " else left.get(g, 1) for g, n in raw.items()}
-        prob: dict[str, float] = {}
-        for order in range(1, ORDER + 1):
-            here = {g: n for g, n in adjusted.items() if len(g) == order}
-            n1, n2 = sum(n == 1 for n in here.values()), sum(n == 2 for n in here.values())
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            total: dict[str, int] = {}
-            kinds: dict[str, int] = {}
-            for g, n in here.items():
-                total[g[:-1]] = total.get(g[:-1], 0) + n
-                kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-            for g, n in here.items():
-                c = g[:-1]
-                rest = d * kinds[c] / total[c]
-                lower = prob.get(g[1:], FLOOR_CHAR) if order > 1 else 1.0 / (len(here) + 1)
-                prob[g] = (n - d) / total[c] + rest * lower
-            for c, n in total.items():
-                if c:
-                    backoff[place[c], k] = np.log(d * kinds[c] / n)
-        for g, p in prob.items():
-            logp[place[g], k] = np.log(p)
-    # a gram that only some languages have gets the backed-off probability in the others
-    for g in sorted(place, key=len):
-        miss = np.isnan(logp[place[g]])
-        if miss.any():
-            shorter = logp[place[g[1:]]] if len(g) > 1 and g[1:] in place else np.full(len(languages), np.log(FLOOR_CHAR))
-            weight = backoff[place[g[:-1]]] if len(g) > 1 and g[:-1] in place else np.zeros(len(languages))
-            logp[place[g], miss] = (shorter + weight)[miss]
-    keys = np.array([gram_hash(g) for g in place], dtype=np.uint64)
-    return Model(languages, keys, logp.astype(np.float32), backoff.astype(np.float32))
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, gram, logp, backoff) from (lang, gram, n) of orders 1 to ``ORDER``: interpolated Kneser-Ney, a discount per order.
+
+    A lower order counts the different characters before it; a gram that begins
+    a word keeps its own count.
+    """
+    rows = counts.withColumn("k", F.length("gram"))
+    left = rows.filter("k > 1").groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("left"))
+    own = (F.col("k") == ORDER) | F.startswith("gram", F.lit(" "))
+    rows = rows.join(left, ["lang", "gram"], "left").select("lang", "k", "gram", F.when(own, F.col("n")).otherwise(F.coalesce("left", F.lit(1))).alias("a"))
+    rows = stored(rows.withColumn("context", F.substring(F.col("gram"), F.lit(1), F.col("k") - 1)), "adjusted")
+    n1, n2 = F.count_if(F.col("a") == 1), F.count_if(F.col("a") == 2)
+    discounts = rows.groupBy("lang", "k").agg(F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(0.5).alias("d"), F.count(F.lit(1)).alias("kinds_all"))
+    contexts = rows.groupBy("lang", "k", "context").agg(F.sum("a").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    # a row per language and order
+    contexts = contexts.join(F.broadcast(discounts), ["lang", "k"]).withColumn("rest", F.col("d") * F.col("kinds") / F.col("total"))
+    facts = rows.join(contexts, ["lang", "k", "context"])
+    lower, found = None, None
+    for k in range(1, ORDER + 1):
+        here = facts.filter(F.col("k") == k)
+        if lower is None:
+            below = 1 / (F.col("kinds_all") + 1)
+        else:
+            here = here.withColumn("suffix", F.substring("gram", 2, ORDER)).join(lower, ["lang", "suffix"], "left")
+            below = F.coalesce("p_lower", F.lit(FLOOR_CHAR))
+        here = stored(here.select("lang", "gram", ((F.col("a") - F.col("d")) / F.col("total") + F.col("rest") * below).alias("p")), f"order-{k}")
+        lower = here.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_lower"))
+        found = here if found is None else found.unionByName(here)
+    weights = contexts.filter("context <> ''").select("lang", F.col("context").alias("gram"), F.log("rest").alias("backoff"))
+    return found.join(weights, ["lang", "gram"], "full").select("lang", "gram", F.log("p").alias("logp"), "backoff")
+
+
+def model_of(grams: DataFrame) -> Model | None:
+    """The model of (lang, gram, logp, backoff): finished arrays of a bounded sample's n-grams, by language."""
+    table = grams.toArrow()
+    langs = np.array(table.column("lang").to_pylist(), dtype=object)
+    if not len(langs):
+        return None
+    hashes = gram_hashes(table.column("gram").to_pylist())
+    logp, backoff = (table.column(c).to_numpy().astype(np.float32) for c in ("logp", "backoff"))
+    model = Model(tuple(sorted(set(langs))), [], [], [])
+    for lang in model.languages:
+        own = np.flatnonzero(langs == lang)
+        own = own[np.argsort(hashes[own], kind="stable")]
+        model.keys.append(hashes[own]), model.logp.append(logp[own]), model.backoff.append(np.nan_to_num(backoff[own], nan=0.0))
+    return model
 
 
 def entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -235,12 +258,11 @@ def sample(docs: DataFrame, where, most: int = MAX_ROWS) -> DataFrame:
 
 
 def learn(train: DataFrame) -> Model | None:
-    """``train``: see ``sample``.  At most ``MAX_GRAMS`` counts reach the driver."""
+    """``train``: see ``sample``."""
     train = stored(train, "language-sample")
-    counts = _counts(train.filter("part = 0")).orderBy(F.length("gram"), F.col("n").desc(), "gram", "lang").limit(MAX_GRAMS).collect()
-    if not counts:
+    model = model_of(kneser_ney(stored(_counts(train.filter("part = 0")), "grams")))
+    if model is None:
         return None
-    model = kneser_ney([(r["lang"], r["gram"], r["n"]) for r in counts])
     held = entropies(train.filter("part = 1"), model, ["lang"]).filter("best is not null")
     cells = held.groupBy(F.round(_evidence(), 1).alias("x"), (F.col("best") == F.col("lang")).alias("right")).count().collect()
     if cells:
@@ -252,6 +274,11 @@ def learn(train: DataFrame) -> Model | None:
             step = np.linalg.solve((d * (n * p * (1 - p))[:, None]).T @ d + 0.1 * np.eye(2), d.T @ (n * (y - p)) - 0.1 * (w - [0, 1]))
             w = w + np.clip(step, -2, 2)
         model.curve = (float(w[0]), float(max(0.1, w[1])))
+        p = 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * x)))
+        order = np.argsort(p, kind="stable")
+        right = np.cumsum((n * y)[order])
+        if right[-1]:  # at most REJECT of the right answers lie under the floor
+            model.floor = float(p[order][np.searchsorted(right, REJECT * right[-1], side="right")]) - 1e-9
     return model
 
 
