@@ -16,8 +16,9 @@ Native: DataFrame and SQL functions only.
 
 Nulls: a null text counts as empty.  Rows with equal text get equal
 fingerprints.  Repeated rows follow each other in order of doc_id, then of the
-text's hash; a null doc_id comes first.  An empty table gives no rows.  Only
-``doc_id`` and ``text`` are read.
+text's hash; a null doc_id comes first.  A doc_id is a number.  A very long text
+is edited and hashed whole; its terms are spread over rows.  An empty table gives
+no rows.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, quantile_cuts, range_of
+from .common import partitions, quantile_cuts, range_of, stored
 
 #: Share of documents that hold a term: the band.
 LOW, HIGH = 0.0005, 0.2
@@ -60,14 +61,30 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return held.select("term", members.alias("members")).filter("members <> 0")
 
 
+def _masks(first: int, n: int) -> Column:
+    """The bits of ``n`` subsets as a tree: of fours for 16, and single bits for four."""
+    if n == 4:
+        return F.array(*[F.lit(1 << (first + k)).cast("long") for k in range(4)])
+    step = TIER if n > TIER else 4
+    bits = lambda at: F.lit(((1 << step) - 1) << at).cast("long")
+    return F.array(*[F.struct(bits(at).alias("bits"), _masks(at, step).alias("below")) for at in range(first, first + n, step)])
+
+
 def parts(found: Column) -> Column:
-    """Parts of a fingerprint from sorted (term, members)."""
+    """Parts of a fingerprint from sorted (term, members).
+
+    Terms are first dealt to tiers, then to fours of subsets, then to the
+    subsets: a term is looked at some ten times, not once for each subset.
+    """
+    held = lambda xs, bits: F.filter(xs, lambda x: x["members"].bitwiseAND(bits) != 0)
+    once = lambda value, body: F.flatten(F.transform(F.array(value), body))
 
-    def part(r: Column) -> Column:
-        own = F.transform(F.filter(found, lambda x: F.getbit(x["members"], r) == 1), lambda x: x["term"])
-        return F.when(F.size(own) == 0, "-").otherwise(F.substring(F.md5(F.array_join(own, " ")), 1, 6))
+    def part(own: Column) -> Column:
+        return F.when(F.size(own) == 0, "-").otherwise(F.substring(F.md5(F.array_join(F.transform(own, lambda x: x["term"]), " ")), 1, 6))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), part)
+    four = lambda f: lambda xs: F.transform(f["below"], lambda bit: F.element_at(F.transform(F.array(held(xs, bit)), part), 1))
+    tier = lambda t: lambda xs: F.flatten(F.transform(t["below"], lambda f: once(held(xs, f["bits"]), four(f))))
+    return F.flatten(F.transform(_masks(0, SUBSETS), lambda t: once(held(found, t["bits"]), tier(t))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -113,8 +130,7 @@ def compare(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
     The edited text has its last quarter replaced by the beginning of the next document.
     """
-    lex = lexicon(docs, low, high)
-    lex = lex.persist()
+    lex = stored(lexicon(docs, low, high), "lexicon")
     lex = F.broadcast(lex) if lex.count() <= MAX_BROADCAST else lex
     rows = with_next(docs)
     n = F.length("text")
