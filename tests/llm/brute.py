@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+SPACE = " \t\n\x0b\x0c\r"
+
 
 def line_dedup(docs: list[tuple], min_words: int) -> dict:
     """(doc_id, text) in order → doc_id → text: every run of enough words that occurs earlier is deleted."""
@@ -13,12 +15,12 @@ def line_dedup(docs: list[tuple], min_words: int) -> dict:
         if text is None:
             continue
         lines = text.split("\n")
-        full = [k for k, x in enumerate(lines) if x.strip()]
+        full = [k for k, x in enumerate(lines) if x.strip(SPACE)]
         gone: set[int] = set()
         for i in range(len(full)):
             for j in range(i + 1, len(full) + 1):
                 run = tuple(lines[k] for k in full[i:j])
-                if sum(len(x.split()) for x in run) >= min_words:
+                if sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in run) >= min_words:
                     if run in seen:
                         gone.update(range(i, j))
                     seen.add(run)
