@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.llm import jaccard, linededup, mixing, packing, quality
-from rosterloom.llm.common import SPACE, protected, stored, table
+from rosterloom.llm.common import SPACE, protected, stored, table, written_order
 from rosterloom.llm.queries import tokenizer_paths
 
 
@@ -35,13 +35,18 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix takes, in the order of training."""
+    """A row per copy that the mix takes, in the order of training: so are the files that they are written to."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
-    return packing.pack(docs, **tokenizer_paths())
+    """Pieces of sequences of 1024 tokens.
+
+    Ranges of sequences follow the order in which the documents were written;
+    neighbours along the curve are packed together inside a range.  ``position``
+    is that order, and tells copies of a document apart.
+    """
+    return packing.pack(docs, **tokenizer_paths(), order=written_order(docs))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("mixing sources to target weights", mix), ("packing", pack)]
