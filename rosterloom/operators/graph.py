@@ -6,6 +6,7 @@ that the plan stays short and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def materialised(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the folder in ``spark.checkpoint.dir`` and read again (a temporary folder only where none is set)."""
+    """Write to the folder in ``spark.checkpoint.dir`` and read again (a temporary folder only where none is set, on one machine)."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
