@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .fingerprints import BOUNDS, ENOUGH, HIGH, LOW, TIER
+from .jaccard import SHINGLE, THRESHOLD
+from .linededup import MIN_WORDS
 from .mixing import SCHEDULES, WEIGHTS
 
 SQL: dict[str, str] = {}
@@ -14,6 +16,51 @@ _LIKE = f"""(select coalesce(max(same::double / used) filter (used >= {ENOUGH}),
       select unnest(string_split({{0}}, '.')) as x, unnest(string_split({{1}}, '.')) as y, unnest(range(greatest(len(string_split({{0}}, '.')), len(string_split({{1}}, '.'))))) as r)
     group by r // {TIER}))"""
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+# least windows of enough words, from their first line on and up to their last; each but its first occurrence goes
+SQL["op1_line_dedup"] = rf"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as k from documents where text is not null),
+w as (
+  select *, len(regexp_extract_all(line, '{_WORD}')) as n, count(*) filter (n > 0) over (partition by doc_id order by k) as before from l),
+f as (
+  select doc_id, line, n, before as pos, sum(n) over (partition by doc_id order by k) as upto from w where n > 0),
+held as (
+  select a.doc_id, a.pos as s, b.pos as e from f a join f b on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + {MIN_WORDS - 1} where b.upto - a.upto + a.n >= {MIN_WORDS}),
+windows as (
+  select doc_id, s, min(e) as e from held group by doc_id, s union select doc_id, max(s), e from held group by doc_id, e),
+content as (
+  select x.doc_id, s, e, string_agg(line, chr(10) order by pos) as c from windows x join f on f.doc_id = x.doc_id and f.pos between s and e group by all),
+later as (
+  select doc_id, s, e from (select *, row_number() over (partition by c order by doc_id, s) as rn from content) where rn > 1),
+gone as (
+  select distinct f.doc_id, f.pos from later x join f on f.doc_id = x.doc_id and f.pos between s and e),
+marked as (
+  select w.*, a.pos is not null and (n > 0 or b.pos is not null) as drop from w left join gone a on a.doc_id = w.doc_id and a.pos = w.before left join gone b on b.doc_id = w.doc_id and b.pos = w.before + 1)
+select doc_id, coalesce(string_agg(line, chr(10) order by k) filter (not drop), '') as text, count(*) filter (drop)::int as lines_removed, coalesce(sum(n) filter (drop), 0)::int as words_removed from marked group by 1
+union all select doc_id, null, 0, 0 from documents where text is null
+"""
+
+SQL["op6_jaccard"] = rf"""
+with recursive texts as (
+  select row_number() over () as id, text, min(doc_id) as first, regexp_extract_all(text, '{_WORD}') as w from documents where regexp_matches(text, '{_WORD}') group by text),
+shingles as (
+  select distinct id, unnest(case when len(w) < {SHINGLE} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) end) as x from texts),
+sizes as (
+  select id, count(*) as n from shingles group by 1),
+half as (
+  select a.id as u, b.id as v from shingles a join shingles b on a.x = b.x and a.id < b.id join sizes m on m.id = a.id join sizes n on n.id = b.id
+  where least(m.n, n.n) >= {THRESHOLD} * greatest(m.n, n.n) group by a.id, b.id, m.n, n.n having count(*) >= {THRESHOLD} * (m.n + n.n - count(*)) - 1e-6),
+edges as (
+  select u, v from half union all select v, u from half),
+cc(node, comp) using key (node) as (
+  select id, first from texts union
+  (select e.v, min(c.comp) from cc c join edges e on c.node = e.u join recurring.cc r on r.node = e.v where c.comp < r.comp group by e.v))
+select d.doc_id, coalesce(cc.comp, d.doc_id) as class_id, (select count(*) from edges where u = t.id) as n_links
+from documents d left join texts t on t.text = d.text left join cc on cc.node = t.id
+"""
+
 SQL["op3_sharding"] = "select doc_id, lang, source, n_chars, md5(text) as text_md5, true as compacted from documents"
 
 SQL["op7_fingerprints"] = f"""
