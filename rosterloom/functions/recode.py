@@ -30,6 +30,39 @@ SCALES: dict[str, tuple[tuple[str, int], ...]] = {
 }
 
 
+#: Banded answers, as (pattern, number) in order.
+EDUCATION_YEARS = (
+    (r"^sin estudios$", 0), (r"^primaria incompleta$", 3), (r"^primaria completa$", 6), (r"^secundaria incompleta$", 8.5), (r"^secundaria completa$", 11),
+    (r"^educacion ocupacional incompleta$", 7.5), (r"^educacion ocupacional completa$", 9), (r"^superior no universitaria incompleta$", 12.5),
+    (r"^superior no universitaria completa$", 14), (r"^superior universitaria incompleta$", 13.5), (r"^superior universitaria completa$", 16), (r"^posgrado$", 19),
+)
+AGE_BANDS = (
+    (r"(^menor o igual a 25 anos$)|(menos de 12 anos$)", 1), (r"(^de 26 a 35 anos$)|(12 anos$)", 2), (r"(^de 36 a 45 anos$)|(13 anos$)", 3),
+    (r"(^de 46 a 55 anos$)|(14 anos$)", 4), (r"(^de 56 a 65 anos$)|(15 anos a mas$)", 5), (r"^mas de 65 anos$", 6),
+)
+INCOME_BANDS = (
+    (r"^menos de 200 soles$", 1), (r"^de 201 a 500 soles$", 2), (r"^de 501 a 800 soles$", 3), (r"^de 801 a 1200 soles$", 4),
+    (r"^de 1201 a 2000 soles$", 5), (r"^de 2001 a 5000 soles$", 6), (r"^de 5001 a 8000 soles$", 7), (r"^mas de 8000 soles$", 8),
+)
+BOOK_BANDS = (
+    (r"(^ninguno$)|(^1$)", 0), (r"(^entre 1 y 5 libros$)|(^2$)", 1), (r"(^entre 6 y 10 libros$)|(^3$)", 2), (r"(^entre 11 y 20 libros$)|(^4$)", 3),
+    (r"(^entre 21 y 50 libros$)|(^5$)", 4), (r"(^entre 51 y 100 libros$)|(^6$)", 5), (r"(^mas de 100 libros$)|(^7$)", 6),
+)
+TRAVEL_MINUTES = (
+    (r"^menos de 15 minutos$", 7.5), (r"^entre 5 y 15 minutos$", 10), (r"(^entre 15 y 30 minutos$)|(^entre 16 y 30 minutos$)", 22.5), (r"(^entre 30 minutos y 1 hora$)|(^entre 31 minutos y 1 hora$)", 45),
+    (r"^entre 1 y 2 horas$", 90), (r"(^entre 1 a 3 horas$)|(^mas de 2 horas$)", 120), (r"^entre 3 a 6 horas$", 270), (r"^mas de 6 horas$", 360),
+)
+TRANSPORT_KMH = (
+    (r"(^a pie$)|(^animal de carga$)", 5), (r"(^auto o taxi$)|(^lancha o peque peque$)|(^moto o mototaxi$)|(^moto$)", 40), (r"^bicicleta$", 15),
+    (r"(^bus o custer$)|(^camion$)|(^colectivo$)|(^combi o bus$)|(^transporte fluvial$)", 30),
+)
+#: Numeric codes of two questionnaires to quality ranks of walls, roofs and floors, and of education to years.
+WALL_CODES = ({1: 1, 2: 2, 3: 3, 4: 2, 5: 2, 6: 4, 7: 5, 8: 1}, {1: 5, 2: 2, 3: 4, 4: 2, 5: 2, 6: 3, 7: 1, 8: 1})
+ROOF_CODES = ({1: 4, 2: 2, 3: 1, 4: 3, 5: 4, 6: 4, 7: 6, 8: 5, 9: 7, 10: 1}, {1: 7, 2: 5, 3: 6, 4: 4, 5: 3, 6: 2, 7: 4, 8: 1})
+FLOOR_CODES = ({1: 1, 2: 3, 3: 2, 4: 4, 5: 5, 6: 6, 7: 1}, {1: 6, 2: 5, 3: 4, 4: 3, 5: 2, 6: 1, 7: 1})
+EDUCATION_CODES = {1: 0, 2: 3, 3: 6, 4: 11, 5: 14, 6: 16, 7: 19}
+
+
 def select_matching(df: DataFrame, prefix: str | None = None, regex: str | None = None, any_of: Iterable[str] = (), kind: str | None = None, drop: bool = False) -> DataFrame:
     """Columns by name, prefix, regex, list (missing names are fine) or type; ``drop`` keeps the others."""
     listed = set(any_of)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import materialised
+
 
 def strict(agg: Column, c: Column) -> Column:
     """An aggregate that is null if any value of the group is null."""
@@ -59,10 +61,39 @@ def single_or_null(c: Column, count_null: bool = False) -> Column:
     return F.when(F.count_if(c.isNull()) == 0, one) if count_null else one
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, q): exact interpolated quantiles of each group as an array, however large the group.
+
+    Distinct values are counted and range-sorted; offsets of the ranges and sums
+    inside them give the ranks, so no task holds a group's values at once.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = {b: f"_k{k}" for k, b in enumerate(by)}
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*[F.col(b).alias(k) for b, k in keys.items()], F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    names = list(keys.values())
+    rows = materialised(counts.repartitionByRange(n, *names, "_v").withColumn("_p", F.spark_partition_id()), "quantiles")
+    sums = rows.groupBy(*names, "_p").agg(F.sum("_n").alias("_s"))  # a row per group and range
+    upto = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_s").over(upto), F.lit(0)), "_all": F.sum("_s").over(Window.partitionBy(*names))}).drop("_s")
+    joined = rows.alias("r").join(sums.alias("s"), [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*names, "_p")])
+    inside = Window.partitionBy(*[f"r.{k}" for k in names], "r._p").orderBy("r._v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("s._before") + F.sum("r._n").over(inside)  # places from 1 up to which the value stands
+    ranked = joined.select(*[F.col(f"r.{k}").alias(k) for k in names], "r._v", "s._all", (last - F.col("r._n")).alias("_from"), last.alias("_to"))
+    at = lambda x: F.max(F.when((F.col("_from") <= x) & (x < F.col("_to")), F.col("_v")))
+    cells = []
+    for share in shares:
+        place = (F.col("_all") - 1) * F.lit(float(share))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        cells.append(low + (high - low) * F.max(place - F.floor(place)))
+    out = ranked.groupBy(*names).agg(F.array(*cells).alias("q")) if names else ranked.agg(F.array(*cells).alias("q"))
+    return out.withColumnsRenamed({k: b for b, k in keys.items()})
+
+
 def six_number(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles (interpolated), mean and maximum."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = df.groupBy(*by).agg(F.min(value).alias("min"), q.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    rest = df.groupBy(*by).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    q = quantiles(df, by, value, (0.25, 0.5, 0.75)).withColumnsRenamed({b: f"_q_{b}" for b in by})
+    out = rest.join(q, [F.col(b).eqNullSafe(F.col(f"_q_{b}")) for b in by], "left")
     return out.select(*by, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "max")
 
 
@@ -110,7 +141,7 @@ def density(df: DataFrame, by: Sequence[str], value: str, low: float, high: floa
 
 def percentile_groups(df: DataFrame, value: str, n: int = 100, out: str = "group") -> DataFrame:
     """Groups 1 to n by percentile cut points: equal values share a group (``ntile`` would part them)."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_cuts"))
+    cuts = quantiles(df, [], value, [i / n for i in range(1, n)]).withColumnRenamed("q", "_cuts")
     joined = df.crossJoin(F.broadcast(cuts))  # one row of n - 1 numbers
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
 

@@ -29,6 +29,25 @@ def balance_table(df: DataFrame, treat: str, covariates: Sequence[str], subset:
     return out.withColumns({"p": normal_p(F.col("t")), "std_diff": F.try_divide(F.col("mean_1") - F.col("mean_0"), F.sqrt((v0 + v1) / 2))})
 
 
+def balance_categories(df: DataFrame, treat: str, covariates: Sequence[str], subset: str | None = None) -> DataFrame:
+    """Per variable and level: count and share by arm, with the variable's chi-square, its degrees of freedom and p.
+
+    p is the normal approximation of Wilson and Hilferty.
+    """
+    keys = [subset] if subset else []
+    rows = df.select(*keys, treat, *[F.col(c).cast("string").alias(c) for c in covariates]).unpivot([*keys, treat], list(covariates), "variable", "level").dropna(subset=["level", treat])
+    cells = rows.groupBy(*keys, "variable", "level").agg(*[F.count_if(F.col(treat) == k).alias(f"n_{k}") for k in (0, 1)])
+    per = Window.partitionBy(*keys, "variable")  # a row per level
+    cells = cells.withColumns({"_0": F.sum("n_0").over(per), "_1": F.sum("n_1").over(per), "_k": F.count(F.lit(1)).over(per)})
+    both = F.col("n_0") + F.col("n_1")
+    off = lambda k: F.pow(F.col(f"n_{k}") - both * F.col(f"_{k}") / (F.col("_0") + F.col("_1")), 2) / F.nullif(both * F.col(f"_{k}") / (F.col("_0") + F.col("_1")), F.lit(0.0))
+    chi2 = F.sum(off(0) + off(1)).over(per)
+    out = cells.select(*keys, "variable", "level", "n_0", F.try_divide("n_0", "_0").alias("share_0"), "n_1", F.try_divide("n_1", "_1").alias("share_1"), chi2.alias("chi2"), (F.col("_k") - 1).alias("df"))
+    c = 2 / (9 * F.nullif(F.col("df"), F.lit(0)))
+    z = (F.pow(F.col("chi2") / F.nullif(F.col("df"), F.lit(0)), 1 / 3) - (1 - c)) / F.sqrt(c)
+    return out.withColumn("p", F.when(z >= 0, normal_p(z) / 2).otherwise(1 - normal_p(z) / 2))
+
+
 def normal_p(z: Column) -> Column:
     """Two-sided p of a standard normal value: a rational approximation of the error function, exact to 1e-7."""
     x = F.abs(z) / math.sqrt(2)
@@ -43,7 +62,7 @@ def _logit(df: DataFrame, label: str, covariates: Sequence[str], out: str, ridge
     from pyspark.ml.functions import vector_to_array
 
     x = VectorAssembler(inputCols=list(covariates), outputCol="_x").transform(df)
-    model = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_pd", regParam=ridge).fit(x)
+    model = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_pd", regParam=ridge, tol=1e-12, maxIter=500).fit(x)
     return model.transform(x).withColumn(out, F.get(vector_to_array("_pr"), F.lit(1))).drop("_x", "_pr", "_raw", "_pd")
 
 
@@ -69,21 +88,39 @@ def prior_logit_weights(df: DataFrame, treat: str, switcher: str, covariates: Se
 def demean(df: DataFrame, names: Sequence[str], effects: Sequence[str], weight: str | None = None, tolerance: float = 1e-9, rounds: int = 100) -> DataFrame:
     """The columns less their (weighted) means by each effect, in turn until they stay.
 
-    One effect takes one pass.  With more, each round is written to a table.
+    One effect takes one pass.  With more, a round goes through all of them
+    twice, is written to a table, and the step is lengthened by what the two
+    passes tell of its limit (Irons and Tuck's rule: what is added are means of
+    the effects, so the limit stays the same).  Rounds go on until the means by
+    every effect are under ``tolerance`` of the columns' own spread; a
+    ``RuntimeError`` is raised if ``rounds`` don't suffice.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    for k in range(1 if len(effects) == 1 else rounds):
-        moved = []
-        for e in effects:
-            means = df.groupBy(e).agg(*[(F.sum(F.col(n) * w) / F.sum(w)).alias(f"_m_{n}") for n in names])
-            moved.append(means)
-            df = df.join(means, e).withColumns({n: F.col(n) - F.col(f"_m_{n}") for n in names}).drop(*[f"_m_{n}" for n in names])
-        if len(effects) > 1:
-            df = materialised(df, f"demean-{k}")
-            left = df.groupBy(effects[0]).agg(*[F.abs(F.sum(F.col(n) * w) / F.sum(w)).alias(n) for n in names]).agg(*[F.max(n) for n in names]).first()
-            if max(x or 0.0 for x in left) < tolerance:
-                break
-    return df
+
+    def less_means(df: DataFrame, e: str) -> DataFrame:
+        means = df.groupBy(e).agg(*[(F.sum(F.col(n) * w) / F.sum(w)).alias(f"_m_{n}") for n in names])
+        return df.join(means, e).withColumns({n: F.col(n) - F.col(f"_m_{n}") for n in names}).drop(*[f"_m_{n}" for n in names])
+
+    if len(effects) == 1:
+        return less_means(df, effects[0])
+    columns = df.columns
+    spread = [max(x or 0.0, 1e-300) for x in df.agg(*[F.stddev_pop(n) for n in names]).first()]
+    for k in range(rounds):
+        for kept in ("_0_", "_1_"):
+            df = df.withColumns({kept + n: F.col(n) for n in names})
+            for e in effects:
+                df = less_means(df, e)
+        df = materialised(df, f"demean-{k}")
+        # the last effect's means are zero by now; the others' tell how far it is
+        open_ = [df.groupBy(e).agg(*[F.abs(F.sum(F.col(n) * w) / F.sum(w)).alias(n) for n in names]).agg(*[F.max(n) for n in names]).first() for e in effects[:-1]]
+        if all((x or 0.0) <= tolerance * s for row in open_ for x, s in zip(row, spread, strict=True)):
+            return df.select(columns)
+        last = {n: F.col(n) - F.col("_1_" + n) for n in names}
+        bend = {n: last[n] - (F.col("_1_" + n) - F.col("_0_" + n)) for n in names}
+        got = df.agg(*[F.sum(w * last[n] * bend[n]) for n in names], *[F.sum(w * bend[n] * bend[n]) for n in names]).first()
+        step = {n: (got[i] or 0.0) / got[i + len(names)] if got[i + len(names)] else 0.0 for i, n in enumerate(names)}
+        df = df.select([(F.col(c) - step[c] * last[c]).alias(c) if c in names else F.col(c) for c in columns])
+    raise RuntimeError(f"demean: not stable after {rounds} rounds")
 
 
 def _sums(df: DataFrame, y: str, xs: Sequence[str], w: Column) -> tuple[np.ndarray, np.ndarray, int]:
@@ -154,14 +191,18 @@ def result_table(df: DataFrame, rows: Sequence[tuple[str, float, float]], n: int
     return table.select("term", "estimate", "se", t.alias("t"), normal_p(t).alias("p"), (F.col("estimate") - 1.96 * F.col("se")).alias("low"), (F.col("estimate") + 1.96 * F.col("se")).alias("high"), "n")
 
 
+def _from_base(u: DataFrame, unit: Sequence[str], period: str, y: str, g: str) -> DataFrame:
+    """The rows of treated units, and those of never treated ones for each cohort, with ``cohort`` and the value ``y0`` before its treatment."""
+    cohorts = u.select(F.col(g).alias("cohort")).dropna().distinct()
+    base = u.select(*unit, F.col(period).alias("_t"), F.col(y).alias("y0"), F.col(g).alias("_g")).join(cohorts, F.col("_t") == F.col("cohort") - 1)
+    base = base.filter(F.col("_g").isNull() | (F.col("_g") == F.col("cohort"))).drop("_t", "_g")
+    return u.join(base, list(unit))
+
+
 def att_gt(df: DataFrame, unit: str, period: str, y: str, first_treated: str) -> DataFrame:
     """(g, t, att, treated, controls): group-time effects against the never treated, from the period before g."""
     u = df.select(unit, F.col(period).alias("t"), F.col(y).cast("double").alias("y"), F.col(first_treated).alias("g")).dropna(subset=["y"])
-    groups = df.select(F.col(first_treated).alias("g")).dropna().distinct()  # one row per treated cohort
-    base = u.select(unit, F.col("t").alias("_bt"), F.col("y").alias("y0"))
-    own = u.filter("g is not null").withColumn("cohort", F.col("g"))
-    never = u.filter("g is null").join(F.broadcast(groups.withColumnRenamed("g", "cohort")), F.lit(True))
-    both = own.unionByName(never).join(base, unit).filter(F.col("_bt") == F.col("cohort") - 1).filter("t <> _bt").withColumn("d", F.col("y") - F.col("y0"))
+    both = _from_base(u, [unit], "t", "y", "g").filter(F.col("t") != F.col("cohort") - 1).withColumn("d", F.col("y") - F.col("y0"))
     out = both.groupBy(F.col("cohort").alias("g"), "t").agg(
         F.avg(F.when(F.col("g").isNotNull(), F.col("d"))).alias("_a"), F.avg(F.when(F.col("g").isNull(), F.col("d"))).alias("_b"),
         F.count_if(F.col("g").isNotNull()).alias("treated"), F.count_if(F.col("g").isNull()).alias("controls"),
@@ -180,11 +221,7 @@ def att_bootstrap(df: DataFrame, unit: str, period: str, y: str, first_treated:
     weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
     rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).filter("w > 0")
     z = rows.withColumn("g", F.col(first_treated))
-    base = z.select("draw", unit, F.col(period).alias("_bt"), F.col(y).alias("_y0"))
-    groups = df.select(F.col(first_treated).alias("cohort")).dropna().distinct()
-    own = z.filter("g is not null").withColumn("cohort", F.col("g"))
-    both = own.unionByName(z.filter("g is null").join(F.broadcast(groups), F.lit(True))).filter(F.col(period) >= F.col("cohort"))
-    d = both.join(base, ["draw", unit]).filter(F.col("_bt") == F.col("cohort") - 1).withColumn("d", (F.col(y) - F.col("_y0")) * F.col("w"))
+    d = _from_base(z, ["draw", unit], period, y, "g").filter(F.col(period) >= F.col("cohort")).withColumn("d", (F.col(y) - F.col("y0")) * F.col("w"))
     side = lambda c, x: F.sum(F.when(c, F.col(x)))
     t, c = F.col("g").isNotNull(), F.col("g").isNull()
     cells = d.groupBy("draw", "cohort", period).agg((side(t, "d") / side(t, "w") - side(c, "d") / side(c, "w")).alias("att"), side(t, "w").alias("n")).dropna()
@@ -192,8 +229,12 @@ def att_bootstrap(df: DataFrame, unit: str, period: str, y: str, first_treated:
     return per.agg(F.stddev_samp("att").alias("se"), F.count(F.lit(1)).alias("draws"))
 
 
-def imputation_effect(df: DataFrame, unit: str, period: str, y: str, treated: str, rounds: int = 30) -> DataFrame:
-    """Unit and period effects from untreated rows; the effect is the mean residual of treated ones."""
+def imputation_effect(df: DataFrame, unit: str, period: str, y: str, treated: str, rounds: int = 500) -> DataFrame:
+    """Unit and period effects from untreated rows; the effect is the mean residual of treated ones.
+
+    The effects are found in turn until they stay; a ``RuntimeError`` is raised
+    if ``rounds`` don't suffice.
+    """
     clean = df.filter(F.col(treated) == 0).select(unit, period, F.col(y).cast("double").alias("y"))
     times = clean.groupBy(period).agg(F.avg("y").alias("_b"))
     units = None
@@ -204,6 +245,8 @@ def imputation_effect(df: DataFrame, unit: str, period: str, y: str, treated: st
         times = new
         if gap is None or gap < 1e-8:
             break
+    else:
+        raise RuntimeError(f"imputation_effect: not stable after {rounds} rounds")
     units = clean.join(times, period).groupBy(unit).agg(F.avg(F.col("y") - F.col("_b")).alias("_a"))
     on = df.filter(F.col(treated) == 1).join(units, unit).join(times, period)
     return on.agg(F.avg(F.col(y) - F.col("_a") - F.col("_b")).alias("effect"), F.count(F.lit(1)).alias("n"))

@@ -41,15 +41,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    # what a large star repeats, the small star after it brings together
+    return out.filter("u <> v") if large else out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 50) -> DataFrame:
-    """(node, component): the least node of each node's component, for all nodes with an edge."""
+def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int | None = None) -> DataFrame:
+    """(node, component): the least node of each node's component, for all nodes with an edge.
+
+    Rounds go on until the edges stay, some log of the longest path; with
+    ``max_rounds``, a ``RuntimeError`` is raised where they don't suffice.
+    """
     e = materialised(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "edges")
     nodes = edges.select(F.explode(F.array(F.col(u), F.col(v))).alias("node")).distinct()
-    stamp = None
-    for _ in range(max_rounds):
+    stamp, rounds = None, 0
+    while True:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"components: not stable after {rounds} rounds")
+        rounds += 1
         e = materialised(_star(_star(e, True), False), "edges")
         new = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == stamp:

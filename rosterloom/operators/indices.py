@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +28,68 @@ def household_reduce(df: DataFrame, household: str, assets: Sequence[str], order
     return rows.withColumn("_rn", F.row_number().over(w.orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-def component_index(df: DataFrame, names: Sequence[str], out: str = "index") -> DataFrame:
+#: Levels of an ordinal item at most, for its contingency tables.
+MAX_LEVELS = 50
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(np.clip(x, -9, 9) / math.sqrt(2)))
+
+
+def _both_below(h: np.ndarray, k: np.ndarray, r: float) -> np.ndarray:
+    """P(X <= h, Y <= k) of two normal values of correlation ``r``: its derivative by r, integrated."""
+    at, weight = np.polynomial.legendre.leggauss(24)
+    rho = r * (at + 1) / 2
+    h, k = np.clip(h, -9, 9), np.clip(k, -9, 9)
+    slope = np.exp(-(h[..., None] ** 2 - 2 * rho * h[..., None] * k[..., None] + k[..., None] ** 2) / (2 * (1 - rho**2))) / (2 * math.pi * np.sqrt(1 - rho**2))
+    return _normal(h) * _normal(k) + (slope * weight).sum(axis=-1) * r / 2
+
+
+def latent_correlation(table: np.ndarray) -> float:
+    """The correlation of two normal values that thresholds turn into a contingency table, by most likely value (two steps)."""
+    table = table[table.sum(axis=1) > 0][:, table.sum(axis=0) > 0]
+    if min(table.shape) < 2:
+        return 0.0
+    grid = np.linspace(-9, 9, 20_001)
+    cut = lambda s: np.concatenate([[-9.0], np.interp(np.cumsum(s)[:-1] / s.sum(), _normal(grid), grid), [9.0]])
+    h, k = np.meshgrid(cut(table.sum(axis=1)), cut(table.sum(axis=0)), indexing="ij")
+
+    def loss(r: float) -> float:
+        below = _both_below(h, k, r)
+        cells = below[1:, 1:] - below[:-1, 1:] - below[1:, :-1] + below[:-1, :-1]
+        return -float((table * np.log(np.maximum(cells, 1e-12))).sum())
+
+    low, high, golden = -0.995, 0.995, (math.sqrt(5) - 1) / 2
+    while high - low > 1e-6:
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return (low + high) / 2
+
+
+def latent_correlations(df: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Latent-trait correlations of ordinal items, from the contingency tables of all pairs: one pass, bounded by levels."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    each = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(names[i]).cast("double").alias("a"), F.col(names[j]).cast("double").alias("b")) for k, (i, j) in enumerate(pairs)])
+    counts = df.dropna(subset=list(names)).select(F.inline(each)).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    got = counts.limit(len(pairs) * MAX_LEVELS**2 + 1).collect()
+    corr = np.eye(len(names))
+    for k, (i, j) in enumerate(pairs):
+        own = [r for r in got if r["pair"] == k]
+        a, b = sorted({r["a"] for r in own}), sorted({r["b"] for r in own})
+        if max(len(a), len(b)) > MAX_LEVELS or len(got) > len(pairs) * MAX_LEVELS**2:
+            raise ValueError(f"{names[i]}, {names[j]}: over {MAX_LEVELS} levels")
+        table = np.zeros((len(a), len(b)))
+        for r in own:
+            table[a.index(r["a"]), b.index(r["b"])] = r["n"]
+        corr[i, j] = corr[j, i] = latent_correlation(table) if own else 0.0
+    return corr
+
+
+def component_index(df: DataFrame, names: Sequence[str], out: str = "index", latent: bool = False) -> DataFrame:
     """The first principal component of ordinal items: sum of weights × standardised items.
 
-    Correlations are Pearson's on the codes (a documented stand-in for
-    latent-trait correlations); one pass gives all sums, the k-by-k matrix is
+    Correlations are Pearson's on the codes, or with ``latent`` those of the
+    normal traits behind them; one pass gives all sums, the k-by-k matrix is
     solved on the driver.  Rows with a null item get null.
     """
     cols = [F.col(c).cast("double") for c in names]
@@ -43,6 +101,8 @@ def component_index(df: DataFrame, names: Sequence[str], out: str = "index") ->
     corr = np.eye(k)
     for (i, j), v in zip(pairs, got[2 * k :], strict=True):
         corr[i, j] = corr[j, i] = v / (sd[i] * sd[j]) if sd[i] * sd[j] > 0 else float(i == j)
+    if latent:
+        corr = latent_correlations(df, names)
     vector = np.linalg.eigh(corr)[1][:, -1]
     vector = vector if vector.sum() >= 0 else -vector
     score = F.lit(0.0)
@@ -58,18 +118,24 @@ def composite_index(df: DataFrame, groups: dict[str, Sequence[str]], also: Seque
     return component_index(df, [*groups, *also], out)
 
 
-def chained_imputation(df: DataFrame, key: str, names: Sequence[str], copies: int = 5, rounds: int = 5, seed: int = 1) -> DataFrame:
+def chained_imputation(df: DataFrame, key: str, names: Sequence[str], copies: int = 5, rounds: int = 5, seed: int = 1, kinds: Mapping[str, str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """``copies`` completed copies (column ``imputation``): each variable in turn from the others, with drawn noise.
 
-    Linear models from one pass of sums per variable and round.  Draws come
+    ``kinds``: ``linear`` (default), ``binary`` (0 or 1, drawn with the fitted
+    chance) or ``ordered`` (the observed level nearest to the linear draw).
+    ``order``: the variables in the order of their turns (default: as named).
+    Linear models come from one pass of sums per variable and round.  Draws come
     from a hash of key, copy, round and variable, so a lost task redraws the
     same values.  Observed cells never change.
     """
+    kinds = dict(kinds or {})
+    levels = {c: F.array_sort(F.collect_set(F.col(c).cast("double"))).alias(c) for c, kind in kinds.items() if kind == "ordered"}
+    seen = df.agg(*levels.values()).first().asDict() if levels else {}  # as many numbers as an ordered variable has levels
     rows = df.withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first()
     rows = rows.withColumns({f"_na_{c}": F.col(c).isNull() for c in names})
     rows = materialised(rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c] or 0.0)) for c in names}), "impute")
-    missing = [c for c in names if not rows.filter(F.col(f"_na_{c}")).isEmpty()]
+    missing = [c for c in (order or names) if not rows.filter(F.col(f"_na_{c}")).isEmpty()]
     for r in range(rounds):
         for v, c in enumerate(missing):
             others = ["_one", *[o for o in names if o != c]]
@@ -87,13 +153,25 @@ def chained_imputation(df: DataFrame, key: str, names: Sequence[str], copies: in
                 sigma = float(np.sqrt(max(0.0, (got[-2] - beta @ xy) / max(1, got[-1] - len(others)))))
                 line = sum((F.col(o) * float(b) for o, b in zip(others[1:], beta[1:], strict=True)), F.lit(float(beta[0])))
                 fitted, spread = F.when(F.col("imputation") == m, line).otherwise(fitted), F.when(F.col("imputation") == m, sigma).otherwise(spread)
-            u = [(F.pmod(F.xxhash64(F.col(key), F.col("imputation"), F.lit(f"{seed}-{r}-{v}-{k}")), F.lit(1 << 40)) + 0.5) / float(1 << 40) for k in (0, 1)]
+            u = [_draw(F.col(key), F.col("imputation"), f"{seed}-{r}-{v}-{k}") for k in (0, 1)]
             noise = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
-            rows = rows.withColumn(c, F.when(F.col(f"_na_{c}"), fitted + spread * noise).otherwise(F.col(c)))
+            drawn = fitted + spread * noise
+            if kinds.get(c) == "binary":
+                drawn = (u[0] < fitted).cast("double")  # a linear chance: under 0 never, over 1 always
+            elif kinds.get(c) == "ordered":
+                near = F.array(*[F.struct(F.abs(drawn - level).alias("d"), F.lit(float(level)).alias("v")) for level in seen[c]])
+                drawn = F.array_min(near)["v"]
+            rows = rows.withColumn(c, F.when(F.col(f"_na_{c}"), drawn).otherwise(F.col(c)))
         rows = materialised(rows, f"impute-{r}")
     return rows.drop(*[f"_na_{c}" for c in names])
 
 
+def _draw(key: Column, copy: Column, name: str) -> Column:
+    """A number between 0 and 1 from 40 bits of an md5."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), copy.cast("string"), F.lit(name))), 1, 10), 16, 10).cast("double")
+    return (bits + 0.5) / float(1 << 40)
+
+
 def pool_scores(df: DataFrame, key: str, score: str) -> DataFrame:
     """Mean over imputations."""
     return df.groupBy(key).agg(F.avg(score).alias(score))

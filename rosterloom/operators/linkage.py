@@ -13,6 +13,10 @@ from .graph import materialised
 from .windows import by_group_size, first_row
 
 
+#: Takes the joined rows of both sides and keeps those that are links.
+Accept = Callable[[DataFrame], DataFrame]
+
+
 def dedupe_exact(df: DataFrame, keys: Sequence[str], prefer: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the preference order."""
     return first_row(df, keys, prefer)
@@ -58,11 +62,21 @@ def link_pairs(base: DataFrame, other: DataFrame, keys: Sequence[str], base_id:
     })
 
 
-def link_three(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str], base_id: str, a_id: str, b_id: str) -> DataFrame:
+def common_keys(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str], most_pairs: int) -> DataFrame:
+    """(keys, pairs): the keys of which ``link_three`` would make more than ``most_pairs`` rows, counted without making them."""
+    counts = [t.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{k}")) for k, t in enumerate((base, a, b))]
+    joined = counts[0].join(counts[1], list(keys)).join(counts[2], list(keys))
+    return joined.select(*keys, (F.col("_n0") * F.col("_n1") * F.col("_n2")).alias("pairs")).filter(F.col("pairs") > most_pairs)
+
+
+def link_three(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str], base_id: str, a_id: str, b_id: str, most_pairs: int | None = None) -> DataFrame:
     """Base linked with two sources on the same keys, then both on the base id.
 
-    ``pairs_per_key`` tells how far a common key blows up.
+    ``pairs_per_key`` tells how far a common key blows up.  By default no key is
+    left out; ``most_pairs`` leaves out those that ``common_keys`` lists.
     """
+    if most_pairs is not None:
+        base = base.join(common_keys(base, a, b, keys, most_pairs), list(keys), "left_anti")
     x = base.select(base_id, *keys).join(a.select(a_id, *keys), list(keys)).select(base_id, a_id, *keys)
     y = base.select(base_id, *keys).join(b.select(b_id, *keys), list(keys)).select(base_id, b_id)
     out = x.join(y, base_id)
@@ -80,6 +94,7 @@ def agreement_simple(a: Column, b: Column) -> Column:
     return F.when(a == b, 1).when(a != b, 2).otherwise(3)
 
 
+#: The agreements of an id with two other sources, 1 to 10 in the order of ``cases``.
 def agreement_id3(own: Column, a: Column, b: Column) -> Column:
     """How an id agrees with two other sources, 1 (all agree) to 10 (both missing)."""
     cases = [
@@ -107,25 +122,40 @@ def confidence_level(ids: Column, dates: Column, homonyms: Column, homonyms_a: C
     return F.coalesce(*[F.when(r, k) for k, r in enumerate(rules, 1)])
 
 
+#: What an agreement of ids (first) and of dates (from, to; any where None) adds to a level.
+LEVEL_STEPS = (
+    (1, None, 0), (2, (2, 3), 2), (2, (4, 5), 3), (3, None, 0), (4, (1, 3), 3), (4, (4, 5), 4),
+    (5, (1, 1), 4), (5, (2, 3), 5), (5, (4, 5), 6), (6, None, 2),
+)
+
+
+def added_level(level: Column, ids: Column, dates: Column, steps=LEVEL_STEPS) -> Column:
+    """A level raised by the agreements of id and date; null where no step fits."""
+    return F.coalesce(*[F.when((ids == i) & (dates.between(*between) if between else F.lit(True)), level + more) for i, between, more in steps])
+
+
 def best_candidate(df: DataFrame, id_: str, order: Sequence[Column], accept: Column) -> DataFrame:
     """The best-ranked candidate per id, then the accept rule."""
     return first_row(df, [id_], order, accept)
 
 
-def cascade(base: DataFrame, other: DataFrame, base_id: str, other_id: str, stages: Sequence[Sequence[str]], accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def cascade(base: DataFrame, other: DataFrame, base_id: str, other_id: str, stages: Sequence[Sequence[str]], accept: Accept | Sequence[Accept | None] | None = None) -> DataFrame:
     """Links by ever looser keys: (base id, other id, filter_stage).
 
     Each stage takes only ids that no earlier one linked, and links keys that
-    are unique on both sides (``accept`` may decide otherwise).  Results are
+    are unique on both sides, or the rows of the joined sides that ``accept``
+    keeps: one rule for all stages, or one (or None) for each.  Results are
     written stage by stage.
     """
+    rules = list(accept) if isinstance(accept, (list, tuple)) else [accept] * len(stages)
     done: DataFrame | None = None
     for k, keys in enumerate(stages, 1):
         x, y = base, other
         if done is not None:
             x, y = x.join(done.select(base_id), base_id, "left_anti"), y.join(done.select(other_id), other_id, "left_anti")
         x, y = x.dropna(subset=list(keys)), y.dropna(subset=list(keys))
-        pairs = accept(x.join(y, list(keys))) if accept else by_group_size(x, keys).select(base_id, *keys).join(by_group_size(y, keys).select(other_id, *keys), list(keys))
+        rule = rules[k - 1]
+        pairs = rule(x.join(y, list(keys))) if rule else by_group_size(x, keys).select(base_id, *keys).join(by_group_size(y, keys).select(other_id, *keys), list(keys))
         found = pairs.select(base_id, other_id, F.lit(k).alias("filter_stage"))
         done = materialised(found if done is None else done.unionByName(found), f"cascade-{k}")
     return done

@@ -62,8 +62,8 @@ def extreme_rows(df: DataFrame, keys: Sequence[str], value: str, largest: bool =
 
 
 def random_row(df: DataFrame, keys: Sequence[str], unique: Sequence[str], seed: int = 1) -> DataFrame:
-    """One row per group by a seeded hash of the unique columns: the same on any layout."""
-    return first_row(df, keys, [F.xxhash64(*unique, F.lit(seed)), *[F.col(u) for u in unique]])
+    """One row per group by a seeded hash (md5, which other engines have too) of the unique columns: the same on any layout."""
+    return first_row(df, keys, [F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(u).cast("string") for u in unique])), *[F.col(u) for u in unique]])
 
 
 def with_group_id(df: DataFrame, keys: Sequence[str], out: str = "group_id") -> DataFrame:
