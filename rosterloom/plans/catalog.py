@@ -523,15 +523,17 @@ def conflict_pick(t):
 # --- fuzzy work, graphs, space -------------------------------------------
 
 
-@query("with n as (select distinct c_name || right(c_mktsegment, 3) as s from customer where c_custkey % 7 = 0), m as (select distinct c_name || right(c_mktsegment, 3) as s from customer where c_custkey % 11 = 0) select n.s as left_text, m.s as right_text, levenshtein(n.s, m.s)::int as distance from n, m where abs(length(n.s) - length(m.s)) <= 2 and levenshtein(n.s, m.s) <= 2")
+@query("""with n as (select distinct c_nationkey, c_mktsegment, c_name as s from customer)
+  select c_nationkey, c_mktsegment, a.s as left_text, b.s as right_text, levenshtein(a.s, b.s)::int as distance from n a join n b using (c_nationkey, c_mktsegment) where levenshtein(a.s, b.s) <= 2""")
 def fuzzy_join_d2(t):
-    c = t("customer").select("c_custkey", F.concat("c_name", F.right("c_mktsegment", F.lit(3))).alias("s"))
-    return fuzzy.fuzzy_pairs(c.filter("c_custkey % 7 = 0"), c.filter("c_custkey % 11 = 0"), "s", "s", 2)
+    """All customers against all others of their nation and segment."""
+    c = t("customer").select("c_nationkey", "c_mktsegment", "c_name")
+    return fuzzy.fuzzy_pairs(c, c, "c_name", "c_name", 2, block=["c_nationkey", "c_mktsegment"])
 
 
 @query()
 def fuzzy_names_d2(t):
-    """All distinct names against each other, without the id filters that the SQL of ``fuzzy_join_d2`` has."""
+    """All distinct names against each other."""
     p = t("part").select("p_name")
     return fuzzy.fuzzy_pairs(p, p, "p_name", "p_name", 2)
 
@@ -729,10 +731,10 @@ def identity_uniqueness(t):
     return checks.identity_uniqueness(t("part"), ["p_name", "p_brand"], "p_size")
 
 
-@query("""with a as (select distinct o_custkey k from orders where o_custkey is not null), b as (select distinct c_custkey k from customer where c_custkey % 3 = 0)
+@query("""with a as (select distinct o_custkey k from orders where o_custkey is not null), b as (select distinct c_custkey k from customer where c_mktsegment = 'BUILDING')
   select (select count(*) from a where k in (select k from b)) as both, (select count(*) from a where k not in (select k from b)) as only_a, (select count(*) from b where k not in (select k from a)) as only_b""")
 def coverage(t):
-    return checks.coverage(t("orders").select(F.col("o_custkey").alias("k")), t("customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k")), "k")
+    return checks.coverage(t("orders").select(F.col("o_custkey").alias("k")), t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k")), "k")
 
 
 # --- more of the inventory ----------------------------------------------
@@ -791,18 +793,16 @@ def travel_and_opening(t):
     )
 
 
-@query("""with s as (select distinct p_name as a from part), r as (select distinct c_mktsegment as b from customer)
-  select a, b, damerau_levenshtein(a, lower(b))::int as distance from s, r""")
+@query("""select p_partkey, damerau_levenshtein(p_name, lower(p_type))::int as by_type, damerau_levenshtein(p_name, lower(p_brand))::int as by_brand from part""")
 def edit_distances(t):
-    a = t("part").select(F.col("p_name").alias("a")).distinct()
-    b = t("customer").select(F.col("c_mktsegment").alias("b")).distinct()
-    return a.crossJoin(F.broadcast(b)).select("a", "b", fuzzy.damerau_levenshtein("a", F.lower("b")).alias("distance"))
+    by = lambda c: fuzzy.damerau_levenshtein(F.col("p_name"), F.lower(c))
+    return t("part").select("p_partkey", by("p_type").alias("by_type"), by("p_brand").alias("by_brand"))
 
 
-@query("""select c.c_custkey, y.s_suppkey, levenshtein(right(c.c_name, 6), right(y.s_name, 6))::int as distance from customer c left join supplier y on levenshtein(right(c.c_name, 6), right(y.s_name, 6)) <= 1 and y.s_nationkey = c.c_nationkey""")
+@query("""select c.c_custkey, y.s_suppkey, levenshtein(c.c_name, replace(y.s_name, 'Supplier', 'Customer'))::int as distance from customer c left join supplier y on levenshtein(c.c_name, replace(y.s_name, 'Supplier', 'Customer')) <= 1 and y.s_nationkey = c.c_nationkey""")
 def fuzzy_left_join(t):
-    x = t("customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.right("c_name", F.lit(6)).alias("s"))
-    y = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.right("s_name", F.lit(6)).alias("s"))
+    x = t("customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_name").alias("s"))
+    y = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("s"))
     return fuzzy.fuzzy_left_join(x, y, "s", 1, block=["nation"]).select("c_custkey", "s_suppkey", "distance")
 
 
@@ -905,11 +905,6 @@ def boolean_aggregates(t):
     )
 
 
-@query()
-def random_row(t):
-    return windows.random_row(t("orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"])
-
-
 @query("""with h as (select *, (own is not null)::int + (a is not null)::int + (b is not null)::int as held from %s) select o_orderkey from h where held >= 0.65 * (select max(held) from h)""" % _IDS)
 def completeness_filter(t):
     return indices.completeness_filter(_ids(t), ["own", "a", "b"]).select("o_orderkey")
