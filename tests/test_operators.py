@@ -421,3 +421,151 @@ def test_checks(spark):
     ref = spark.createDataFrame([(5,), (7,)], "id int")
     assert values(checks.orphans(df, ref, ["r"], ["id"]), "r") == [(6,)]
     assert tuple(checks.coverage(df.select("k"), spark.createDataFrame([(2,), (9,)], "k int"), "k").first()) == (1, 1, 1)
+
+
+# loops end, and say so where they don't
+
+
+def test_components_of_a_long_chain(spark):
+    n = (1 << 12) + 57
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    edges = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(n + 5, n + 6)], "u long, v long").repartition(4)
+    out = graph.components(edges)
+    assert out.count() == n + 2 and values(out.groupBy("component").count(), "component", "count") == [(0, n), (n + 5, 2)]
+    with pytest.raises(RuntimeError):
+        graph.components(edges, max_rounds=2)
+
+
+def test_unfinished_loops_raise(spark):
+    r = random.Random(2)
+    rows = [(k % 7, k % 7 + r.choice([0, 0, 0, 1]), float(k % 11), r.random()) for k in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, x double, y double")
+    with pytest.raises(RuntimeError):
+        estimate.demean(df, ["x", "y"], ["a", "b"], rounds=1)
+    three = estimate.demean(df.withColumn("c", (F.col("x") % 3).cast("int")), ["y"], ["a", "b", "c"])
+    for e in ("a", "b", "c"):
+        assert max(abs(m) for (m,) in values(three.groupBy(e).agg(F.avg("y").alias("m")), "m")) < 1e-8
+    with pytest.raises(RuntimeError):
+        estimate.imputation_effect(df.withColumn("t", (F.rand(1) < 0.3).cast("int")), "a", "x", "y", "t", rounds=1)
+
+
+# exact quantiles of any group
+
+
+def test_quantiles_equal_numpy(spark):
+    r = random.Random(5)
+    rows = [("hot" if k % 3 else r.choice(["a", "b", None]), r.choice([1.0, 2.5, r.gauss(0, 9), None])) for k in range(900)] + [("single", 4.0), ("null", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {x["g"]: x["q"] for x in aggs.quantiles(df, ["g"], "v", (0, 0.1, 0.25, 0.5, 0.99, 1)).collect()}
+    assert set(got) == {"hot", "a", "b", None, "single"}
+    for g, q in got.items():
+        assert q == pytest.approx(list(np.quantile([v for h, v in rows if h == g and v is not None], (0, 0.1, 0.25, 0.5, 0.99, 1))))
+    every = [v for _, v in rows if v is not None]
+    assert aggs.quantiles(df, [], "v", (0.3,)).first()["q"] == pytest.approx([np.quantile(every, 0.3)])
+
+
+# linkage by rules
+
+
+def test_cascade_rules_by_stage(spark):
+    a = spark.createDataFrame([(1, "x", 5), (2, "x", 9), (3, "y", 1)], "l int, n string, s int")
+    b = spark.createDataFrame([(10, "x", 5), (11, "y", 1), (12, "x", 8)], "r int, n string, s2 int")
+    near = lambda pairs: pairs.filter(F.abs(F.col("s") - F.col("s2")) <= 1)
+    assert values(linkage.cascade(a, b, "l", "r", [["n"], ["n"]], accept=[None, near]), "l", "r", "filter_stage") == [(1, 10, 2), (2, 12, 2), (3, 11, 1)]
+    assert values(linkage.cascade(a, b, "l", "r", [["n"]], accept=near), "l", "r") == [(1, 10), (2, 12), (3, 11)]
+
+
+def test_link_three_leaves_out_common_keys_only_if_asked(spark):
+    t = lambda k, n: spark.createDataFrame([(i, "common") for i in range(n)] + [(99, "rare")], f"{k} int, n string")
+    base, a, b = t("i", 4), t("j", 3), t("k", 2)
+    assert linkage.link_three(base, a, b, ["n"], "i", "j", "k").count() == 25
+    assert values(linkage.common_keys(base, a, b, ["n"], 10), "n", "pairs") == [("common", 24)]
+    assert values(linkage.link_three(base, a, b, ["n"], "i", "j", "k", most_pairs=10), "i", "j", "k") == [(99, 99, 99)]
+
+
+def test_added_level(spark):
+    got = [one(spark, linkage.added_level(F.col("v"), F.col("i"), F.col("d")), v=1, i=i, d=d) for i, d in ((1, 4), (2, 2), (2, 5), (3, 1), (4, 3), (4, 4), (5, 1), (5, 3), (5, 5), (6, 1), (2, 1), (9, 1))]
+    assert got == [1, 3, 4, 1, 4, 5, 5, 6, 7, 3, None, None]
+
+
+def _leaders(texts: list[str], most: int) -> dict:
+    led: dict = {}
+    for t in texts:
+        led[t] = next((x for x in led if led[x] == x and fuzzy._damerau(t, x) <= most), t)
+    return led
+
+
+def test_merged_groups_equal_brute_force(spark):
+    r = random.Random(3)
+    texts = sorted({"".join(r.choice("ab") for _ in range(r.randint(4, 9))) for _ in range(40)})
+    order = texts[:]
+    r.shuffle(order)
+    df = spark.createDataFrame(list(enumerate(order)), "k int, t string")
+    groups: dict = {}
+    for t, leader in _leaders(order, 1).items():
+        groups.setdefault(leader, []).append(t)
+    held = {min(ts): sorted(ts) for ts in groups.values()}
+    while True:
+        again = _leaders(sorted(held), 2)
+        new: dict = {}
+        for first, leader in again.items():
+            new.setdefault(leader, []).extend(held[first])
+        new = {min(ts): sorted(ts) for ts in new.values()}
+        if len(new) == len(held):
+            break
+        held = new
+    out = fuzzy.merge_close_groups(fuzzy.cluster_strings(df, "t", 1, "k"), 2)
+    assert values(out, "text", "leader", "label") == sorted(((t, f, ", ".join(ts)) for f, ts in new.items() for t in ts), key=repr)
+
+
+# indices
+
+
+def test_latent_correlation_recovers_the_traits(spark):
+    rng = np.random.default_rng(1)
+    for rho in (-0.7, 0.0, 0.45, 0.9):
+        z = rng.multivariate_normal([0, 0], [[1, rho], [rho, 1]], 40_000)
+        a, b = np.digitize(z[:, 0], [-0.8, 0.3, 1.2]), np.digitize(z[:, 1], [-0.2, 0.9])
+        table = np.zeros((4, 3))
+        np.add.at(table, (a, b), 1)
+        assert indices.latent_correlation(table) == pytest.approx(rho, abs=0.02)
+    # of two halves: the closed form of the tetrachoric correlation with medians as thresholds
+    assert indices.latent_correlation(np.array([[40.0, 10], [10, 40]])) == pytest.approx(np.sin(np.pi / 2 * 0.6), abs=1e-4)
+    df = spark.createDataFrame([(int(x), int(y), None if k == 0 else 1) for k, (x, y) in enumerate(zip(a[:2000], b[:2000], strict=True))], "a int, b int, c int")
+    assert indices.latent_correlations(df, ["a", "b"])[0, 1] > 0.85
+    out = indices.component_index(df, ["a", "b"], latent=True)
+    assert out.filter("index is null").count() == 0 and abs(out.agg(F.avg("index")).first()[0]) < 1e-9
+    with pytest.raises(ValueError):
+        indices.latent_correlations(spark.range(100).selectExpr("id as a", "id as b"), ["a", "b"])
+
+
+def test_imputation_kinds(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(600):
+        x = r.gauss(0, 1)
+        rows.append((k, x, None if k % 5 == 0 else float(r.random() < 1 / (1 + np.exp(-3 * x))), None if k % 7 == 0 else float(min(3, max(0, round(1.5 + x))))))
+    df = spark.createDataFrame(rows, "k int, x double, yes double, grade double")
+    args = (df, "k", ["x", "yes", "grade"], 3, 3)
+    out = indices.chained_imputation(*args, kinds={"yes": "binary", "grade": "ordered"}, order=["grade", "yes", "x"]).collect()
+    assert len(out) == 1800 and {o.yes for o in out} == {0.0, 1.0} and {o.grade for o in out} == {0.0, 1.0, 2.0, 3.0}
+    known = {k: (yes, grade) for k, _, yes, grade in rows}
+    assert all(known[o.k][0] in (None, o.yes) and known[o.k][1] in (None, o.grade) for o in out)
+    high, low = ([o.yes for o in out if known[o.k][0] is None and (o.x > 0.5) == side and abs(o.x) > 0.5] for side in (True, False))
+    assert np.mean(high) > np.mean(low) + 0.3
+    assert sorted(out) == sorted(indices.chained_imputation(*args, kinds={"yes": "binary", "grade": "ordered"}, order=["grade", "yes", "x"]).collect())
+
+
+def test_balance_of_categories(spark):
+    df = spark.createDataFrame([(0, "a")] * 30 + [(0, "b")] * 10 + [(1, "a")] * 15 + [(1, "b")] * 25 + [(1, None), (None, "a")], "t int, c string")
+    got = {r["level"]: r for r in estimate.balance_categories(df, "t", ["c"]).collect()}
+    e = [45 / 2, 35 / 2]
+    chi2 = sum((n - x) ** 2 / x for n, x in ((30, e[0]), (15, e[0]), (10, e[1]), (25, e[1])))
+    assert got["a"]["n_0"] == 30 and got["b"]["share_1"] == pytest.approx(25 / 40) and got["a"]["df"] == 1
+    assert got["a"]["chi2"] == pytest.approx(chi2) and got["a"]["p"] == pytest.approx(0.00072, abs=3e-4)
+
+
+@pytest.mark.parametrize(("rx", "to"), [("15-dd-mm-2001", None), ("dd-mm-2001", D(2001, 1, 1)), ("31-11-2013", D(2013, 11, 30)), ("05-06-013", D(2013, 6, 5)), ("91-06-2007", D(2007, 6, 1)), ("05-06-197", D(1997, 6, 5)), ("05-06-0002", D(2000, 6, 5)), ("05-06-0206", D(2006, 6, 5)), ("05-06-2025", D(2005, 6, 5)), ("05-06-1098", D(1998, 6, 5)), ("31-02-2007", None)])
+def test_date_repairs(spark, rx, to):
+    assert one(spark, scalars.repair_date(F.col("s")), s=rx) == to

@@ -75,3 +75,15 @@ def test_materialise_and_files(spark, tmp_path):
     ingest.write_files(df, f"{tmp_path}/o", "csv", "append", header=False)
     assert spark.read.text(f"{tmp_path}/o").filter("value rlike '^[0-9]+$'").count() == 6
     assert ingest.read_typed_csv(spark, f"{tmp_path}/o", "id long").columns == ["id"]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    """Derby comes with Spark: a table is appended to and read again in ranges."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(100).select("id", (F.col("id") * 2).alias("v"))
+    ingest.write_jdbc(df, url, "numbers", "overwrite", **driver)
+    ingest.write_jdbc(df.filter("id < 10").withColumn("id", F.col("id") + 100), url, "numbers", **driver)
+    out = ingest.jdbc_table(spark, url, "numbers", column="id", bounds=(0, 110), parts=3, **driver)
+    assert out.rdd.getNumPartitions() == 3
+    assert sorted((r[0], r[1]) for r in out.collect()) == [(k, 2 * k) for k in range(100)] + [(100 + k, 2 * k) for k in range(10)]
+    assert ingest.jdbc_table(spark, url, "numbers", **driver).count() == 110
