@@ -190,7 +190,8 @@ def _dedup(docs: DataFrame, min_words: int) -> DataFrame:
     with scratch(docs.sparkSession):
         runs = stored(deletions(docs, min_words), "runs", keep=True)
     runs = runs.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.xxhash64("text") == F.col("_tie")), "left")
+    # one kind of join for every size: a broadcast of few runs would not hold for many
+    joined = docs.join(runs.hint("merge"), (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.xxhash64("text") == F.col("_tie")), "left")
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lines_removed int", "words_removed int"])
     names = docs.columns
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
