@@ -1,7 +1,7 @@
 """Connected components of edge tables and groupings merged through them.
 
-Rounds of large-star and small-star steps; each round is written to a table so
-that the plan stays short and a lost executor costs one round at most.
+Rounds of random contraction; each round is written to a table so that the plan
+stays short and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -32,40 +32,38 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang the larger (or the smaller) neighbours of each node and itself under its least neighbour."""
-    rows = _both(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = rows.join(least, "u")
-    if large:
-        out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    # what a large star repeats, the small star after it brings together
-    return out.filter("u <> v") if large else out.filter("u <> v").distinct()
-
-
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int | None = None) -> DataFrame:
     """(node, component): the least node of each node's component, for all nodes with an edge.
 
-    Rounds go on until the edges stay, some log of the longest path; with
+    Each round puts the nodes in a new random order (by a hash), contracts every
+    node to the first of itself and its neighbours, and keeps the edges between
+    what is left, so edges and settled components go quickly and a node with many
+    neighbours is only summed up.  Rounds go on until no edge is left; with
     ``max_rounds``, a ``RuntimeError`` is raised where they don't suffice.
     """
-    e = materialised(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "edges")
-    nodes = edges.select(F.explode(F.array(F.col(u), F.col(v))).alias("node")).distinct()
-    stamp, rounds = None, 0
-    while True:
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"components: not stable after {rounds} rounds")
-        rounds += 1
-        e = materialised(_star(_star(e, True), False), "edges")
-        new = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(new) == stamp:
-            break
-        stamp = tuple(new)
-    # every edge now leads to the least node of its component
-    roots = e.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    ends = F.col(u), F.col(v)
+    e = materialised(edges.select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).filter(ends[0] != ends[1]).distinct(), "edges")
+    nodes = edges.select(F.explode(F.array(*ends)).alias("node")).distinct()
+    levels: list[DataFrame] = []
+    while not e.isEmpty():
+        if max_rounds is not None and len(levels) >= max_rounds:
+            raise RuntimeError(f"components: edges are left after {max_rounds} rounds")
+        place = lambda c, turn=len(levels): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))
+        first = _both(e).groupBy("u").agg(F.min(place("v")).alias("m"))
+        levels.append(materialised(first.select("u", F.least("m", place("u"))["n"].alias("r")), "first"))
+        left = e.join(levels[-1], "u").select(F.col("r").alias("a"), "v")
+        both = left.join(levels[-1].withColumnsRenamed({"u": "v", "r": "b"}), "v").filter("a <> b")
+        e = materialised(both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+    if not levels:
+        return nodes.withColumn("component", F.col("node"))
+    found = levels.pop()
+    while levels:  # what a node was contracted to, and that in turn
+        found = levels.pop().join(found.select(F.col("u").alias("r"), F.col("r").alias("root")), "r", "left").select("u", F.coalesce("root", "r").alias("r"))
+    found = materialised(found, "roots")
+    # written, so that the join can split a component of many nodes over tasks
+    least = materialised(found.groupBy("r").agg(F.min("u").alias("component")), "least")
+    named = found.join(least, "r").select(F.col("u").alias("node"), "component")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def merge_groupings(df: DataFrame, first: str, second: str, out: str = "group_id") -> DataFrame:
