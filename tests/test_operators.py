@@ -439,7 +439,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_unfinished_loops_raise(spark):
     r = random.Random(2)
-    rows = [(k % 7, k % 7 + r.choice([0, 0, 0, 1]), float(k % 11), r.random()) for k in range(200)]
+    rows = [(k % 7, r.randrange(5), float(r.randrange(11)), r.random()) for k in range(400)]
     df = spark.createDataFrame(rows, "a int, b int, x double, y double")
     with pytest.raises(RuntimeError):
         estimate.demean(df, ["x", "y"], ["a", "b"], rounds=1)
