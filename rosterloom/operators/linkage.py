@@ -109,6 +109,7 @@ def agreement_id2(own: Column, other: Column) -> Column:
     return F.when(own == other, 1).when(own != other, 2).when(other.isNull(), 3)
 
 
+#: The levels 1 to 6 in the order of ``rules``.
 def confidence_level(ids: Column, dates: Column, homonyms: Column, homonyms_a: Column, homonyms_b: Column, homonyms_test: Column, id_b: Column) -> Column:
     """1 (a single full match) to 6, or null, from the agreements and the homonyms of each source."""
     rules = [
