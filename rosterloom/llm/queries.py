@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, linededup, mixing, packing, quality, sharding, toxicity, urls
+from . import fingerprints, jaccard, language, lexical, linededup, mixing, packing, periodic, quality, sharding, tokencount, toxicity, urls
 from .common import new_path, table
 
 
@@ -80,6 +80,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quarter == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_paths()["path"])
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest run of each document, and digests of all its runs and of the collapsed text."""
+    out = periodic.periodic_runs(periodic.with_loops(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("_start"), (-r["period"]).alias("_period"))))
+    start, length, period = -best["_start"], best["length"], -best["_period"]
+    exponent = F.floor(1000 * length / period).alias("exponent_milli")
+    digests = F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256), F.sha2("collapsed", 256)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), exponent, digests[0].alias("runs_sha256"), digests[1].alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -91,4 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_token_counts": op11_token_counts,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }

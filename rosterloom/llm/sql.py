@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .fingerprints import BOUNDS, ENOUGH, HIGH, LOW, TIER
 from .jaccard import SHINGLE, THRESHOLD
+from .lexical import TERM_RX, TOP
 from .linededup import MIN_WORDS
 from .mixing import SCHEDULES, WEIGHTS
+from .periodic import MIN_WORDS as LEAST_RUN
 
 SQL: dict[str, str] = {}
 
@@ -142,3 +144,64 @@ select doc_id, size, source_size, target, (e0 + e1)::bigint as taken,
   case when e1 > 0 then {_when_trained("q1")} end as position_2
 from epochs
 """
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op12_lexical_search"] = rf"""
+with terms as (
+  select k, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{TERM_RX}')) as term from (select row_number() over () as k, doc_id, text from documents)),
+tfs as (
+  select k, any_value(doc_id) as doc_id, term, count(*) as tf from terms group by k, term),
+sizes as (
+  select k, count(*) as n from terms group by k),
+whole as (
+  select count(*) as docs, sum(n)::bigint as terms from sizes),
+ms as (
+  select k, 75 + (25 * n * docs) // terms as m from sizes, whole),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*) as df from tfs group by term), whole),
+asked as (
+  select item_id, item_text, term, count(*) as times from (
+    select item_id, text as item_text, unnest(regexp_extract_all({_LOWER.format("text")}, '{TERM_RX}')) as term from (select distinct item_id, text from benchmark)) group by all),
+scored as (
+  select a.item_id, a.item_text, t.k, any_value(t.doc_id) as doc_id, sum(a.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * ms.m)))::bigint as score
+  from asked a join tfs t using (term) join ms using (k) join weights w using (term) group by a.item_id, a.item_text, t.k),
+numbered as (
+  select item_id, row_number() over (partition by item_id, item_text order by score desc, doc_id nulls last)::int as rank, doc_id, score from scored where score > 0)
+select item_id, rank, doc_id, score from numbered where rank <= {TOP}
+"""
+
+# the CRC-32 of the decimal id, bit by bit
+_CRC = "xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::ubigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), list_value(0, 0, 0, 0, 0, 0, 0, 0)::ubigint[]), lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint)"
+
+# equal words of a document by distance; consecutive ones at one distance are a stretch with that period
+SQL["op13_periodic_runs"] = rf"""
+with base as (
+  select row_number() over () as k, doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) as w, {_CRC} as h from documents),
+sized as (
+  select *, len(w)::bigint as n, (h // 10)::bigint as g from base),
+cut as (
+  select *, case when h % 10 = 0 and n > 0 then g % n else n end as a from sized),
+looped as (
+  select *, 1 + (n - a) // (3 + g % 8) as p from cut),
+words as (
+  select k, n, i, w[1 + case when i < a then i else a + (i - a) % p end] as word from (select *, unnest(range(n)) as i from looped)),
+pairs as (
+  select x.k, y.i - x.i as d, x.i from words x join words y on x.k = y.k and x.word = y.word and y.i > x.i and 2 * (y.i - x.i) <= x.n),
+stretches as (
+  select k, d, min(i) as s, count(*) + d as length from (select k, d, i, i - row_number() over (partition by k, d order by i) as z from pairs)
+  group by k, d, z having count(*) >= d and count(*) + d >= {LEAST_RUN}),
+runs as (
+  select k, s, length, min(d) as period from stretches group by k, s, length),
+gone as (
+  select distinct w.k, w.i from runs r join words w on w.k = r.k and w.i >= r.s + r.period and w.i < r.s + r.length),
+collapsed as (
+  select w.k, string_agg(w.word, ' ' order by w.i) as t from words w anti join gone g on g.k = w.k and g.i = w.i group by w.k),
+best as (
+  select *, row_number() over (partition by k order by length desc, s, period) as rn from runs),
+told as (
+  select k, count(*) as n_runs, string_agg(concat_ws(',', s, length, period) || chr(10), '' order by s, period) as t from runs group by k)
+select b.doc_id, coalesce(t.n_runs, 0)::bigint as n_runs, r.s::bigint as start, r.length::bigint as length, r.period::bigint as period, (1000 * r.length // r.period)::bigint as exponent_milli,
+  sha256(coalesce(t.t, '')) as runs_sha256, sha256(coalesce(c.t, '')) as collapsed_sha256
+from base b left join best r on r.k = b.k and r.rn = 1 left join told t on t.k = b.k left join collapsed c on c.k = b.k
+"""
