@@ -52,7 +52,7 @@ TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Terms of the items of one pass, about.
 MOST_TERMS = 20_000
 #: Documents and entries of a block at most; documents of a leaf at least; cells of a block's table of maxima, about.
-BLOCK_DOCS, BLOCK_ENTRIES, LEAF, CELLS = 65_536, 4_000_000, 64, 1 << 23
+BLOCK_DOCS, BLOCK_ENTRIES, LEAF, CELLS = 16_384, 1_500_000, 64, 1 << 22
 
 
 def terms_of(text: str) -> list[bytes]:
