@@ -6,15 +6,17 @@ Executors make sums; only k-by-k matrices (k regressors) reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import models
 from .aggs import density
-from .graph import materialised
+from .graph import components, materialised
 
 
 def balance_table(df: DataFrame, treat: str, covariates: Sequence[str], subset: str | None = None) -> DataFrame:
@@ -70,19 +72,39 @@ def propensity_weights(df: DataFrame, treat: str, switcher: str, covariates: Seq
     """weight = P(treat) / P(switch) / variance of treat within the unit × share switching / share treated.
 
     Rows without a covariate or with an infinite weight (units without
-    variance) go.  ``ridge`` > 0 stands in for a weakly informative prior.
+    variance) go.  ``ridge`` > 0 shrinks the coefficients.  A table without a
+    whole row gives no rows.
     """
     rows = df.dropna(subset=[treat, switcher, *covariates]).withColumns({c: F.col(c).cast("double") for c in [treat, switcher, *covariates]})
-    both = _logit(_logit(rows, treat, covariates, "p_treat", ridge), switcher, covariates, "p_switch", ridge)
-    var = F.var_pop(treat).over(Window.partitionBy(unit))
+    if rows.isEmpty():
+        return rows.withColumns({"p_treat": F.lit(0.0), "p_switch": F.lit(0.0), "weight": F.lit(0.0)}).filter(F.lit(False))
+    return _ratio_weights(_logit(_logit(rows, treat, covariates, "p_treat", ridge), switcher, covariates, "p_switch", ridge), treat, switcher, unit)
+
+
+def _ratio_weights(rows: DataFrame, treat: str, switcher: str, unit: str) -> DataFrame:
     share = rows.agg(F.avg(switcher), F.avg(treat)).first()
-    weight = F.try_divide(F.col("p_treat") / F.col("p_switch"), var) * (share[0] / share[1])
-    return both.withColumn("weight", weight).filter(F.col("weight").isNotNull())
+    per = rows.groupBy(unit).agg(F.var_pop(treat).alias("_var")).withColumnRenamed(unit, "_unit")
+    weight = F.try_divide(F.col("p_treat") / F.col("p_switch"), F.col("_var")) * (share[0] / share[1] if share[1] else None)
+    joined = rows.join(per, F.col(unit).eqNullSafe(F.col("_unit")))
+    return joined.withColumn("weight", weight.cast("double")).filter(F.col("weight").isNotNull()).drop("_unit", "_var")
+
 
+def prior_logit_weights(df: DataFrame, treat: str, switcher: str, covariates: Sequence[str], unit: str, scale: float = 2.5, intercept: float = 10.0, degrees: float = 1.0) -> DataFrame:
+    """``propensity_weights`` with a weakly informative Student prior on the coefficients.
 
-def prior_logit_weights(df: DataFrame, treat: str, switcher: str, covariates: Sequence[str], unit: str, ridge: float = 0.01) -> DataFrame:
-    """``propensity_weights`` with a ridge in place of the prior."""
-    return propensity_weights(df, treat, switcher, covariates, unit, ridge)
+    The scale of a coefficient's prior is ``scale`` by the variable's range if it
+    has two values, else by twice its standard deviation; ``intercept`` is the
+    scale for the constant.  Chances are those at the mode of the posterior,
+    which is finite where the classes are separated.
+    """
+    rows = df.dropna(subset=[treat, switcher, *covariates]).withColumns({c: F.col(c).cast("double") for c in [treat, switcher, *covariates]})
+    if rows.isEmpty():
+        return rows.withColumns({"p_treat": F.lit(0.0), "p_switch": F.lit(0.0), "weight": F.lit(0.0)}).filter(F.lit(False))
+    scales = models.prior_scales(rows, covariates, scale, intercept)
+    for label, out in ((treat, "p_treat"), (switcher, "p_switch")):
+        b = models.by_group({None: models.fit_logistic(rows, label, covariates, None, scales, degrees)[None].beta}, None)
+        rows = rows.withColumn(out, 1 / (1 + F.exp(-(F.get(b, F.lit(0)) + models.line(covariates, b, 1)))))
+    return _ratio_weights(rows, treat, switcher, unit)
 
 
 def demean(df: DataFrame, names: Sequence[str], effects: Sequence[str], weight: str | None = None, tolerance: float = 1e-9, rounds: int = 100) -> DataFrame:
@@ -123,6 +145,58 @@ def demean(df: DataFrame, names: Sequence[str], effects: Sequence[str], weight:
     raise RuntimeError(f"demean: not stable after {rounds} rounds")
 
 
+def demean_cells(df: DataFrame, names: Sequence[str], effects: Sequence[str], weight: str | None = None, tolerance: float = 1e-9, rounds: int = 100) -> DataFrame:
+    """``demean`` of a table whose effects depend on rows only through their combinations.
+
+    The rows are summed once to cells of the effects; the rounds go over the
+    cells, and the rows get what they differ from their cell's mean plus the
+    cell's remainder: two scans of the rows however many rounds there are.
+    """
+    if len(effects) < 2:
+        return demean(df, names, effects, weight)
+    w = F.col(weight) if weight else F.lit(1.0)
+    cells = materialised(df.groupBy(*effects).agg(*[(F.sum(F.col(n) * w) / F.sum(w)).alias(n) for n in names], F.sum(w).alias("_w")), "cells")
+    left = demean(cells, names, effects, "_w", tolerance, rounds).drop("_w")
+    both = cells.drop("_w").join(left.withColumnsRenamed({n: f"_left_{n}" for n in names}), list(effects))
+    shifts = both.select(*effects, *[(F.col(f"_left_{n}") - F.col(n)).alias(f"_shift_{n}") for n in names])
+    return materialised(df.join(shifts, list(effects)).withColumns({n: F.col(n) + F.col(f"_shift_{n}") for n in names}).select(df.columns), "demeaned")
+
+
+def drop_singletons(df: DataFrame, effects: Sequence[str], rounds: int = 100) -> DataFrame:
+    """The rows whose level of every effect has another row, again and again until none is alone (at most ``rounds`` times, else ``RuntimeError``).
+
+    Rounds go over the cells of the effects with their counts, not over the rows.
+    """
+    cells = materialised(df.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n")), "cells")
+    for k in range(rounds):
+        kept = cells
+        for e in effects:
+            kept = kept.join(kept.groupBy(e).agg(F.sum("_n").alias("_all")).filter("_all > 1").select(e), e, "left_semi")
+        kept = materialised(kept, f"kept-{k}")
+        if kept.count() == cells.count():
+            return df.join(kept.drop("_n"), list(effects), "left_semi")
+        cells = kept
+    raise RuntimeError(f"drop_singletons: not stable after {rounds} rounds")
+
+
+def absorbed_rank(df: DataFrame, effects: Sequence[str]) -> int:
+    """The degrees of freedom that the effects take.
+
+    One effect: its levels.  Two: their levels less the connected components of
+    the graph of levels that meet in a row, exactly.  Each further effect: its
+    levels less one (at least as many as it takes).
+    """
+    if not effects:
+        return 0
+    levels = list(df.agg(*[F.count_distinct(e).alias(f"n{i}") for i, e in enumerate(effects)]).first())
+    if len(effects) == 1:
+        return int(levels[0])
+    name = lambda i: F.concat(F.lit(f"{i}:"), F.col(effects[i]).cast("string"))
+    edges = df.select(name(0).alias("u"), name(1).alias("v")).distinct()
+    parts = components(edges).select("component").distinct().count() if levels[0] else 0
+    return int(levels[0] + levels[1] - parts + sum(max(0, n - 1) for n in levels[2:]))
+
+
 def _sums(df: DataFrame, y: str, xs: Sequence[str], w: Column) -> tuple[np.ndarray, np.ndarray, int]:
     pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
     cells = [F.sum(w * F.col(xs[i]) * F.col(xs[j])) for i, j in pairs] + [F.sum(w * F.col(x) * F.col(y)) for x in xs] + [F.count(F.lit(1))]
@@ -133,12 +207,14 @@ def _sums(df: DataFrame, y: str, xs: Sequence[str], w: Column) -> tuple[np.ndarr
     return xx, np.array(got[len(pairs) : -1], float), int(got[-1])
 
 
-def fe_regression(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str] = (), weight: str | None = None, cluster: Sequence[str] = (), interact: str | None = None, count_absorbed: bool = False) -> DataFrame:
+def fe_regression(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str] = (), weight: str | None = None, cluster: Sequence[str] = (), interact: str | None = None, count_absorbed: bool = False, singletons: bool = True) -> DataFrame:
     """(term, estimate, se, t, p, low, high, n): least squares with absorbed effects and clustered errors.
 
     ``interact``: the treatment, also multiplied by each other regressor.
     Several clusters are combined by inclusion and exclusion.  The small-sample
-    factor is G/(G-1) · (N-1)/(N-K); ``count_absorbed`` lets K count the effects.
+    factor is G/(G-1) · (N-1)/(N-K); ``count_absorbed`` lets K count the rank of
+    the effects (``absorbed_rank``), and ``singletons=False`` takes out rows alone in
+    a level first.  Without a whole row the result is empty.
     """
     need = [y, *xs, *effects, *cluster, *([weight] if weight else [])]
     rows = df.select(*dict.fromkeys(need)).dropna().withColumns({c: F.col(c).cast("double") for c in [y, *xs]})
@@ -147,10 +223,14 @@ def fe_regression(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[st
         for x in [x for x in xs if x != interact]:
             rows, terms = rows.withColumn(f"{interact}_{x}", F.col(interact) * F.col(x)), [*terms, f"{interact}_{x}"]
     absorbed = 0
+    if effects and not singletons:
+        rows = drop_singletons(rows, effects)
+    if rows.isEmpty():
+        return result_table(df, [], 0)
     if effects:
         # an effect can also be a cluster: keep the names
-        rows = demean(rows, [y, *terms], effects, weight)
-        absorbed = sum(rows.agg(*[F.count_distinct(e) for e in effects]).first()) if count_absorbed else 0
+        rows = demean_cells(rows, [y, *terms], effects, weight)
+        absorbed = absorbed_rank(rows, effects) if count_absorbed else 0
     else:
         rows, terms = rows.withColumn("_one", F.lit(1.0)), ["_one", *terms]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -215,41 +295,179 @@ def att_simple(effects: DataFrame) -> DataFrame:
     return effects.filter("t >= g").agg((F.sum(F.col("att") * F.col("treated")) / F.sum("treated")).alias("att"), F.sum("treated").alias("treated"))
 
 
-def att_bootstrap(df: DataFrame, unit: str, period: str, y: str, first_treated: str, draws: int = 50, seed: int = 1) -> DataFrame:
-    """Standard error of ``att_simple`` by Poisson(1) weights of units from a hash: draw by draw, in one pass."""
-    u = F.pmod(F.xxhash64(F.col(unit), F.col("draw"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).filter("w > 0")
-    z = rows.withColumn("g", F.col(first_treated))
-    d = _from_base(z, ["draw", unit], period, y, "g").filter(F.col(period) >= F.col("cohort")).withColumn("d", (F.col(y) - F.col("y0")) * F.col("w"))
-    side = lambda c, x: F.sum(F.when(c, F.col(x)))
-    t, c = F.col("g").isNotNull(), F.col("g").isNull()
-    cells = d.groupBy("draw", "cohort", period).agg((side(t, "d") / side(t, "w") - side(c, "d") / side(c, "w")).alias("att"), side(t, "w").alias("n")).dropna()
-    per = cells.groupBy("draw").agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("att"))
-    return per.agg(F.stddev_samp("att").alias("se"), F.count(F.lit(1)).alias("draws"))
+def _cells(df: DataFrame, period: str, y: str, first_treated: str) -> tuple[DataFrame, list]:
+    """The rows as (t, y, g), and the list of (g, t, mean, n): one for each cohort and period."""
+    rows = df.withColumns({"_t": F.col(period).cast("long"), "_y": F.col(y).cast("double"), "_g": F.col(first_treated).cast("long")}).dropna(subset=["_t", "_y"])
+    got = rows.groupBy("_g", "_t").agg(F.avg("_y").alias("m"), F.count(F.lit(1)).alias("n")).collect()  # cohorts by periods
+    return rows, sorted(((r["_g"], r["_t"], r["m"], r["n"]) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
 
+def _effects(cells: list) -> list[tuple]:
+    """(g, t, att, treated, controls, {cell number: sign}) of each effect that has its four cells."""
+    at = {(g, t): k for k, (g, t, *_) in enumerate(cells)}
+    out = []
+    for g, t, _, n in cells:
+        four = (at.get((g, t)), at.get((g, g - 1 if g is not None else None)), at.get((None, t)), at.get((None, g - 1 if g is not None else None)))
+        if g is not None and t != g - 1 and None not in four:
+            signs = dict(zip(four, (1, -1, -1, 1), strict=True))
+            out.append((g, t, sum(s * cells[k][2] for k, s in signs.items()), n, cells[four[2]][3], signs))
+    return out
 
-def imputation_effect(df: DataFrame, unit: str, period: str, y: str, treated: str, rounds: int = 500) -> DataFrame:
-    """Unit and period effects from untreated rows; the effect is the mean residual of treated ones.
 
-    The effects are found in turn until they stay; a ``RuntimeError`` is raised
-    if ``rounds`` don't suffice.
+def _cell_draws(rows: DataFrame, unit: str, cells: list, draws: int, seed: int) -> np.ndarray:
+    """For each cell and draw the sum over its rows of the unit's random sign × (value − mean) / rows of the cell.
+
+    The signs are bits of hashes of the unit, so all rows of a unit share them
+    and no row is copied: each task adds up cells × draws numbers.
+    """
+    words = -(-draws // 64)
+    number = {(g, t): k for k, (g, t, *_) in enumerate(cells)}
+    mean, size = np.array([c[2] for c in cells]), np.array([c[3] for c in cells], float)
+    hashes = F.array(*[F.xxhash64(F.col(unit).cast("string"), F.lit(seed), F.lit(w)) for w in range(words)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(cells), draws))
+        for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
+            cell = np.array([number[g, t] for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            bits = np.unpackbits(batch.column(3).flatten().to_numpy().view(np.uint8), bitorder="little").reshape(len(cell), -1)[:, :draws]
+            value = (batch.column(2).to_numpy() - mean[cell]) / size[cell]
+            signed = (2.0 * bits - 1.0) * value[:, None]
+            for k in np.unique(cell):
+                total[k] += signed[cell == k].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["cell", "sums"])
+
+    sums = rows.select("_g", "_t", "_y", hashes.alias("_h")).mapInArrow(run, "cell int, sums array<double>")
+    got = sums.select("cell", F.posexplode("sums").alias("draw", "s")).groupBy("cell", "draw").agg(F.sum("s").alias("s")).toArrow()
+    out = np.zeros((len(cells), draws))
+    out[got.column("cell").to_numpy(), got.column("draw").to_numpy()] = got.column("s").to_numpy()
+    return out
+
+
+def att_inference(df: DataFrame, unit: str, period: str, y: str, first_treated: str, draws: int = 999, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(g, t, att, se, low, high, treated, controls): group-time effects with errors and uniform bands, for panels with gaps.
+
+    Each effect is a difference of differences of four means, over all rows that
+    fall in their cells: units seen in some periods only count where they are
+    seen; on whole panels this is ``att_gt``.  ``se`` comes from the influence of
+    each unit: the sum over its rows of the signed (value − mean) / rows of the
+    cell.  The bands hold for all effects together: their width is the quantile
+    at ``level`` of the largest standardised deviation over ``draws`` of random
+    signs per unit (a multiplier bootstrap in one pass).
+    """
+    rows, cells = _cells(df, period, y, first_treated)
+    effects = _effects(cells)
+    schema = "g long, t long, att double, se double, low double, high double, treated long, controls long"
+    if not effects:
+        return df.sparkSession.createDataFrame([], schema)
+    # each row stands in the effects of its own cell: as the cell (g, t) itself, or as a base of many
+    touched: dict = {}
+    for e, (*_, signs) in enumerate(effects):
+        for k, s in signs.items():
+            touched.setdefault(k, []).append((e, s))
+    links = [(*cells[k][:2], e, float(s), cells[k][2], float(cells[k][3])) for k, own in touched.items() for e, s in own]
+    of = df.sparkSession.createDataFrame(links, "lg long, lt long, effect int, sign double, m double, size double")  # a few for each cohort and period
+    met = rows.join(F.broadcast(of), F.col("_g").eqNullSafe(F.col("lg")) & (F.col("_t") == F.col("lt")))
+    own = met.groupBy(unit, "effect").agg(F.sum(F.col("sign") * (F.col("_y") - F.col("m")) / F.col("size")).alias("psi"))
+    got = {r["effect"]: r["v"] for r in own.groupBy("effect").agg(F.sum(F.col("psi") * F.col("psi")).alias("v")).collect()}  # one per effect
+    se = np.sqrt([got.get(e, 0.0) for e in range(len(effects))])
+    moves = _cell_draws(rows, unit, cells, draws, seed)
+    away = np.array([sum(s * moves[k] for k, s in signs.items()) for *_, signs in effects])
+    held = se > 0
+    width = float(np.quantile(np.abs(away[held] / se[held, None]).max(axis=0), level)) if held.any() else 0.0
+    table = [(g, t, float(att), float(s), float(att - width * s), float(att + width * s), n, c) for (g, t, att, n, c, _), s in zip(effects, se, strict=True)]
+    return df.sparkSession.createDataFrame(table, schema)
+
+
+def att_bootstrap(df: DataFrame, unit: str, period: str, y: str, first_treated: str, draws: int = 999, seed: int = 1) -> DataFrame:
+    """(att, se, draws): the mean of effects from treatment on, weighted by treated rows, and its error by random signs of units; weights are taken as known."""
+    rows, cells = _cells(df, period, y, first_treated)
+    effects = [e for e in _effects(cells) if e[1] >= e[0]]
+    if not effects:
+        return df.sparkSession.createDataFrame([], "att double, se double, draws long")
+    weight = np.array([e[3] for e in effects], float)
+    weight /= weight.sum()
+    moves = _cell_draws(rows, unit, cells, draws, seed)
+    away = sum(w * sum(s * moves[k] for k, s in e[5].items()) for w, e in zip(weight, effects, strict=True))
+    att = float(sum(w * e[2] for w, e in zip(weight, effects, strict=True)))
+    return df.sparkSession.createDataFrame([(att, float(np.std(away, ddof=1)), draws)], "att double, se double, draws long")
+
+
+def _two_effects(cells: DataFrame, unit: str, period: str, names: Sequence[str], rounds: int, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """Solve the normal equations of unit and period effects for several right-hand sides at once.
+
+    ``cells``: unit, period, ``n`` (rows) and, for each name, its right-hand side at
+    the cell (0 rows allowed).  The units are eliminated, and what is left for
+    the periods is solved by conjugate gradients, scaled by their rows; vectors
+    are tables with a row per period.  Gives (unit, names), (period, names).
     """
-    clean = df.filter(F.col(treated) == 0).select(unit, period, F.col(y).cast("double").alias("y"))
-    times = clean.groupBy(period).agg(F.avg("y").alias("_b"))
-    units = None
+    per_unit = cells.groupBy(unit).agg(F.sum("n").alias("_nu"), *[F.sum(c).alias(f"_q_{c}") for c in names])
+    cells = materialised(cells.join(per_unit, unit), "cells")
+
+    def applied(v: DataFrame, cols: Sequence[str]) -> DataFrame:
+        """The reduced matrix on the vectors ``cols`` of ``v`` (a row per period)."""
+        at_unit = cells.join(v, period).groupBy(unit).agg(*[(F.sum(F.col("n") * F.col(c)) / F.first("_nu")).alias(f"_u_{c}") for c in cols])
+        back = cells.join(at_unit, unit).groupBy(period).agg(*[F.sum(F.col("n") * F.col(f"_u_{c}")).alias(f"_b_{c}") for c in cols])
+        return v.join(back, period).withColumns({f"_A_{c}": F.col("_nt") * F.col(c) - F.col(f"_b_{c}") for c in cols})
+
+    start = cells.groupBy(period).agg(F.sum("n").alias("_nt"), *[F.sum(F.col(c) - F.col("n") * F.col(f"_q_{c}") / F.col("_nu")).alias(f"r_{c}") for c in names])
+    state = materialised(start.filter("_nt > 0").withColumns({f"x_{c}": F.lit(0.0) for c in names} | {f"p_{c}": F.col(f"r_{c}") / F.col("_nt") for c in names}), "cg")
+    size = lambda d: list(d.agg(*[F.sum(F.col(f"r_{c}") * F.col(f"r_{c}") / F.col("_nt")).alias(c) for c in names]).first())
+    rho = [x or 0.0 for x in size(state)]
+    scale = list(cells.agg(*[F.sum(F.col(c) * F.col(c) / F.greatest("n", F.lit(1))).alias(c) for c in names]).first())
+    goal = [tolerance * tolerance * max(r, s or 0.0, 1e-300) for r, s in zip(rho, scale, strict=True)]
     for k in range(rounds):
-        units = clean.join(times, period).groupBy(unit).agg(F.avg(F.col("y") - F.col("_b")).alias("_a"))
-        new = materialised(clean.join(units, unit).groupBy(period).agg(F.avg(F.col("y") - F.col("_a")).alias("_b")), f"effects-{k}")
-        gap = new.join(times.withColumnRenamed("_b", "_o"), period).agg(F.max(F.abs(F.col("_b") - F.col("_o")))).first()[0]
-        times = new
-        if gap is None or gap < 1e-8:
+        if all(r <= g for r, g in zip(rho, goal, strict=True)):
             break
+        moved = materialised(applied(state, [f"p_{c}" for c in names]), f"cg-{k}")
+        curve = list(moved.agg(*[F.sum(F.col(f"p_{c}") * F.col(f"_A_p_{c}")).alias(c) for c in names]).first())
+        a = [r / q if q and r > g else 0.0 for r, q, g in zip(rho, curve, goal, strict=True)]
+        kept = [c for c in moved.columns if not c.startswith(("_A_", "_b_"))]
+        moved = moved.withColumns({f"x_{c}": F.col(f"x_{c}") + a[i] * F.col(f"p_{c}") for i, c in enumerate(names)} | {f"r_{c}": F.col(f"r_{c}") - a[i] * F.col(f"_A_p_{c}") for i, c in enumerate(names)}).select(kept)
+        new = [x or 0.0 for x in size(moved)]
+        b = [n / r if r else 0.0 for n, r in zip(new, rho, strict=True)]
+        state = materialised(moved.withColumns({f"p_{c}": F.col(f"r_{c}") / F.col("_nt") + b[i] * F.col(f"p_{c}") for i, c in enumerate(names)}), f"cg-step-{k}")
+        rho = new
+    else:
+        raise RuntimeError(f"two effects: not stable after {rounds} rounds")
+    times = state.select(period, *[F.col(f"x_{c}").alias(c) for c in names])
+    at = cells.drop(*names).join(times, period)
+    units = at.groupBy(unit).agg(*[((F.first(f"_q_{c}") - F.sum(F.col("n") * F.col(c))) / F.first("_nu")).alias(c) for c in names])
+    return materialised(units, "units"), times
+
+
+def imputation_effect(df: DataFrame, unit: str, period: str, y: str, treated: str, rounds: int = 500, horizon: Sequence[str] = ()) -> DataFrame:
+    """(effect, n, se): unit and period effects from untreated rows; the effect is the mean residual of the treated rows whose unit and period have some.
+
+    The effect is a weighted sum of all values: 1/n for treated rows, and for
+    untreated ones what the effects' normal equations give.  Both solutions come
+    from one run of conjugate gradients over tables; a ``RuntimeError`` is raised
+    if ``rounds`` don't suffice.  ``se`` is clustered by unit: the sum over a
+    unit's rows of weight × residual, squared; residuals of treated rows are taken
+    from their mean by ``horizon`` (default: from the effect).  Without such rows the
+    effect and its error are null.
+    """
+    kept = df.select(unit, period, F.col(y).cast("double").alias("_y"), F.col(treated).cast("int").alias("_d"), *[c for c in horizon if c not in (unit, period)]).dropna(subset=[unit, period, "_y", "_d"])
+    clean = kept.filter("_d = 0").groupBy(unit, period).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_y").alias("_s"))
+    clean = materialised(clean, "untreated")
+    on = kept.filter("_d = 1").join(clean.select(unit).distinct(), unit, "left_semi").join(clean.select(period).distinct(), period, "left_semi")
+    total = on.count()
+    if not total:
+        return df.sparkSession.createDataFrame([(None, 0, None)], "effect double, n long, se double")
+    asked = on.groupBy(unit, period).agg((F.count(F.lit(1)) / F.lit(float(total))).alias("_w"))
+    cells = clean.join(asked, [unit, period], "full").na.fill(0.0, ["n", "_s", "_w"])
+    units, times = _two_effects(cells.withColumnsRenamed({"_s": "value", "_w": "weight"}), unit, period, ["value", "weight"], rounds)
+    units = units.withColumnsRenamed({"value": "_a", "weight": "_la"})
+    times = times.withColumnsRenamed({"value": "_b", "weight": "_lb"})
+    left = on.join(units, unit).join(times, period).withColumn("_tau", F.col("_y") - F.col("_a") - F.col("_b"))
+    effect = left.agg(F.avg("_tau")).first()[0]
+    if horizon:
+        left = left.join(left.groupBy(*horizon).agg(F.avg("_tau").alias("_mean")), list(horizon))
     else:
-        raise RuntimeError(f"imputation_effect: not stable after {rounds} rounds")
-    units = clean.join(times, period).groupBy(unit).agg(F.avg(F.col("y") - F.col("_b")).alias("_a"))
-    on = df.filter(F.col(treated) == 1).join(units, unit).join(times, period)
-    return on.agg(F.avg(F.col(y) - F.col("_a") - F.col("_b")).alias("effect"), F.count(F.lit(1)).alias("n"))
+        left = left.withColumn("_mean", F.lit(effect))
+    untreated = clean.join(units, unit).join(times, period).select(unit, (-(F.col("_la") + F.col("_lb")) * (F.col("_s") - F.col("n") * (F.col("_a") + F.col("_b")))).alias("_e"))
+    both = untreated.unionByName(left.select(unit, ((F.col("_tau") - F.col("_mean")) / float(total)).alias("_e")))
+    sums = both.groupBy(unit).agg(F.sum("_e").alias("_e"))
+    return sums.agg(F.lit(effect).alias("effect"), F.lit(total).cast("long").alias("n"), F.sqrt(F.sum(F.col("_e") * F.col("_e"))).alias("se"))
 
 
 def overlap_density(df: DataFrame, score: str, group: str, points: int = 50, bandwidth: float = 0.05) -> DataFrame:

@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import models
 from .graph import materialised
 
 
 def completeness_filter(df: DataFrame, names: Sequence[str], share: float = 0.65) -> DataFrame:
     """Rows with at least ``share`` of the answers of the most complete row."""
-    held = F.size(F.filter(F.array(*[F.col(c).cast("double") for c in names]), lambda x: x.isNotNull()))
+    held = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
     rows = df.withColumn("_held", held)
     most = rows.agg(F.max("_held")).first()[0] or 0
     return rows.filter(F.col("_held") >= share * most).drop("_held")
@@ -118,50 +119,84 @@ def composite_index(df: DataFrame, groups: dict[str, Sequence[str]], also: Seque
     return component_index(df, [*groups, *also], out)
 
 
-def chained_imputation(df: DataFrame, key: str, names: Sequence[str], copies: int = 5, rounds: int = 5, seed: int = 1, kinds: Mapping[str, str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
-    """``copies`` completed copies (column ``imputation``): each variable in turn from the others, with drawn noise.
-
-    ``kinds``: ``linear`` (default), ``binary`` (0 or 1, drawn with the fitted
-    chance) or ``ordered`` (the observed level nearest to the linear draw).
-    ``order``: the variables in the order of their turns (default: as named).
-    Linear models come from one pass of sums per variable and round.  Draws come
-    from a hash of key, copy, round and variable, so a lost task redraws the
-    same values.  Observed cells never change.
+def chained_imputation(
+    df: DataFrame, key: str, names: Sequence[str], copies: int = 5, rounds: int = 5, seed: int = 1, kinds: Mapping[str, str] | None = None,
+    order: Sequence[str] | None = None, posterior: bool = True, donors: int = 5,
+) -> DataFrame:
+    """``copies`` completed copies (column ``imputation``): each variable in turn from the others, drawn from a model of its kind.
+
+    ``kinds``: ``linear`` (default; normal noise), ``binary`` (0 or 1, logistic
+    regression), ``ordered`` (proportional odds over the observed levels) or
+    ``donor`` (the observed value of one of the ``donors`` nearest in predicted
+    mean, of the same copy).  ``order``: the variables in the order of their turns
+    (default: as named).  With ``posterior`` the coefficients of each copy are
+    drawn from their posterior first; without, they stay at their estimates.
+
+    Models come from passes of sums over all copies at once.  Draws come from
+    hashes of key, copy, round and variable and from seeded generators, so a lost
+    task redraws the same values.  Observed cells never change.  A variable
+    without any observed value stays null and predicts nothing; a variable of
+    one observed value is filled with it.  An empty table gives no rows.
     """
     kinds = dict(kinds or {})
-    levels = {c: F.array_sort(F.collect_set(F.col(c).cast("double"))).alias(c) for c, kind in kinds.items() if kind == "ordered"}
-    seen = df.agg(*levels.values()).first().asDict() if levels else {}  # as many numbers as an ordered variable has levels
+    if set(kinds.values()) - {"linear", "binary", "ordered", "donor"}:
+        raise ValueError(f"unknown kind among {sorted(set(kinds.values()))}")
+    number = lambda c: F.col(c).cast("double")
+    facts = df.agg(*[f(number(c)).alias(f"{n}_{i}") for i, c in enumerate(names) for n, f in (("n", F.count), ("avg", F.avg), ("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("rows")).first()
+    about = {c: dict(zip(("n", "mean", "low", "high"), facts[4 * i : 4 * i + 4], strict=True)) for i, c in enumerate(names)}
+    # as many numbers as a variable of this kind has levels
+    levels = {c: sorted(r[0] for r in df.select(number(c)).dropna().distinct().collect()) for c, kind in kinds.items() if kind in ("ordered", "binary")}
+    for c, kind in kinds.items():
+        if kind == "binary" and not set(levels[c]) <= {0.0, 1.0}:
+            raise ValueError(f"{c} is not 0 or 1")
+    used = [c for c in names if about[c]["n"]]
+    missing = [c for c in (order or names) if about[c]["n"] and about[c]["n"] < facts["rows"]]
     rows = df.withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first()
-    rows = rows.withColumns({f"_na_{c}": F.col(c).isNull() for c in names})
-    rows = materialised(rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c] or 0.0)) for c in names}), "impute")
-    missing = [c for c in (order or names) if not rows.filter(F.col(f"_na_{c}")).isEmpty()]
+    rows = rows.withColumns({f"_na_{c}": F.col(c).isNull() for c in names} | {c: F.coalesce(number(c), F.lit(about[c]["mean"])) for c in names})
+    rows = materialised(rows, "impute")
     for r in range(rounds):
         for v, c in enumerate(missing):
-            others = ["_one", *[o for o in names if o != c]]
-            x = rows.withColumn("_one", F.lit(1.0)).filter(~F.col(f"_na_{c}"))
-            pairs = [(i, j) for i in range(len(others)) for j in range(i, len(others))]
-            cells = [F.sum(F.col(others[i]) * F.col(others[j])) for i, j in pairs] + [F.sum(F.col(o) * F.col(c)) for o in others] + [F.sum(F.col(c) * F.col(c)), F.count(F.lit(1))]
-            models = {row["imputation"]: list(row)[1:] for row in x.groupBy("imputation").agg(*[e.alias(f"c{i}") for i, e in enumerate(cells)]).collect()}  # a row per copy
-            fitted, spread = F.lit(0.0), F.lit(0.0)
-            for m, got in models.items():
-                xx = np.zeros((len(others), len(others)))
-                for (i, j), value in zip(pairs, got, strict=False):
-                    xx[i, j] = xx[j, i] = value
-                xy = np.array(got[len(pairs) : len(pairs) + len(others)], float)
-                beta = np.linalg.pinv(xx + 1e-8 * np.eye(len(others))) @ xy
-                sigma = float(np.sqrt(max(0.0, (got[-2] - beta @ xy) / max(1, got[-1] - len(others)))))
-                line = sum((F.col(o) * float(b) for o, b in zip(others[1:], beta[1:], strict=True)), F.lit(float(beta[0])))
-                fitted, spread = F.when(F.col("imputation") == m, line).otherwise(fitted), F.when(F.col("imputation") == m, sigma).otherwise(spread)
+            kind = kinds.get(c, "linear")
+            if about[c]["low"] == about[c]["high"]:
+                continue  # the mean is the one value
+            others = [o for o in used if o != c]
+            seen = rows.filter(~F.col(f"_na_{c}"))
             u = [_draw(F.col(key), F.col("imputation"), f"{seed}-{r}-{v}-{k}") for k in (0, 1)]
-            noise = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
-            drawn = fitted + spread * noise
-            if kinds.get(c) == "binary":
-                drawn = (u[0] < fitted).cast("double")  # a linear chance: under 0 never, over 1 always
-            elif kinds.get(c) == "ordered":
-                near = F.array(*[F.struct(F.abs(drawn - level).alias("d"), F.lit(float(level)).alias("v")) for level in seen[c]])
-                drawn = F.array_min(near)["v"]
-            rows = rows.withColumn(c, F.when(F.col(f"_na_{c}"), drawn).otherwise(F.col(c)))
+            if kind == "binary":
+                fits = models.fit_logistic(seen, c, others, "imputation", models.prior_scales(seen, others, 10.0, 10.0))
+            elif kind == "ordered":
+                place = F.array_position(F.array(*[F.lit(x) for x in levels[c]]), F.col(c)) - 1
+                fits = models.fit_ordered(seen.withColumn("_level", place), "_level", others, len(levels[c]), "imputation")
+            else:
+                fits = models.fit_linear(seen, c, others, "imputation")
+            k = len(others) + 1 if kind in ("linear", "donor") else 0
+            drawn = {m: fit.draw(np.random.default_rng([seed, r, v, m]), k) if posterior else (fit.beta, fit.sigma) for m, fit in fits.items()}
+            b = models.by_group({m: x for m, (x, _) in drawn.items()}, "imputation")
+            if kind == "ordered":
+                cuts = len(levels[c]) - 1
+                b = models.by_group({m: np.concatenate([np.sort(x[:cuts]), x[cuts:]]) for m, (x, _) in drawn.items()}, "imputation")
+                eta = models.line(others, b, cuts)
+                above = sum(((u[0] > 1 / (1 + F.exp(eta - F.get(b, F.lit(j))))).cast("int") for j in range(cuts)), F.lit(0))
+                value = F.get(F.array(*[F.lit(x) for x in levels[c]]), above)
+            elif kind == "binary":
+                value = (u[0] < 1 / (1 + F.exp(-(F.get(b, F.lit(0)) + models.line(others, b, 1))))).cast("double")
+            elif kind == "linear":
+                spread = F.get(models.by_group({m: [s] for m, (_, s) in drawn.items()}, "imputation"), F.lit(0))
+                value = F.get(b, F.lit(0)) + models.line(others, b, 1) + spread * F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
+            else:
+                hat = models.by_group({m: fit.beta for m, fit in fits.items()}, "imputation")
+                mean = lambda a: F.get(a, F.lit(0)) + models.line(others, a, 1)
+                given = seen.select("imputation", mean(hat).alias("_mean"), F.col(key).alias("_k"), F.col(c).alias("_given"))
+                lacking = rows.filter(F.col(f"_na_{c}")).select(F.col(key).alias("_key2"), F.col("imputation").alias("_copy"), mean(b).alias("_mean"), "imputation")
+                found = models.nearest_donors(lacking, given, "_mean", "_k", donors, ["imputation"])
+                pick = F.get(F.col("donors"), F.floor(F.size("donors") * _draw(F.col("_key2"), F.col("_copy"), f"{seed}-{r}-{v}-0")).cast("int"))["_given"]
+                # a key that stands in more than one row has equal draws: one value of each is enough
+                picked = found.groupBy("_key2", "_copy").agg(F.min(pick).alias("_picked"))
+                rows = rows.join(picked, (F.col(key) == F.col("_key2")) & (F.col("imputation") == F.col("_copy")), "left").drop("_key2", "_copy")
+                value = F.coalesce(F.col("_picked"), F.col(c))
+            rows = rows.withColumn(c, F.when(F.col(f"_na_{c}"), value).otherwise(F.col(c))).drop("_picked")
+            if kind == "donor":
+                rows = materialised(rows, f"impute-{r}-{v}")
         rows = materialised(rows, f"impute-{r}")
     return rows.drop(*[f"_na_{c}" for c in names])
 

@@ -697,7 +697,7 @@ def component_index(t):
 @query()
 def chained_imputation(t):
     rows = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("price"), F.month("o_orderdate").cast("double").alias("month"))
-    done = indices.chained_imputation(rows, "o_orderkey", ["price", "month"], 2, 2)
+    done = indices.chained_imputation(rows, "o_orderkey", ["price", "month"], 2, 2, posterior=False)
     return indices.pool_scores(done, "o_orderkey", "price").withColumn("price", F.round("price", 4))
 
 
