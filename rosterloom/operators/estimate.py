@@ -410,9 +410,10 @@ def _two_effects(cells: DataFrame, unit: str, period: str, names: Sequence[str],
         return v.join(back, period).withColumns({f"_A_{c}": F.col("_nt") * F.col(c) - F.col(f"_b_{c}") for c in cols})
 
     start = cells.groupBy(period).agg(F.sum("n").alias("_nt"), *[F.sum(F.col(c) - F.col("n") * F.col(f"_q_{c}") / F.col("_nu")).alias(f"r_{c}") for c in names])
-    state = materialised(start.filter("_nt > 0").withColumns({f"x_{c}": F.lit(0.0) for c in names} | {f"p_{c}": F.col(f"r_{c}") / F.col("_nt") for c in names}), "cg")
-    size = lambda d: list(d.agg(*[F.sum(F.col(f"r_{c}") * F.col(f"r_{c}") / F.col("_nt")).alias(c) for c in names]).first())
-    rho = [x or 0.0 for x in size(state)]
+    state = start.filter("_nt > 0").withColumns({f"x_{c}": F.lit(0.0) for c in names} | {f"p_{c}": F.col(f"r_{c}") / F.col("_nt") for c in names})
+    state = materialised(state, "cg")
+    size = lambda d: [x or 0.0 for x in d.agg(*[F.sum(F.col(f"r_{c}") * F.col(f"r_{c}") / F.col("_nt")).alias(c) for c in names]).first()]
+    rho = size(state)
     scale = list(cells.agg(*[F.sum(F.col(c) * F.col(c) / F.greatest("n", F.lit(1))).alias(c) for c in names]).first())
     goal = [tolerance * tolerance * max(r, s or 0.0, 1e-300) for r, s in zip(rho, scale, strict=True)]
     for k in range(rounds):
@@ -420,13 +421,11 @@ def _two_effects(cells: DataFrame, unit: str, period: str, names: Sequence[str],
             break
         moved = materialised(applied(state, [f"p_{c}" for c in names]), f"cg-{k}")
         curve = list(moved.agg(*[F.sum(F.col(f"p_{c}") * F.col(f"_A_p_{c}")).alias(c) for c in names]).first())
-        a = [r / q if q and r > g else 0.0 for r, q, g in zip(rho, curve, goal, strict=True)]
-        kept = [c for c in moved.columns if not c.startswith(("_A_", "_b_"))]
-        moved = moved.withColumns({f"x_{c}": F.col(f"x_{c}") + a[i] * F.col(f"p_{c}") for i, c in enumerate(names)} | {f"r_{c}": F.col(f"r_{c}") - a[i] * F.col(f"_A_p_{c}") for i, c in enumerate(names)}).select(kept)
-        new = [x or 0.0 for x in size(moved)]
-        b = [n / r if r else 0.0 for n, r in zip(new, rho, strict=True)]
-        state = materialised(moved.withColumns({f"p_{c}": F.col(f"r_{c}") / F.col("_nt") + b[i] * F.col(f"p_{c}") for i, c in enumerate(names)}), f"cg-step-{k}")
-        rho = new
+        step = {c: rho[i] / curve[i] if curve[i] and rho[i] > goal[i] else 0.0 for i, c in enumerate(names)}
+        moved = moved.withColumns({f"x_{c}": F.col(f"x_{c}") + step[c] * F.col(f"p_{c}") for c in names} | {f"r_{c}": F.col(f"r_{c}") - step[c] * F.col(f"_A_p_{c}") for c in names})
+        new = size(moved)
+        turn = {c: new[i] / rho[i] if rho[i] else 0.0 for i, c in enumerate(names)}
+        state, rho = moved.withColumns({f"p_{c}": F.col(f"r_{c}") / F.col("_nt") + turn[c] * F.col(f"p_{c}") for c in names}).select(state.columns), new
     else:
         raise RuntimeError(f"two effects: not stable after {rounds} rounds")
     times = state.select(period, *[F.col(f"x_{c}").alias(c) for c in names])

@@ -154,6 +154,7 @@ def chained_imputation(
     rows = df.withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     rows = rows.withColumns({f"_na_{c}": F.col(c).isNull() for c in names} | {c: F.coalesce(number(c), F.lit(about[c]["mean"])) for c in names})
     rows = materialised(rows, "impute")
+    last: dict = {}  # the estimates of the round before, to begin with
     for r in range(rounds):
         for v, c in enumerate(missing):
             kind = kinds.get(c, "linear")
@@ -163,12 +164,13 @@ def chained_imputation(
             seen = rows.filter(~F.col(f"_na_{c}"))
             u = [_draw(F.col(key), F.col("imputation"), f"{seed}-{r}-{v}-{k}") for k in (0, 1)]
             if kind == "binary":
-                fits = models.fit_logistic(seen, c, others, "imputation", models.prior_scales(seen, others, 10.0, 10.0))
+                fits = models.fit_logistic(seen, c, others, "imputation", models.prior_scales(seen, others, 10.0, 10.0), start=last.get(c))
             elif kind == "ordered":
                 place = F.array_position(F.array(*[F.lit(x) for x in levels[c]]), F.col(c)) - 1
-                fits = models.fit_ordered(seen.withColumn("_level", place), "_level", others, len(levels[c]), "imputation")
+                fits = models.fit_ordered(seen.withColumn("_level", place), "_level", others, len(levels[c]), "imputation", start=last.get(c))
             else:
                 fits = models.fit_linear(seen, c, others, "imputation")
+            last[c] = {m: fit.beta for m, fit in fits.items()}
             k = len(others) + 1 if kind in ("linear", "donor") else 0
             drawn = {m: fit.draw(np.random.default_rng([seed, r, v, m]), k) if posterior else (fit.beta, fit.sigma) for m, fit in fits.items()}
             b = models.by_group({m: x for m, (x, _) in drawn.items()}, "imputation")

@@ -41,6 +41,16 @@ def by_group(values: dict, by: str | None) -> Column:
     return F.element_at(F.create_map(*[c for g, a in arrays.items() for c in (F.lit(g), a)]), F.col(by))
 
 
+def with_values(rows: DataFrame, values: dict, by: str | None, out: str = "_b") -> DataFrame:
+    """The rows with their group's array as a column: a join keeps the compiled code of a step the same for all steps."""
+    spark = rows.sparkSession
+    if by is None:
+        return rows.crossJoin(F.broadcast(spark.createDataFrame([([float(x) for x in values[None]],)], f"{out} array<double>")))  # one row
+    kind = rows.schema[by].dataType.simpleString()
+    table = spark.createDataFrame([(g, [float(x) for x in v]) for g, v in values.items()], f"_by {kind}, {out} array<double>")  # a row per group
+    return rows.join(F.broadcast(table), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
 def line(xs: Sequence[str], coefficients: Column, first: int = 0) -> Column:
     return sum((F.col(x) * F.get(coefficients, F.lit(first + i)) for i, x in enumerate(xs)), F.lit(0.0))
 
@@ -103,7 +113,7 @@ def prior_scales(rows: DataFrame, xs: Sequence[str], scale: float, intercept: fl
     return np.array([intercept, *[scale / w for w in widths]])
 
 
-def fit_logistic(rows: DataFrame, y: str, xs: Sequence[str], by: str | None = None, scales: np.ndarray | None = None, df: float = 1.0, rounds: int = 100) -> dict:
+def fit_logistic(rows: DataFrame, y: str, xs: Sequence[str], by: str | None = None, scales: np.ndarray | None = None, df: float = 1.0, rounds: int = 100, start: dict | None = None) -> dict:
     """Logistic regression of ``y`` (0 or 1) with an intercept.
 
     With ``scales`` each coefficient has a Student prior of ``df`` degrees of
@@ -116,11 +126,11 @@ def fit_logistic(rows: DataFrame, y: str, xs: Sequence[str], by: str | None = No
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
     def evaluate(at: dict) -> dict:
-        eta = line(names, by_group(at, by))
+        eta = line(names, F.col("_b"))
         p = 1 / (1 + F.exp(-eta))
         # log(1 + exp(eta)) without overflow
         ll = F.col(y) * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))
-        made = rows.withColumns({"_r": F.col(y) - p, "_w": p * (1 - p), "_ll": ll})
+        made = with_values(rows, at, by).withColumns({"_r": F.col(y) - p, "_w": p * (1 - p), "_ll": ll})
         got = _summed(made, [F.col("_ll"), *[F.col(n) * F.col("_r") for n in names], *[F.col(names[i]) * F.col(names[j]) * F.col("_w") for i, j in pairs]], by)
         out = {}
         for g, cells in got.items():
@@ -134,22 +144,22 @@ def fit_logistic(rows: DataFrame, y: str, xs: Sequence[str], by: str | None = No
         return out
 
     counts = _summed(rows, [F.lit(1.0)], by)
-    found = _newton(evaluate, {g: np.zeros(k) for g in counts}, rounds, "fit_logistic")
+    found = _newton(evaluate, {g: (start or {}).get(g, np.zeros(k)) for g in counts}, rounds, "fit_logistic")
     return {g: Fit(b, np.linalg.pinv(i), int(counts[g][0])) for g, (b, (_, _, i)) in found.items()}
 
 
-def fit_ordered(rows: DataFrame, y: str, xs: Sequence[str], levels: int, by: str | None = None, rounds: int = 100) -> dict:
+def fit_ordered(rows: DataFrame, y: str, xs: Sequence[str], levels: int, by: str | None = None, rounds: int = 100, start: dict | None = None) -> dict:
     """Proportional odds: P(y <= j) = 1 / (1 + exp(-(threshold_j - x b))) for ``y`` in 0 .. levels - 1; thresholds come first.  Fisher's scoring."""
     k, m = len(xs), levels - 1
     counts = _summed(rows, [F.when(F.col(y) == j, 1.0) for j in range(levels)], by)
     # half a row more in each level, so that the first thresholds differ
     begin = {g: np.cumsum(np.array(c) + 0.5)[:-1] / (sum(c) + levels / 2) for g, c in counts.items()}
-    start = {g: np.concatenate([np.log(s / (1 - s)), np.zeros(k)]) for g, s in begin.items()}
+    begin = {g: np.concatenate([np.log(s / (1 - s)), np.zeros(k)]) for g, s in begin.items()} | (start or {})
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
     def evaluate(at: dict) -> dict:
-        b = by_group(at, by)
-        made = rows.withColumn("_eta", line(xs, b, m))
+        b = F.col("_b")
+        made = with_values(rows, at, by).withColumn("_eta", line(xs, b, m))
         made = made.withColumns({f"_F{j}": 1 / (1 + F.exp(F.col("_eta") - F.get(b, F.lit(j)))) for j in range(m)})
         big = [F.lit(0.0), *[F.col(f"_F{j}") for j in range(m)], F.lit(1.0)]
         small = [x * (1 - x) for x in big]  # density at each threshold, 0 at both ends
@@ -181,7 +191,7 @@ def fit_ordered(rows: DataFrame, y: str, xs: Sequence[str], levels: int, by: str
             out[g] = (loss, gradient, info)
         return out
 
-    found = _newton(evaluate, start, rounds, "fit_ordered")
+    found = _newton(evaluate, begin, rounds, "fit_ordered")
     return {g: Fit(b, np.linalg.pinv(i), int(sum(counts[g]))) for g, (b, (_, _, i)) in found.items()}
 
 
