@@ -1,9 +1,12 @@
 """Packing documents along a space-filling curve.
 
-1. Each document is tokenized once; a hashed projection of its token ids gives
-   a point in few dimensions, and the point a Hilbert key.  The rows (key,
+1. Each document is tokenized once; a hashed projection of its token counts, by
+   the norm of the counts, gives a point in few dimensions.  The rows (point,
    ids as 16-bit words where the vocabulary allows) are written to the shared
    folder, so that no later step tokenizes again.
+   Each axis is cut into cells of like numbers of documents by a quantile
+   sketch over all points, so that documents of any length spread over the
+   whole cube; the cells give the Hilbert key.
 2. The rows are cut into ranges of like token counts: of the Hilbert key (a hash
    of the row breaks ties, so copies with one key are split too), or of the
    documents' given order.  The cuts come from a bounded sample in which a row
@@ -40,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored
 
 DIMS, BITS = 3, 10
+AXES = tuple(f"x{k}" for k in range(DIMS))
 #: Tokens of a range on average.  At least: one short sequence for so many tokens.  At most: what one task sorts.
 LEAST_TOKENS, MOST_TOKENS = 2_000_000, 64_000_000
 #: Of the sample that places the cuts: points for each range, and in all.
@@ -89,6 +93,24 @@ def projection(size: int, dims: int = DIMS) -> np.ndarray:
     return ((((i >> np.uint64(40)) & np.uint64(1)).astype(np.float32)) * 2 - 1).reshape(size, dims)
 
 
+def point(ids: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The projection of the counts of the ids, by their norm: of unit spread whatever the length and the repeats."""
+    _, counts = np.unique(ids, return_counts=True)
+    return signs[ids].sum(axis=0, dtype=np.float64) / np.sqrt(float((counts.astype(np.float64) ** 2).sum()))
+
+
+def axis_cuts(rows: DataFrame) -> list[np.ndarray]:
+    """For each axis the sorted values that cut the documents into cells of like numbers (a sketch of bounded size)."""
+    at = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    found = rows.agg(*[F.percentile_approx(x, at, 10_000).alias(x) for x in AXES]).first()
+    return [np.array(c if c else [0.0], np.float64) for c in found]
+
+
+def curve_key(points: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The Hilbert key of each point (a row): ``cuts`` give its cell on each axis."""
+    return hilbert_key(np.column_stack([np.searchsorted(c, points[:, k], side="right") for k, c in enumerate(cuts)]))
+
+
 class Tokens:
     """Ids of a byte-level BPE vocabulary.
 
@@ -126,7 +148,7 @@ def _tokens(path: str, ranks_path: str | None, pattern: str | None) -> Tokens:
 
 
 def tokenized(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0, order: Column | None = None) -> DataFrame:
-    """(doc_id, position, row, key, tokens, ids): ids with the end id, as little-endian 16- or 32-bit words; row is unique."""
+    """(doc_id, position, row, x0, x1, x2, tokens, ids): the point, and ids with the end id as little-endian 16- or 32-bit words; row is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -143,16 +165,14 @@ def tokenized(docs: DataFrame, path: str, ranks_path: str | None = None, pattern
                 arrays, points = [], []
                 for text in texts:
                     a = np.array([*tok.ids(text.as_py() or ""), end_id], dtype=word)
-                    # the mean sign of n tokens spreads as 1 / sqrt(n)
-                    points.append(signs[a].sum(axis=0) / np.sqrt(len(a)))
+                    points.append(point(a, signs))
                     arrays.append(a)
-                cells = np.clip((np.array(points) / 8 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                columns = [pa.array(np.arange(row, row + part.num_rows)), pa.array(hilbert_key(cells)), pa.array([len(a) for a in arrays], pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary())]
+                columns = [pa.array(np.arange(row, row + part.num_rows)), *map(pa.array, np.array(points, np.float64).T), pa.array([len(a) for a in arrays], pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary())]
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "position", "row", "key", "tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "position", "row", *AXES, "tokens", "ids"])
 
     rows = docs.select("doc_id", (F.lit(None) if order is None else order).cast("long").alias("position"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, position long, row long, key long, tokens long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, position long, row long, {', '.join(f'{x} double' for x in AXES)}, tokens long, ids binary")
 
 
 def token_cuts(rows: DataFrame, n: int) -> np.ndarray:
@@ -181,7 +201,14 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, ``PIECES``, and with ``order`` (a number, ascending) ``position``; pieces of a sequence are gapless from offset 0."""
     rows = stored(tokenized(docs, path, ranks_path, pattern, end_id, order), "tokens")
+    axes = axis_cuts(rows)
+
+    @F.pandas_udf("long")
+    def key(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(curve_key(np.column_stack([a, b, c]), axes))
+
     # the key, then a hash to split copies with one key
+    rows = rows.withColumn("key", key(*AXES))
     rows = rows.withColumn("place", F.shiftleft("key", 31) + F.pmod(F.xxhash64("row"), F.lit(1 << 31)))
     rows = rows.withColumn("at", F.col("place") if order is None else F.coalesce("position", F.lit(-1).cast("long")))
     total = rows.agg(F.sum("tokens")).first()[0] or 0
