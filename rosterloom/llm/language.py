@@ -21,7 +21,7 @@ sum over its words.  A word is a letter with the letters and marks after it, in
 any script.
 
 Nulls: a text that is null or has no letter gets ``und``, score 0.  Very long
-texts are scored whole; a very long word in parts of ``LONGEST``.  Of languages
+texts are scored whole.  Of languages
 with equal entropies the first in order of name is taken.  Repeated rows get
 equal answers; extra columns are dropped.  An empty table gives an empty result.
 With no labelled row every text gets ``und``.
@@ -46,17 +46,15 @@ MAX_ROWS = 1_500
 #: Share of the right answers of the calibration that the floor rejects.
 REJECT = 0.01
 MAX_WORDS = 500_000
-LONGEST = 64
+#: Characters that are scored at a time.
+PART = 1 << 20
 FLOOR_CHAR = 1e-7
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def split_words(text: str) -> list[str]:
-    """Lower-cased runs of letters and the marks on them; a longer run is cut into parts of ``LONGEST``."""
-    found = _WORD.findall(text.lower())
-    if len(text) > LONGEST and any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    """Lower-cased runs of letters and the marks on them."""
+    return _WORD.findall(text.lower())
 
 
 def _folded(cp: np.ndarray) -> np.ndarray:
@@ -98,11 +96,14 @@ class Model:
             past = np.zeros(n - 1, dtype=np.uint64)
             past[k - 1 :] = c[: n - k]
             h |= np.where(order >= k, past << np.uint64(16 * k), np.uint64(0))
-        grams, back = np.unique(h, return_inverse=True)
-        orders = np.zeros(len(grams), np.int64)
-        orders[back] = order
-        starts = np.flatnonzero(cp[:-1] == 32)
-        return np.column_stack([np.add.reduceat(self._of(k, grams, orders)[back], starts) for k in range(len(self.languages))])
+        of = np.empty((n - 1, len(self.languages)))
+        for at in range(0, n - 1, PART):
+            grams, back = np.unique(h[at : at + PART], return_inverse=True)
+            orders = np.zeros(len(grams), np.int64)
+            orders[back] = order[at : at + PART]
+            for k in range(len(self.languages)):
+                of[at : at + PART, k] = self._of(k, grams, orders)[back]
+        return np.add.reduceat(of, np.flatnonzero(cp[:-1] == 32), axis=0)
 
     def _of(self, k: int, grams: np.ndarray, orders: np.ndarray) -> np.ndarray:
         """The log probability of the last character of each gram after the others, in the k-th language."""

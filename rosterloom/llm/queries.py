@@ -22,11 +22,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a null doc_id are never learned from: they are held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = toxicity.learn(toxicity.train_sample(docs, labels, third != 1))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits", "length")
+    return out.select("doc_id", F.coalesce(third == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits", "length")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +74,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a null doc_id are never learned from: they are held out."""
     docs = table(spark, sf_dir, "documents")
     quarter = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = language.learn(language.sample(docs, quarter != 2))
     out = language.predict(docs, model, ["doc_id"])
-    return out.select("doc_id", (quarter == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(quarter == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("rosterloom.llm")
-from rosterloom.llm import lexical, periodic, tokencount  # noqa: E402
+from rosterloom.llm import language, lexical, packing, periodic, tokencount  # noqa: E402
 from rosterloom.llm.common import table  # noqa: E402
 from rosterloom.llm.queries import QUERIES, tokenizer_paths  # noqa: E402
 from tests.llm.test_operators import SCHEMA, prose, rows  # noqa: E402
@@ -216,3 +216,37 @@ def test_periodic_runs_of_awkward_rows(messy, empty):
     assert periodic.periodic_runs(empty).count() == 0
     null_ids = messy.selectExpr("cast(null as long) as doc_id", "text")
     assert periodic.periodic_runs(periodic.with_loops(null_ids)).count() == messy.count()
+
+
+def test_curve_spreads_texts_of_any_length(spark, sf_dir):
+    """Few documents lie at an edge of the cube, long ones as little as short ones, and neighbours along the curve are more alike than chance."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("length(text) > 200")
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0").selectExpr("doc_id + 100000 as doc_id", "repeat(concat(text, ' '), 40) as text"))
+    got = packing.tokenized(docs, **tokenizer_paths()).collect()
+    points = np.array([[r[x] for x in packing.AXES] for r in got])
+    cuts = packing.axis_cuts(spark.createDataFrame([tuple(map(float, p)) for p in points], "x0 double, x1 double, x2 double"))
+    cells = np.column_stack([np.searchsorted(c, points[:, k], side="right") for k, c in enumerate(cuts)])
+    size = np.array([r.tokens for r in got])
+    edge = ((cells < 8) | (cells > 1015)).any(axis=1)
+    assert edge.mean() < 0.1 and edge[size > 5000].mean() < 0.15 and (size > 5000).sum() > 30
+    # forty repeats of a text point where the text does
+    first = {r.doc_id: p for r, p in zip(got, points, strict=True)}
+    assert max(np.abs(p - first[d - 100000]).max() for d, p in first.items() if d >= 100000) < 0.3
+    vectors = np.zeros((len(got), 50_257), np.float32)
+    for k, r in enumerate(got):
+        np.add.at(vectors[k], np.frombuffer(r.ids, "<u2"), 1)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    order = np.argsort(packing.curve_key(points, cuts))
+    beside = (vectors[order[1:]] * vectors[order[:-1]]).sum(axis=1).mean()
+    chance = (vectors @ vectors.mean(axis=0)).mean()
+    assert beside > chance + 0.05
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    assert language.split_words("x" * 5000) == ["x" * 5000]
+    keys = np.sort(np.unique(language.gram_hashes([a + b for a in " ab" for b in " ab"] + list(" ab"))))
+    model = language.Model(("l",), [keys], [-1.0 - np.arange(len(keys)) / 7], [np.full(len(keys), -0.3)])
+    words = ["ab" * 400, "b", "a" * 301]
+    whole = model.words(words)
+    monkeypatch.setattr(language, "PART", 50)
+    assert model.words(words) == pytest.approx(whole) and whole.shape == (3, 1)
