@@ -201,6 +201,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
     while missed(THRESHOLD, done, splits) > 1 - RECALL and done < TOKENS:
         more, deeper = _run(nodes, range(done, min(TOKENS, done + MORE)))
         out, splits, done = out.unionByName(more), max(splits, deeper), done + MORE
+    if missed(THRESHOLD, done, splits) > 1 - RECALL:
+        raise RuntimeError(f"the {TOKENS} sampled tokens don't reach the recall {RECALL} after {splits} splits: draw more")
     return out
 
 
