@@ -138,16 +138,40 @@ def recode_codes(c: Column, codes: Mapping[int, int]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), c.cast("int"))
 
 
+def interval_pairs(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, also: Column | None = None) -> DataFrame:
+    """The points with the intervals that hold them (both ends included), and for which ``also`` holds.
+
+    An interval is cut into bins as wide as itself, rounded up to a power of two,
+    so it lies in two at most (three by rounding), and a point looks into one
+    bin of each width that occurs: an equal join, no table is broadcast for its
+    sake.  Endless intervals have one bin for all.
+    """
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    endless = length == F.lit(float("inf"))
+    level = F.when(endless, F.lit(9999)).when(length > 1e-300, F.ceil(F.log2(length))).otherwise(F.lit(-9999)).cast("int")
+    # a width for each level; points of single values have bins of their own
+    cell = lambda x, lev: F.when(lev == 9999, F.lit("all")).when(lev == -9999, x.cast("double").cast("string")).otherwise(F.floor(x.cast("double") / F.pow(F.lit(2.0), lev)).cast("string"))
+    rules = intervals.filter(F.col(low) <= F.col(high)).withColumn("_level", level)
+    levels = sorted(r[0] for r in rules.select("_level").distinct().collect())  # powers of two: a few dozen
+    inner = F.col("_level").between(-9998, 9998)
+    first, last = (F.floor(F.col(c).cast("double") / F.pow(F.lit(2.0), F.col("_level"))) for c in (low, high))
+    cells = F.when(inner, F.transform(F.sequence(first, last), lambda b: b.cast("string"))).otherwise(F.array(cell(F.col(low), F.col("_level"))))
+    rules = rules.withColumn("_cell", F.explode(cells))
+    probes = points.withColumn("_look", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    probes = probes.withColumn("_in", cell(F.col(at), F.col("_look")))
+    met = probes.join(rules, (F.col("_look") == F.col("_level")) & (F.col("_in") == F.col("_cell")) & F.col(at).between(F.col(low), F.col(high)) & (also if also is not None else F.lit(True)))
+    return met.drop("_look", "_in", "_level", "_cell")
+
+
 def rule_recode(df: DataFrame, rules: DataFrame, year: str, form: str, code: str, out: str = "label") -> DataFrame:
     """Labels by rules (year_lo, year_hi, form, code_lo, code_hi, priority, label); unmatched rows go.
 
-    The rule table is small and given by the caller: it is broadcast.  The
-    least priority wins, decided per distinct (year, form, code).
+    The least priority wins (of equal ones the least label), decided per
+    distinct (year, form, code).  Rules of any number are met by ``interval_pairs``.
     """
     keys = df.select(F.col(year).alias("_y"), F.col(form).alias("_f"), F.col(code).alias("_c")).distinct()
-    r = F.broadcast(rules)
-    hit = keys.join(r, (keys["_f"] == r["form"]) & keys["_y"].between(r["year_lo"], r["year_hi"]) & keys["_c"].between(r["code_lo"], r["code_hi"]))
-    best = hit.groupBy("_y", "_f", "_c").agg(F.min_by("label", "priority").alias(out))
+    hit = interval_pairs(keys, rules, "_c", "code_lo", "code_hi", F.col("_f") == F.col("form")).filter(F.col("_y").between(F.col("year_lo"), F.col("year_hi")))
+    best = hit.groupBy("_y", "_f", "_c").agg(F.min_by("label", F.struct("priority", "label")).alias(out))
     return df.join(best, (df[year] == best["_y"]) & (df[form] == best["_f"]) & (df[code] == best["_c"])).drop("_y", "_f", "_c")
 
 

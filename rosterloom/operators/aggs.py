@@ -102,10 +102,11 @@ def boxplot(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
     Quartiles are interpolated; for very small groups hinges can differ slightly.
     """
-    s = six_number(df.filter(F.col(value).isNotNull()), by, value).select(*by, "q1", "median", "q3")
+    s = six_number(df.filter(F.col(value).isNotNull()), by, value).select(*[F.col(b).alias(f"_by_{b}") for b in by], "q1", "median", "q3")
     s = s.withColumns({"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     inside = F.col(value).between(F.col("_lo"), F.col("_hi"))
-    out = df.filter(F.col(value).isNotNull()).join(s, list(by)).groupBy(*by).agg(
+    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by] or F.lit(True)  # a null group is a group
+    out = df.filter(F.col(value).isNotNull()).join(s, same).groupBy(*by).agg(
         *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
         F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"), F.count(F.lit(1)).alias("n"),

@@ -83,6 +83,34 @@ def link_three(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str],
     return out.withColumn("pairs_per_key", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
+def link_three_counts(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_base, n_a, n_b, pairs): the members of each key of all three sources, and the rows that ``link_three`` would make of it."""
+    counts = [t.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for n, t in (("n_base", base), ("n_a", a), ("n_b", b))]
+    return counts[0].join(counts[1], list(keys)).join(counts[2], list(keys)).withColumn("pairs", F.col("n_base") * F.col("n_a") * F.col("n_b"))
+
+
+def link_three_best(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str], base_id: str, a_id: str, b_id: str, own: str) -> DataFrame:
+    """The best candidate of each base row in both sources, without the rows of ``link_three``.
+
+    All three tables have ``keys`` and the id ``own``.  In each source a candidate
+    with the base row's own id comes first, then one without, then another; ties
+    by its row id.  That needs the least row of each (key, own id), of each key
+    without an own id and of each key: three equal joins, and a result with a
+    row per base row.  ``id_agreement`` is ``agreement_id3``; ``pairs_per_key`` and
+    the members of the key are counted, not made.
+    """
+    out = base.select(base_id, *keys, F.col(own).alias("_own")).join(link_three_counts(base, a, b, keys), list(keys))
+    for side, (t, i) in (("a", (a, a_id)), ("b", (b, b_id))):
+        rows = t.dropna(subset=list(keys)).select(*keys, F.col(own).alias("_other"), F.col(i).alias("_id"))
+        equal = rows.filter("_other is not null").groupBy(*keys, F.col("_other").alias("_own")).agg(F.min("_id").alias("_equal"))
+        rest = rows.groupBy(*keys).agg(F.min(F.when(F.col("_other").isNull(), F.col("_id"))).alias("_none"), F.min_by(F.struct("_id", "_other"), F.when(F.col("_other").isNotNull(), F.col("_id"))).alias("_any"))
+        out = out.join(equal, [*keys, "_own"], "left").join(rest, list(keys), "left")
+        found = F.when(F.col("_equal").isNotNull(), F.struct(F.col("_equal").alias("_id"), F.col("_own").alias("_other"))).when(F.col("_none").isNotNull(), F.struct(F.col("_none").alias("_id"), F.lit(None).cast(base.schema[own].dataType).alias("_other"))).otherwise(F.col("_any"))
+        out = out.withColumn("_hit", found).withColumns({i: F.col("_hit._id"), f"_{side}": F.col("_hit._other")}).drop("_equal", "_none", "_any", "_hit")
+    agreement = agreement_id3(F.col("_own"), F.col("_a"), F.col("_b"))
+    return out.select(base_id, *keys, a_id, b_id, agreement.alias("id_agreement"), "n_base", "n_a", "n_b", F.col("pairs").alias("pairs_per_key"))
+
+
 def agreement_date(a: Column, b: Column) -> Column:
     """1 equal, 2 one unit later, 3 one unit earlier, 4 different, 5 the other missing; null if the own date is missing."""
     d = calendar_diff_code(a, b)

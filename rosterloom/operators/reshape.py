@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Values of the second column of ``complete`` at most.
-MAX_VALUES = 10_000
+#: Arrays in which the values of the second column of ``complete`` travel.
+BLOCKS = 16
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -62,13 +62,11 @@ def explode_lists(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def complete(df: DataFrame, a: str, b: str, values: Mapping[str, object]) -> DataFrame:
     """All pairs of the observed values of two columns, missing rows filled.
 
-    The values of ``b`` (years, levels) are few: they travel as one array; more
-    than ``MAX_VALUES`` of them raise ``ValueError``.
+    Give the column with fewer values (years, levels) second: its values travel
+    in ``BLOCKS`` arrays to each value of the first, of any number.
     """
-    if df.select(b).distinct().limit(MAX_VALUES + 1).count() > MAX_VALUES:
-        raise ValueError(f"{b}: over {MAX_VALUES} values; give the column with fewer values second")
-    every = df.agg(F.collect_set(b).alias("_bs"))
-    grid = df.select(a).distinct().crossJoin(F.broadcast(every)).select(a, F.explode("_bs").alias(b))
+    every = df.groupBy(F.pmod(F.xxhash64(b), F.lit(BLOCKS)).alias("_block")).agg(F.collect_set(b).alias("_bs")).select("_bs")
+    grid = df.select(a).distinct().crossJoin(every).select(a, F.explode("_bs").alias(b))
     return grid.join(df, [a, b], "left").na.fill(dict(values))
 
 

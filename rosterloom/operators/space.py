@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import area_code, speed_distance
 from .aggs import mode
 from .fuzzy import fuzzy_pairs
+from .graph import materialised
 from .windows import extreme_rows, random_row, with_count
 
 
@@ -53,14 +54,15 @@ def footprint(df: DataFrame, group: str, x: str, y: str, buffer: float = 0.0, mi
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for g, rows in b.groupby("g"):
+            for g, rows in b.groupby("g", dropna=False):
+                g = None if pd.isna(g) else g
                 h = hull(rows[["x", "y"]].to_numpy(float))
                 yield pd.DataFrame({"g": [g] * len(h), "x": h[:, 0], "y": h[:, 1], "n": [len(rows)] + [0] * (len(h) - 1)})
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [rows["g"].iloc[0]], "n": [int(rows["n"].sum())], "area": [buffered_area(hull(rows[["x", "y"]].to_numpy(float)), buffer)]})
+        return pd.DataFrame({"g": [None if pd.isna(rows["g"].iloc[0]) else rows["g"].iloc[0]], "n": [int(rows["n"].sum())], "area": [buffered_area(hull(rows[["x", "y"]].to_numpy(float)), buffer)]})
 
-    rows = df.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    rows = df.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
     corners = rows.mapInPandas(part, f"g {kind}, x double, y double, n long")
     out = corners.groupBy("g").applyInPandas(whole, f"g {kind}, n long, area double")
     return out.filter(F.col("n") >= min_size).select(F.col("g").alias(group), "n", "area")
@@ -104,7 +106,7 @@ def resolve_places(x: DataFrame, ref: DataFrame, row: str, place: str, name: str
         several = near.filter("_n > 1")
         areas = footprint(several, "_key", "_x", "_y").filter(F.col("area") < most_area).select("_key")
         pick = random_row(a.join(several.join(areas, "_key", "left_semi"), ["_area", name]), [row], ["_id"], seed).select(row, F.col("_id").alias(id_))
-        hit = one.unionByName(pick).withColumn("step", F.lit(k))
+        hit = materialised(one.unionByName(pick).withColumn("step", F.lit(k)), f"places-{k}")  # the next steps read it, not what made it
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select(row), row, "left_anti")
     return found

@@ -12,7 +12,11 @@ from .graph import dense_ids
 
 def with_count(df: DataFrame, keys: Sequence[str], out: str = "n", others: bool = False) -> DataFrame:
     """Rows of each key on every row (with ``others``: the other holders of the key)."""
-    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)) - (1 if others else 0))
+    counts = df.groupBy(*keys).agg((F.count(F.lit(1)) - (1 if others else 0)).alias("__n"))
+    counts = counts.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], "__n")
+    # counted first, then joined: a frequent key is split over tasks
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    return df.drop(out).join(counts, same).withColumn(out, F.col("__n")).select(*[c for c in df.columns if c != out], out)
 
 
 def by_group_size(df: DataFrame, keys: Sequence[str], size: int = 1, keep: bool = True) -> DataFrame:
@@ -107,4 +111,7 @@ def first_or(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cond:
 def number_by_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with their counts, numbered within equal counts."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy(*keys)))
+    # most keys may share one count: numbered over ranges of all, then from the first of each count
+    ids = dense_ids(counts, [F.col("n"), *[F.col(k).asc_nulls_first() for k in keys]], "_id")
+    first = ids.groupBy("n").agg(F.min("_id").alias("_first"))
+    return ids.join(first, "n").select(*keys, "n", (F.col("_id") - F.col("_first") + 1).cast("int").alias("place"))

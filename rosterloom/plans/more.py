@@ -442,9 +442,7 @@ def _at(t, name: str) -> tuple:
     import uuid
 
     spark = t("region").sparkSession
-    graph.materialised(t("region"), "root")  # the shared folder is set
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")).rstrip("/")
-    return spark, f"{root}/{name}-{uuid.uuid4().hex}"
+    return spark, f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("select o_orderkey, o_orderstatus, o_totalprice from orders")
@@ -500,3 +498,71 @@ def keyed_columns(t):
 def named_result(t):
     out = ingest.materialise(t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), "orders_per_customer", temporary=True)
     return out.filter("n > 0")
+
+
+# --- donors, inference, factored links, repeatable appends ---------------------
+
+
+@query("""with d as (select c_custkey, c_acctbal, row_number() over (order by c_acctbal, c_custkey) as r from customer where c_custkey % 3 <> 0), x as (select c_custkey, c_acctbal, (select count(*) from d where d.c_acctbal < c.c_acctbal) as b from customer c where c_custkey % 3 = 0),
+  p as (select x.c_custkey, d.c_custkey as donor, row_number() over (partition by x.c_custkey order by abs(x.c_acctbal - d.c_acctbal), abs(d.r - x.b - 0.5), d.r) as place from x join d on true) select c_custkey, place::int as place, donor from p where place <= 5""")
+def nearest_donors(t):
+    from ..operators import models
+
+    c = t("customer").select("c_custkey", "c_acctbal")
+    donors = c.filter("c_custkey % 3 <> 0").withColumnRenamed("c_custkey", "donor")
+    out = models.nearest_donors(c.filter("c_custkey % 3 = 0"), donors, "c_acctbal", "donor", 5)
+    return out.select("c_custkey", F.posexplode("donors")).select("c_custkey", (F.col("pos") + 1).alias("place"), "col.donor")
+
+
+@query(f"""with p as (select user_id, day // 3 as t, avg(y) as y, max(treated) as tr from {_PANEL} where user_id % 4 <> 0 group by all union all select user_id, day // 3, avg(y), 0 from {_PANEL} where user_id % 4 = 0 group by all),
+  r as (select *, min(case when tr = 1 then t end) over (partition by user_id) g from p), c as (select g, t, avg(y) as m, count(*) as n from r group by all),
+  e as (select a.g, a.t, a.m - b.m - x.m + z.m as att, a.n as treated, x.n as controls from c a join c b on b.g = a.g and b.t = a.g - 1 join c x on x.g is null and x.t = a.t join c z on z.g is null and z.t = a.g - 1 where a.g is not null and a.t <> a.g - 1),
+  psi as (select e.g, e.t, r.user_id, sum(case when r.g is null then -1 else 1 end * case when r.t = e.t then 1 else -1 end * (r.y - c.m) / c.n) as v from e join r on (r.g = e.g or r.g is null) and (r.t = e.t or r.t = e.g - 1) join c on c.g is not distinct from r.g and c.t = r.t group by all)
+  select e.g::bigint as g, e.t::bigint as t, round(any_value(att), 7) as att, round(sqrt(sum(v * v)), 7) as se, any_value(treated) as treated, any_value(controls) as controls from e join psi using (g, t) group by e.g, e.t""")
+def att_inference(t):
+    p = _panel(t).withColumn("t", F.floor(F.col("day") / 3)).withColumn("treated", F.when(F.col("user_id") % 4 == 0, 0).otherwise(F.col("treated")))
+    p = p.groupBy("user_id", "t").agg(F.avg("y").alias("y"), F.max("treated").alias("tr"))
+    p = windows.spread(p, ["user_id"], {"g": F.min(F.when(F.col("tr") == 1, F.col("t")))})
+    return estimate.att_inference(p, "user_id", "t", "y", "g").select("g", "t", F.round("att", 7).alias("att"), F.round("se", 7).alias("se"), "treated", "controls")
+
+
+_OWN = "case when p_partkey % 5 <> 0 then p_partkey // 7 end"
+_AGREE = """case when x.own = a.own and x.own = b.own then 1 when x.own = a.own and b.own is null then 2 when a.own is null and x.own = b.own then 3 when x.own <> a.own and x.own = b.own then 4 when x.own = a.own and x.own <> b.own then 5
+  when a.own = b.own and x.own <> b.own then 6 when a.own is null and x.own <> b.own then 7 when x.own <> a.own and b.own is null then 8 when x.own <> a.own and x.own <> b.own then 9 when a.own is null and b.own is null then 10 end"""
+
+
+@query(f"""with p as (select *, {_OWN} as own from part), m as (select x.p_partkey as base, a.p_partkey as aid, b.p_partkey as bid, {_AGREE} as id_agreement, x.p_name, x.p_brand,
+    row_number() over (partition by x.p_partkey order by case when a.own = x.own then 1 when a.own is null then 2 else 3 end, a.p_partkey, case when b.own = x.own then 1 when b.own is null then 2 else 3 end, b.p_partkey) as rn, count(*) over (partition by x.p_name, x.p_brand) as pairs_per_key
+    from p x join p a using (p_name, p_brand) join p b using (p_name, p_brand) where x.p_size <= 25 and a.p_size between 10 and 40 and b.p_size > 20)
+  select base, aid, bid, id_agreement::int as id_agreement, pairs_per_key from m where rn = 1""")
+def link_three_best(t):
+    p = t("part").withColumn("own", F.when(F.col("p_partkey") % 5 != 0, F.floor(F.col("p_partkey") / 7)))
+    src = lambda c, k: p.filter(c).select(F.col("p_partkey").alias(k), "p_name", "p_brand", "own")
+    out = linkage.link_three_best(src("p_size <= 25", "base"), src("p_size between 10 and 40", "aid"), src("p_size > 20", "bid"), ["p_name", "p_brand"], "base", "aid", "bid", "own")
+    return out.select("base", "aid", "bid", "id_agreement", "pairs_per_key")
+
+
+def _appended(t):
+    """Orders come in two batches; the first is sent twice."""
+    from pyspark.sql import types as T
+
+    from ..sources.append import AppendTable
+
+    spark, path = _at(t, "appended")
+    table = AppendTable(spark, path, T.StructType().add("order_key", "long").add("priority", "integer").add("status", "string"))
+    k = F.col("o_orderkey")
+    raw = t("orders").select(k, F.when(k % 3 == 0, F.concat(F.lit("x"), k)).otherwise((k % 7).cast("string")).alias("prio"), F.col("o_orderstatus").alias("status"), (k % 4).cast("string").alias("src"))
+    for batch in ("even", "odd", "even"):
+        table.append(raw.filter(k % 2 == (0 if batch == "even" else 1)), batch, [("o_orderkey", "order_key"), ("prio", "priority")], ["order_key"], "src")
+    return table
+
+
+@query("""select row_number() over (order by o_orderkey % 2, o_orderkey) as id, o_orderkey as order_key, case when o_orderkey % 3 <> 0 then o_orderkey % 7 end::int as priority, o_orderstatus as status from orders""")
+def append_serial(t):
+    """Ids stay dense over appends, and a batch that is sent again adds nothing."""
+    return _appended(t).read()
+
+
+@query("""select case when o_orderkey % 2 = 0 then 'even' else 'odd' end as batch, (o_orderkey % 4)::varchar as file, 'priority' as "column", 'x' || o_orderkey as value from orders where o_orderkey % 3 = 0""")
+def append_rejected(t):
+    return _appended(t).rejected().drop("row")
