@@ -139,7 +139,9 @@ def fit_logistic(rows: DataFrame, y: str, xs: Sequence[str], by: str | None = No
                 b = at[g]
                 pull = (df + 1) / (df * scales**2 + b**2)
                 loss -= (df + 1) / 2 * float(np.log1p(b**2 / (df * scales**2)).sum())
-                gradient, information = gradient - pull * b, information + np.diag(pull)
+                # the prior's own curvature, where it is not flat or bent the other way: steps of Newton, not of EM
+                bend = (df + 1) * (df * scales**2 - b**2) / (df * scales**2 + b**2) ** 2
+                gradient, information = gradient - pull * b, information + np.diag(np.where(bend > 0, bend, pull))
             out[g] = (loss, gradient, information)
         return out
 
@@ -191,7 +193,7 @@ def fit_ordered(rows: DataFrame, y: str, xs: Sequence[str], levels: int, by: str
             out[g] = (loss, gradient, info)
         return out
 
-    found = _newton(evaluate, begin, rounds, "fit_ordered")
+    found = _newton(evaluate, begin, rounds, "fit_ordered", 1e-11)
     return {g: Fit(b, np.linalg.pinv(i), int(sum(counts[g]))) for g, (b, (_, _, i)) in found.items()}
 
 
