@@ -95,8 +95,9 @@ def projection(size: int, dims: int = DIMS) -> np.ndarray:
 
 def point(ids: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """The projection of the counts of the ids, by their norm: of unit spread whatever the length and the repeats."""
-    _, counts = np.unique(ids, return_counts=True)
-    return signs[ids].sum(axis=0, dtype=np.float64) / np.sqrt(float((counts.astype(np.float64) ** 2).sum()))
+    in_order = np.sort(ids)  # by radix for 16-bit ids
+    counts = np.diff(np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1], [True]]))).astype(np.float64)
+    return np.array([axis[ids].sum() for axis in signs]) / np.sqrt(counts @ counts)
 
 
 def axis_cuts(rows: DataFrame) -> list[np.ndarray]:
@@ -156,7 +157,7 @@ def tokenized(docs: DataFrame, path: str, ranks_path: str | None = None, pattern
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tok = _tokens(path, ranks_path, pattern)
         word = "<u2" if tok.size <= 1 << 16 else "<u4"
-        signs = projection(tok.size)
+        signs = np.ascontiguousarray(projection(tok.size).T)  # an axis each
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
