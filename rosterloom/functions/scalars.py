@@ -108,6 +108,37 @@ def name_key(*parts: Column) -> Column:
     return F.soundex(F.replace(joined, F.lit(" "), F.lit("")))
 
 
+#: Metaphone as rewriting steps, in order: letters not yet read are upper case, sounds written are lower case or 0.
+#: No step looks back or ahead, so any regular-expression engine can run them.
+METAPHONE = (
+    ("^AE", "E"), ("^[GKP]N", "N"), ("^WR", "R"), ("^WH", "W"), ("^X", "s"), ("MB$", "M"),
+    ("SCH", "SK"), ("TCH", "x"), ("CIA", "xIA"), ("CH", "x"), ("SC([EIY])", r"s\1"), ("C([EIY])", r"s\1"), ("CK", "K"), ("C", "k"),
+    ("DG([EIY])", r"j\1"), ("D", "t"), ("GG+", "k"),
+    ("GH([AEIOU])", r"k\1"), ("GH$", "k"), ("GH", ""), ("G(N|NEt)$", r"\1"), ("G([EIY])", r"j\1"), ("G", "k"),
+    ("TI([AO])", r"xI\1"), ("TH", "0"), ("T", "t"), ("SI([AO])", r"xI\1"), ("SH", "x"), ("S", "s"), ("PH", "f"), ("P", "p"),
+    ("H([AEIOU])", r"h\1"), ("H", ""), ("W([AEIOU])", r"w\1"), ("Y([AEIOU])", r"y\1"), ("[WY]", ""),
+    ("[KQ]", "k"), ("V", "f"), ("X", "ks"), ("Z", "s"), ("(.)[AEIOU]+", r"\1"),
+)
+
+
+def metaphone(c: Column) -> Column:
+    """Metaphone key of a name: accents are folded, all but letters goes, letters repeated (but C and G) count once.
+
+    ``H`` sounds only before a vowel, ``0`` is the sound of ``TH``, and vowels
+    stand at the beginning only.  Null stays null; a text without a letter
+    gives an empty key.
+    """
+    out = F.regexp_replace(F.regexp_replace(F.upper(to_ascii(c)), "[^A-Z]", ""), r"([ABD-FH-Z])\1+", "$1")
+    for pattern, sound in METAPHONE:
+        out = F.regexp_replace(out, pattern, sound.replace("\\", "$"))
+    return F.upper(out)
+
+
+def metaphone_key(*parts: Column) -> Column:
+    """``metaphone`` of the sorted name parts; missing parts count as empty."""
+    return metaphone(F.array_join(F.array_sort(F.array(*[F.coalesce(p, F.lit("")) for p in parts])), ""))
+
+
 def area_code(place: Column, digits: int = 6) -> Column:
     """The leading digits of a place id of 9 or 10 digits, padded to 10."""
     return F.substring(pad_left(place, 10), 1, digits)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import area_code, speed_distance
 from .aggs import mode
-from .fuzzy import fuzzy_pairs
+from .fuzzy import near_pairs
 from .graph import materialised
 from .windows import extreme_rows, random_row, with_count
 
@@ -98,7 +98,7 @@ def resolve_places(x: DataFrame, ref: DataFrame, row: str, place: str, name: str
     refs = ref.select(F.col(id_).alias("_id"), place, F.col(name).alias("_name"), F.col(px).alias("_x"), F.col(py).alias("_y"))
     for k, (edits, digits) in enumerate(steps, 1):
         a, b = rest.withColumn("_area", area_code(F.col(place), digits)), refs.withColumn("_area", area_code(F.col(place), digits)).drop(place)
-        pairs = fuzzy_pairs(a, b, name, "_name", edits, block=["_area"])
+        pairs = near_pairs(a, b, name, "_name", edits, block=["_area"])
         # rows of one area and name share their candidates, so those are found once for all of them
         names = extreme_rows(pairs.withColumnsRenamed({"left_text": name, "right_text": "_name"}), ["_area", name], "distance")
         near = with_count(names.join(b, ["_area", "_name"]), ["_area", name], "_n").withColumn("_key", F.concat_ws("|", "_area", name))

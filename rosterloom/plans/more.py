@@ -214,6 +214,23 @@ def _soundex(joined: str) -> str:
 
 SQL["name_key"] = _soundex("select p_partkey, replace(array_to_string(list_sort([coalesce(p_name, ''), coalesce(p_brand, '')]), ''), ' ', '') as j from part")
 
+def _metaphone(text: str) -> str:
+    out = f"regexp_replace(upper({text}), '[^A-Z]', '', 'g')"
+    for letter in "ABDEFHIJKLMNOPQRSTUVWXYZ":
+        out = f"regexp_replace({out}, '{letter}+', '{letter}', 'g')"
+    for pattern, sound in scalars.METAPHONE:
+        out = f"regexp_replace({out}, '{pattern}', '{sound}', 'g')"
+    return f"upper({out})"
+
+
+@query(
+    f"""select p_partkey, {_metaphone("array_to_string(list_sort([coalesce(p_name, ''), coalesce(p_type, ''), coalesce(p_brand, '')]), '')")} as key,
+  {_metaphone("p_name")} as name_sound from part"""
+)
+def metaphone_key(t):
+    return t("part").select("p_partkey", scalars.metaphone_key(F.col("p_name"), F.col("p_type"), F.col("p_brand")).alias("key"), scalars.metaphone(F.col("p_name")).alias("name_sound"))
+
+
 SQL["substring_distance"] = """select p_partkey, (case when min(levenshtein('rimg', substr(p_name, i::int, n::int))) <= 2 then min(levenshtein('rimg', substr(p_name, i::int, n::int))) else -1 end)::int as distance
   from part, range(1, 65) s(i), range(0, 7) l(n) where i <= length(p_name) group by 1"""
 
@@ -221,6 +238,13 @@ SQL["substring_distance"] = """select p_partkey, (case when min(levenshtein('rim
 
 SQL["fuzzy_names_d2"] = "with n as (select distinct p_name as s from part) select a.s as left_text, b.s as right_text, levenshtein(a.s, b.s)::int as distance from n a, n b where levenshtein(a.s, b.s) <= 2"
 
+@query("with n as (select distinct url as s from pages where url is not null) select a.s as left_text, b.s as right_text, levenshtein(a.s, b.s)::int as distance from n a, n b where levenshtein(a.s, b.s) <= 12")
+def fuzzy_urls_d12(t):
+    """All distinct addresses against each other at a large distance, without a block."""
+    p = t("pages").select("url")
+    return fuzzy.gram_pairs(p, p, "url", "url", 12)
+
+
 # texts in row order; one with earlier neighbours leads if all of them don't
 SQL["string_clusters"] = """with recursive n as (select p_name as txt, min(p_partkey) as pos from part where p_name is not null group by 1),
   near as (select a.txt, a.pos, b.txt as other, b.pos as other_pos from n a, n b where a.txt <> b.txt and damerau_levenshtein(a.txt, b.txt) <= 2 and (b.pos, b.txt) < (a.pos, a.txt)),
