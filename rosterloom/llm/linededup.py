@@ -5,7 +5,7 @@ A *run* is a sequence of consecutive lines of one document.  A run of at least
 (in order of doc_id, then of the text's hash, then of place) and deleted at all
 later occurrences.
 
-1. Each line gets an id (a 64-bit hash).  Lines that occur once can't be part of
+1. Each line gets an id (a 128-bit hash, as two numbers).  Lines that occur once can't be part of
    a repeated run; their suffixes leave the suffix array at once.
 2. The rank of a suffix by its first line is the number of suffixes with a
    lower id.  Prefix doubling makes ranks by the first 2, 4, 8, ... lines: the
@@ -27,7 +27,8 @@ other, and rows of null doc_id and one text are one document.  A doc_id may have
 any type that has an order.  Lines without a word are not part of runs; one goes
 if the next lines with words on both sides go.  Rows equal in doc_id and text
 are one document: each gets the same result.  A very long text is a row per line
-like any other; only its own lines, and its own deletions, meet in one task.  An
+like any other; only its own lines, and its own deletions, meet in one task.
+Repeated rows of one document give its suffixes once, whatever their number.  An
 empty table gives an empty result.  Extra columns are kept; one with the name of
 a computed column gives way to it.
 """
@@ -46,6 +47,9 @@ from .common import SPACE, protected, scratch, stored
 
 MIN_WORDS = 20
 BLOCKS = 1024
+MASK = (1 << 64) - 1
+#: The two halves of a line's id.
+LINE = ["line", "line_low"]
 COMPUTED = ("lines_removed", "words_removed")
 
 
@@ -98,20 +102,23 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-            own, pos, ids, wins = [], [], [], []
+            own, pos, high, low, wins = [], [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 lines = full_lines(text)
                 own += [k] * len(lines)
                 pos += range(len(lines))
-                ids += [xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x in lines]
+                for x in lines:
+                    h = xxhash.xxh128_intdigest(x.encode())
+                    high.append((h >> 64) - (1 << 63))
+                    low.append((h & MASK) - (1 << 63))
                 wins += windows_of(np.array([n_words(x) for x in lines]), min_words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at := pa.array(own, pa.int64())), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(ids, pa.int64()), pa.array(wins, pa.list_(pa.int32()))],
-                names=["doc_id", "tie", "pos", "line", "windows"],
+                [batch.column(0).take(at := pa.array(own, pa.int64())), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(wins, pa.list_(pa.int32()))],
+                names=["doc_id", "tie", "pos", *LINE, "windows"],
             )
 
     keyed = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, pos int, line long, windows array<int>")
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, pos int, line long, line_low long, windows array<int>")
 
 
 def _ranked(classes: DataFrame, group: list[str], block, order: list[str], base) -> DataFrame:
@@ -130,11 +137,13 @@ def _ranked(classes: DataFrame, group: list[str], block, order: list[str], base)
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
-    """(doc_id, tie, pos, windows, rank) of the suffixes whose first line occurs again."""
-    classes = lines.groupBy("line").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    """(doc_id, tie, pos, windows, rank) of the suffixes whose first line occurs again, once for all repeated rows of a document."""
+    classes = lines.groupBy(*LINE).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     # ids are hashes: their leading bits cut them in even blocks
-    ranked = _ranked(classes, [], F.shiftright("line", 54), ["line"], F.lit(0))
-    return lines.join(ranked.select("line", "rank"), "line").select("doc_id", "tie", "pos", "windows", "rank")
+    ranked = _ranked(classes, [], F.shiftright("line", 54), LINE, F.lit(0))
+    found = lines.join(ranked.select(*LINE, "rank"), LINE)
+    # copies of a row are merged before the shuffle, so that they never meet in the task of their document
+    return found.groupBy("doc_id", "tie", "pos", "rank").agg(F.first("windows").alias("windows")).select("doc_id", "tie", "pos", "windows", "rank")
 
 
 def doubled(suffixes: DataFrame, step: int, total: int) -> DataFrame:
@@ -168,7 +177,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tie, runs): for each document with later copies the array of (start, length)."""
     lines = stored(lines_of(docs, min_words), "lines")
     suffixes = stored(first_ranks(lines), "suffixes-1")
-    longest, total = suffixes.agg(F.max(F.array_max("windows")), F.count(F.lit(1))).first()
+    longest, total = suffixes.agg(F.max(F.array_max("windows")), F.max("rank")).first()
     k, found = 0, later_copies(suffixes, 0)
     while longest is not None and (2 << k) <= longest:
         suffixes = stored(doubled(suffixes, 1 << k, total), f"suffixes-{2 << k}")

@@ -12,9 +12,12 @@ Native: DataFrame and SQL functions and ``pyspark.ml`` only.
   host labels, or the same first path segment (smoothed, so that an unseen
   value gives the mean).  The shares of a training URL come from the other
   folds of the training table, so the trees learn to trust a share no further
-  than it holds for new URLs.
-* ``learn`` and ``probability`` can be used apart, as ``held_out`` does: it trains
-  on a part of the labelled URLs and scores the rest.
+  than it holds for new URLs.  Each training URL comes twice, with its shares
+  and with the means in their place, each split sees a third of the features,
+  and both labels weigh the same: the lexical features have to answer too.
+* ``learn`` and ``probability`` can be used apart: ``held_out`` trains on a part of
+  the labelled URLs and scores the rest, ``rule_held_out`` trains without the URLs
+  of one rule and scores those.
 
 The statistics and the trees come from the bounded sample alone, so they hold at
 most as many values as it has rows, however many URLs are judged.
@@ -39,6 +42,8 @@ MAX_TRAIN = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
 #: URLs of the mean that a share of blocked URLs is smoothed with.
 SMOOTH = 10
+#: Features that each split of a tree may use: with all of them the shares would decide alone.
+SUBSET = "onethird"
 #: Folds of the training table for the shares of its own URLs.
 FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -162,8 +167,12 @@ def learn(train: DataFrame) -> Trees:
     mean = blocked / n
     train = train.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
     sums = {k: stored(train.groupBy(k, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")), k) for k in KEYS}
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(with_shares(train, sums, mean, own=True))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, subsamplingRate=1.0).fit(rows.select("features", "label"))
+    known = with_shares(train, sums, mean, own=True)
+    masked = known.withColumns({k.replace("k_", "f_block_"): F.lit(mean) for k in KEYS})
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(known.unionByName(masked))
+    weight = F.when(F.col("label") == 1, 0.5 / mean).otherwise(0.5 / (1 - mean)).alias("weight")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, subsamplingRate=1.0, featureSubsetStrategy=SUBSET, weightCol="weight")
+    model = trees.fit(rows.select("features", "label", weight))
     return Trees(model, names, sums, mean)
 
 
@@ -197,3 +206,10 @@ def held_out(pages: DataFrame, rules=RULES, most: int = MAX_TRAIN, folds: int =
     rows = labelled(lexical(parsed(pages, rules))[0], most)
     last = F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == folds - 1
     return probability(rows.filter(last), learn(rows.filter(~last))).select("page_id", "label", "p")
+
+
+def rule_held_out(pages: DataFrame, rule: str, rules=RULES, most: int = MAX_TRAIN) -> DataFrame:
+    """(page_id, label, p) of the labelled URLs that ``rule`` decides: the trees learn from those of the other rules."""
+    rows = labelled(lexical(parsed(pages, rules))[0], most)
+    own = F.col("rule") == rule
+    return probability(rows.filter(own), learn(rows.filter(~own))).select("page_id", "label", "p")

@@ -78,6 +78,17 @@ def test_line_dedup_of_null_ids(spark):
     assert sum(x.lines_removed == 4 for x in others) == (3 if len(first) == 2 else 4) and [x.lines_removed for x in others if x.doc_id == 7] == [1], removed
 
 
+def test_line_dedup_merges_repeated_rows_first(spark):
+    run = "\n".join(prose(8, 720 + k) for k in range(4))
+    texts = [(1, run + "\n" + prose(9, 725)), (2, prose(9, 726) + "\n" + run), (None, run)]
+    docs = spark.createDataFrame(texts * 50, "doc_id long, text string").repartition(7)
+    found = linededup.first_ranks(linededup.lines_of(docs, linededup.MIN_WORDS)).collect()
+    places = [(r.doc_id, r.tie, r.pos) for r in found]
+    assert len(places) == len(set(places)) == 4 + 1 + 1 + 4 + 4
+    got = linededup.dedup(docs).collect()
+    assert len(got) == 150 and {(x.doc_id, x.lines_removed) for x in got} == {(None, 0), (1, 4), (2, 4)}
+
+
 def test_toxicity(spark, sf_dir):
     train = spark.createDataFrame([(prose(40, k) + (" bl0ckhead" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(80)], "text string, toxic int")
     model = toxicity.learn(train)
@@ -271,6 +282,25 @@ def test_url_trees_on_held_out_urls(spark, sf_dir):
     assert len(out) >= 30 and sum((r.p >= 0.5) == (r.label == 1) for r in out) >= 0.9 * len(out)
 
 
+def test_url_trees_use_the_lexical_features(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    by_trees = [r.p_block for r in urls.judge(pages).collect() if r.p_block is not None]
+    assert len(set(by_trees)) > 10
+    # of the block rules of .net each is found from the others
+    for rule in ("net/es/", "net/fr/"):
+        out = urls.rule_held_out(pages, rule).collect()
+        assert out and all(r.label == 1 for r in out) and sum(r.p >= 0.5 for r in out) >= 0.9 * len(out)
+    # trees that never see a share still part the labels
+    rows = urls.labelled(urls.lexical(urls.parsed(pages))[0])
+    trees = urls.learn(rows)
+    names = [c for c, w in zip(trees.names, trees.model.featureImportances.toArray(), strict=True) if w > 0]
+    assert sum(not c.startswith("f_block_") for c in names) >= 5
+    blind = urls.probability(rows, trees._replace(sums={k: v.filter("false") for k, v in trees.sums.items()})).collect()
+    sides = [[r.p for r in blind if r.label == side] for side in (0, 1)]
+    pairs = [(a < b) + 0.5 * (a == b) for a in sides[0] for b in sides[1]]
+    assert sum(pairs) / len(pairs) > 0.6
+
+
 def test_quality_counts_and_model(spark, messy):
     trusted = spark.createDataFrame([(k,) for k in (0, 1, 8, 9, 12, 13)], "doc_id long")
     out = quality.judge(messy, trusted, n=512).collect()
