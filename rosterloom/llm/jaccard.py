@@ -14,9 +14,9 @@ their sets is ``THRESHOLD`` or more.
    Runs are repeated until a pair at the threshold meets with the chance
    ``RECALL``: each split lets it slip, so ``missed`` takes the deepest split
    that the data brought about.
-3. Buckets are compared by brute force in blocks of ``BLOCK`` nodes, so that a
-   bucket of any size is spread over tasks and no task holds more than two
-   blocks.  Sampled tokens rule pairs out; a pair that meets in several buckets
+3. Buckets are compared by brute force in blocks of about ``BLOCK`` nodes and
+   ``BLOCK_SHINGLES`` shingles, so that a bucket of any size, and of texts of any
+   length, is spread over tasks and no task holds more than two blocks.  Sampled tokens rule pairs out; a pair that meets in several buckets
    counts in the least of them only.
 4. Nodes with a candidate fetch their exact sets, and the same blocks count
    exact intersections.  A block returns for each node the number of texts
@@ -28,7 +28,7 @@ links.  A null doc_id is less than any other, so a class with one has it as its
 class_id.  Rows equal in doc_id and text are each returned, with equal values.  An
 empty table gives an empty result.  A doc_id may have any type that has an order;
 extra columns are not read.  A very long text is one set, held by one task at a
-time; it is compared like any other.
+time with few others; it is compared like any other.
 """
 
 from __future__ import annotations
@@ -56,6 +56,8 @@ SPLIT = 2.0
 DEPTH = 4
 LIMIT = 1000
 BLOCK = 512
+#: Shingles of a block: 16 MB of exact sets.
+BLOCK_SHINGLES = 2_000_000
 #: Equal sampled tokens under which a pair is ruled out: of pairs at the threshold 2e-8 have fewer, below what the buckets miss.
 LEAST_EQUAL = 32
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -164,7 +166,7 @@ def _paths(path: np.ndarray, place: np.ndarray, token: np.ndarray) -> np.ndarray
 
 
 def split(rows: DataFrame, runs: range | None = None) -> DataFrame:
-    """(node, tokens[, path, size]) → (path, node, parent_size): the buckets one step further; at the start those of the given runs."""
+    """(node, tokens, n[, path, size]) → (path, node, n, parent_size): the buckets one step further; at the start those of the given runs."""
     first = runs is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,24 +180,24 @@ def split(rows: DataFrame, runs: range | None = None) -> DataFrame:
                 place = np.tile(np.array(runs), len(tokens))  # a run starts with one token, as good as chosen at random
                 path = np.zeros(len(at), np.uint64)
             else:
-                own = batch.column(2).to_numpy().astype(np.int64).view(np.uint64)
+                own = batch.column(3).to_numpy().astype(np.int64).view(np.uint64)
                 at, place = np.nonzero(_chosen(own, SPLIT / TOKENS))
                 path = own[at]
             new = _paths(path, place, tokens[at, place])
-            columns = [pa.array(new.view(np.int64)), nodes.take(pa.array(at))]
-            names = ["path", "node"]
+            columns = [pa.array(new.view(np.int64)), nodes.take(pa.array(at)), batch.column(2).take(pa.array(at))]
+            names = ["path", "node", "n"]
             if not first:
-                columns.append(batch.column(3).take(pa.array(at)))
+                columns.append(batch.column(4).take(pa.array(at)))
                 names.append("parent_size")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     if first:
-        return rows.select("node", "tokens").mapInArrow(run, "path long, node binary").withColumn("parent_size", F.lit(1 << 60).cast("long"))
-    return rows.select("node", "tokens", "path", "size").mapInArrow(run, "path long, node binary, parent_size long").dropDuplicates(["path", "node"])
+        return rows.select("node", "tokens", "n").mapInArrow(run, "path long, node binary, n int").withColumn("parent_size", F.lit(1 << 60).cast("long"))
+    return rows.select("node", "tokens", "n", "path", "size").mapInArrow(run, "path long, node binary, n int, parent_size long").dropDuplicates(["path", "node"])
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(path, node, size): the buckets of two nodes or more that are compared by brute force."""
+    """(path, node, size, shingles): the buckets of two nodes or more that are compared by brute force."""
     out, splits = _run(nodes, range(RUNS))
     done = RUNS
     while missed(THRESHOLD, done, splits) > 1 - RECALL and done < TOKENS:
@@ -210,10 +212,10 @@ def _run(nodes: DataFrame, runs: range) -> tuple[DataFrame, int]:
     """The buckets of these runs, and how often the most divided were split."""
     level, out = split(nodes, runs), None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
         level = stored(level.join(sizes, "path"), f"buckets-{depth}")
         last = F.lit(depth == DEPTH) | (F.col("size") <= LIMIT) | (F.col("size") * 2 > F.col("parent_size"))
-        leaf = level.filter(last).select("path", "node", "size")
+        leaf = level.filter(last).select("path", "node", "size", "shingles")
         out = leaf if out is None else out.unionByName(leaf)
         big = level.filter(~last)
         if depth == DEPTH or big.isEmpty():
@@ -224,7 +226,7 @@ def _run(nodes: DataFrame, runs: range) -> tuple[DataFrame, int]:
 
 def _cells(rows: DataFrame) -> DataFrame:
     """Deal the nodes of each bucket to blocks, and each block to its pairs of blocks: (path, a, b, side) are the cells."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    n = F.ceil(F.least(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES), F.col("size"))).cast("int")
     own = F.pmod(F.xxhash64("node", "path"), n).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), n - 1),
@@ -408,7 +410,7 @@ def join(docs: DataFrame) -> DataFrame:
     texts = full.groupBy("node", "text_id").agg(F.min(F.struct("doc_id", "tie")).alias("at"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     nodes = stored(texts.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "nodes")
     met = buckets(nodes)
-    paths = met.groupBy("node").agg(F.collect_list(F.struct("path", "size")).alias("met"))  # some RUNS of a node
+    paths = met.groupBy("node").agg(F.collect_list(F.struct("path", "size", "shingles")).alias("met"))  # some RUNS of a node
     each = nodes.join(paths, "node").withColumn("paths", F.transform("met", lambda x: x["path"])).select("node", "n", "weight", "tokens", "paths", F.inline("met"))
     near = stored(candidates(_cells(each)), "candidates")
     wanted = near.select("node").distinct().join(nodes.select("node", "at.doc_id", "at.tie"), "node")

@@ -369,6 +369,12 @@ def test_jaccard_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "LIMIT", 20)
     assert {x.doc_id: (x.class_id, x.n_links) for x in jaccard.join(df).collect()} == want
+    # blocks by the summed size of their sets, with buckets of fewer nodes than that asks for
+    monkeypatch.setattr(jaccard, "BLOCK", 512)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
+    assert {x.doc_id: (x.class_id, x.n_links) for x in jaccard.join(df).collect()} == want
+    rows = spark.createDataFrame([(1, bytes([k]), 5, 40_000) for k in range(5)], "path long, node binary, size long, shingles long")
+    assert jaccard._cells(rows).groupBy("node").count().select("count").distinct().first()[0] == 5
 
 
 def test_jaccard_awkward_rows(messy, empty):
