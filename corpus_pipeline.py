@@ -16,7 +16,7 @@ from rosterloom.llm.queries import tokenizer_paths
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the likelihood ratio reject go."""
-    return quality.kept_documents(docs, quality.trusted_sample(table(spark, sf_dir, "labels")))
+    return quality.kept_documents(docs, quality.trusted_documents(table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

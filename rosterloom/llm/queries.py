@@ -53,7 +53,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.judge(docs.select("doc_id", "text"), quality.trusted_sample(labels)).drop("text")
+    return quality.judge(docs.select("doc_id", "text"), quality.trusted_documents(labels)).drop("text")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

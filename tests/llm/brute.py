@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+
+import xxhash
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -67,3 +71,26 @@ def jaccard_classes(docs: list[tuple], threshold: float = 0.8) -> dict:
             r = find(of[t])
             least[r] = min(d, least.get(r, d))
     return {d: (least[find(of[t])], len(links[of[t]])) if t in of else (d, 0) for d, t in docs}
+
+
+def quality_grams(text: str, n: int) -> list[int]:
+    """The buckets of a text's words and of its pairs of words, as ``quality`` hashes them."""
+    h = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    one = [h(w.encode()) for w in text.split()]
+    # of two values the hash of the first seeds that of the second
+    two = [h(b.to_bytes(8, "little"), h(a.to_bytes(8, "little"))) for a, b in zip(one, one[1:], strict=False)]
+    return [signed(x) % n for x in one + two]
+
+
+def quality_scores(docs: list[tuple], trusted: set, n: int, prior: float, left_out: bool = False) -> dict:
+    """doc_id → mean log ratio; ``left_out``: of trusted documents only, each by the target counts of the others."""
+    grams = {d: quality_grams(t, n) for d, t in docs}
+    raw, target = Counter(b for bs in grams.values() for b in bs), Counter(b for d in trusted for b in grams[d])
+    out = {}
+    for d in trusted if left_out else grams:
+        t = target - Counter(grams[d]) if left_out else target
+        sums = sum(t.values()), sum(raw.values())
+        ratio = lambda b: math.log((t[b] + 1) / (sums[0] + n)) - math.log((raw[b] + 1) / (sums[1] + n))  # noqa: E731, B023
+        out[d] = sum(map(ratio, grams[d])) / (len(grams[d]) + prior)
+    return out

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -346,6 +347,39 @@ def test_quality_score_matches_brute_force(spark):
         assert got[d] == pytest.approx(sum(ratios[b] for b in gs) / (len(gs) + quality.PRIOR), abs=1e-4)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_quality_learns_from_every_trusted_document(spark, broadcast):
+    docs = [(k, prose(25 + k % 9, k if k % 5 else 3)) for k in range(60)]
+    docs += [(60, "none " * 30), (61, ""), (62, "word")]
+    trusted, n, reject = {*range(0, 40), 61, 62}, 256, 0.1
+    df, ids = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(d,) for d in trusted], "doc_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before if broadcast else "-1")
+    try:
+        got = {r.doc_id: r for r in quality.judge(df, ids, n=n, reject=reject).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scores = brute.quality_scores(docs, trusted, n, quality.PRIOR)
+    cut = np.quantile(list(brute.quality_scores(docs, trusted, n, quality.PRIOR, left_out=True).values()), reject)
+    assert len(got) == len(docs) and len({r.threshold for r in got.values()}) == 1
+    assert got[0].threshold == pytest.approx(cut, abs=1e-6)
+    for d, score in scores.items():
+        assert got[d].score == pytest.approx(score, abs=1e-5)
+        assert got[d].kept == (not got[d].base_failed and got[d].score >= cut)
+
+
+def test_quality_trusts_every_label(spark):
+    labels = spark.range(25_000).selectExpr("id as doc_id", "cast(id % 10 > 0 as int) as quality")
+    assert quality.trusted_documents(labels).count() == 22_500
+
+
+def test_quality_of_one_trusted_document(spark):
+    """Left out, it leaves no target: its score is 0, and so is the threshold."""
+    docs = spark.createDataFrame([(k, prose(40, k)) for k in range(4)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(docs, docs.filter("doc_id = 1"), n=256).collect()}
+    assert got[1].threshold == 0.0 and got[1].kept and got[1].score > max(got[k].score for k in (0, 2, 3))
+
+
 def test_kept_documents_keep_columns(messy, empty):
     ids = messy.filter("doc_id in (0, 1, 8, 9, 12, 13)").select("doc_id")
     out = quality.kept_documents(messy, ids, n=512)
