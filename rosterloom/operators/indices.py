@@ -86,6 +86,21 @@ def latent_correlations(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     return corr
 
 
+def first_component(corr: np.ndarray) -> np.ndarray:
+    """The first eigenvector of a correlation matrix, its sum positive; where that is 0, the first weight that isn't.
+
+    Two items weigh 1 / sqrt 2 each, the second with the sign of the correlation
+    (plus if it is 0): given directly, as rounding would choose the sign.
+    """
+    if len(corr) == 2:
+        return np.array([1.0, -1.0 if corr[0, 1] < 0 else 1.0]) / math.sqrt(2)
+    vector = np.linalg.eigh(corr)[1][:, -1]
+    total = vector.sum()
+    if abs(total) < 1e-9:
+        total = vector[np.flatnonzero(np.abs(vector) > 1e-9)[0]]
+    return vector if total >= 0 else -vector
+
+
 def component_index(df: DataFrame, names: Sequence[str], out: str = "index", latent: bool = False) -> DataFrame:
     """The first principal component of ordinal items: sum of weights × standardised items.
 
@@ -104,8 +119,7 @@ def component_index(df: DataFrame, names: Sequence[str], out: str = "index", lat
         corr[i, j] = corr[j, i] = v / (sd[i] * sd[j]) if sd[i] * sd[j] > 0 else float(i == j)
     if latent:
         corr = latent_correlations(df, names)
-    vector = np.linalg.eigh(corr)[1][:, -1]
-    vector = vector if vector.sum() >= 0 else -vector
+    vector = first_component(corr)
     score = F.lit(0.0)
     for c, w, m, s in zip(cols, vector, mean, sd, strict=True):
         score = score + (c - float(m)) / float(s or 1.0) * float(w)

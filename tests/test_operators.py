@@ -401,6 +401,17 @@ def test_component_index(spark):
     assert np.corrcoef(got, z @ v)[0, 1] ** 2 == pytest.approx(1)
 
 
+@pytest.mark.parametrize("rows", [[(0, 0), (1, 1), (2, 2), (3, 1), (4, -3)], [(0, 3), (1, 1), (2, 2), (3, 0)], [(5, 0), (0, 5), (1, 1)]])
+def test_component_of_two_opposed_items(spark, rows):
+    """Weights sum to 0: the first item's is positive in either order."""
+    df = spark.createDataFrame([tuple(map(float, v)) for v in rows], "a double, b double")
+    x = np.array(rows, float)
+    z = (x - x.mean(0)) / x.std(0)
+    for names, want in ((["a", "b"], z[:, 0] - z[:, 1]), (["b", "a"], z[:, 1] - z[:, 0])):
+        got = {(r.a, r.b): r["index"] for r in indices.component_index(df, names).collect()}
+        assert [got[tuple(v)] for v in x] == pytest.approx(list(want / np.sqrt(2)))
+
+
 def test_chained_imputation(spark):
     r = np.random.default_rng(3)
     rows = [(k, None if k % 5 == 0 else float(k), float(2 * k + r.normal()), None if k % 7 == 0 else float(-k + r.normal())) for k in range(150)]
