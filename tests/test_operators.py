@@ -270,6 +270,46 @@ def test_cluster_strings_leaders(spark):
     assert comp.count() == len(texts) and comp.select("leader").distinct().count() <= len(set(want.values()))
 
 
+def _calls(spark, monkeypatch, most: int) -> tuple[int, int]:
+    """Rows found among 300 texts that begin alike, and pairs that are left to the distance."""
+    r = random.Random(4)
+    texts = [f"Customer#000{k:06}" for k in r.sample(range(1_000_000), 299)] + ["odd one"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, most):
+        @F.udf("int")
+        def run(x, y):
+            asked.add(1)
+            return _levenshtein(x, y)
+
+        return run(a, b)
+
+    monkeypatch.setattr(fuzzy.F, "levenshtein", counted)
+    found = fuzzy.fuzzy_pairs(df, df, "s", "s", most).collect()
+    want = {(a, b) for a in texts for b in texts if _levenshtein(a, b) <= most}
+    assert len(found) == len(want) and {(x.left_text, x.right_text) for x in found} == want
+    return len(found), asked.value
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_fuzzy_pairs_try_few_pairs_of_one_beginning(spark, monkeypatch, most):
+    rows, asked = _calls(spark, monkeypatch, most)
+    assert rows >= 300 and rows <= asked < 0.12 * 300 * 300
+
+
+@pytest.mark.parametrize("transpositions", [False, True])
+def test_fuzzy_pairs_of_texts_that_begin_alike(spark, transpositions):
+    """Every pair once, also of texts that share a beginning, are shorter than it, empty or in no block."""
+    r = random.Random(8)
+    word = lambda: r.choice(["Customer#0", "Customer#", "Cus", ""]) + "".join(r.choice("01é") for _ in range(r.randint(0, 6)))
+    x, y = ([(r.choice(["u", "v", None]), word()) for _ in range(n)] + [("u", ""), ("u", None)] for n in (90, 70))
+    d = fuzzy._damerau if transpositions else _levenshtein
+    want = sorted((g, a, b, d(a, b)) for g, a in set(x) for h, b in set(y) if g is not None and g == h and a is not None and b is not None and d(a, b) <= 2)
+    left, right = spark.createDataFrame(x, "g string, a string"), spark.createDataFrame(y, "g string, b string")
+    assert sorted(tuple(p) for p in fuzzy.fuzzy_pairs(left, right, "a", "b", 2, transpositions, ["g"]).collect()) == want
+
+
 def test_fuzzy_left_join_keeps_rows(spark):
     x = spark.createDataFrame([(1, "lima"), (2, "cuzco"), (3, "xxxxxx")], "i int, n string")
     y = spark.createDataFrame([(7, "limaa"), (8, "cusco")], "j int, n string")
