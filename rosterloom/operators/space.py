@@ -105,7 +105,9 @@ def resolve_places(x: DataFrame, ref: DataFrame, row: str, place: str, name: str
         one = a.join(near.filter("_n = 1"), ["_area", name]).select(row, F.col("_id").alias(id_))
         several = near.filter("_n > 1")
         areas = footprint(several, "_key", "_x", "_y").filter(F.col("area") < most_area).select("_key")
-        pick = random_row(a.join(several.join(areas, "_key", "left_semi"), ["_area", name]), [row], ["_id"], seed).select(row, F.col("_id").alias(id_))
+        # the pick's order doesn't look at the row, so it is made once for all rows of an area and name, then among those of a row
+        best = random_row(several.join(areas, "_key", "left_semi"), ["_area", name], ["_id"], seed).select("_area", name, "_id")
+        pick = random_row(a.join(best, ["_area", name]), [row], ["_id"], seed).select(row, F.col("_id").alias(id_))
         hit = materialised(one.unionByName(pick).withColumn("step", F.lit(k)), f"places-{k}")  # the next steps read it, not what made it
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select(row), row, "left_anti")

@@ -1,5 +1,6 @@
 """Repeatable appends, interval joins of many rules, factored links, batch distances, and groups of null."""
 
+import hashlib
 import random
 
 import pytest
@@ -98,3 +99,21 @@ def test_place_steps_keep_the_plan_short(spark):
     out = space.resolve_places(x, ref, "row", "place", "name", "id", "px", "py")
     assert sorted((r.row, r.id) for r in out.collect()) == [(1, 10), (2, 11)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
+
+
+def test_places_of_one_name_are_not_multiplied(spark, monkeypatch):
+    """40 rows and 30 candidates of one area and name: one pick for all of them, not 1,200 rows to pick from."""
+    x = spark.createDataFrame([(k, f"0101{k:06}", "santa rosa") for k in range(40)] + [(7, "0202000000", "villa")], "row int, place string, name string")
+    ref = spark.createDataFrame([(k, f"0101{k:06}", "santa rosa", 0.0, k / 10) for k in range(100, 130)] + [(k, "0202000000", "villa", 0.0, 1.0) for k in (1, 2)], "id int, place string, name string, px double, py double")
+    sizes, plain = [], space.random_row
+
+    def counted(df, *args):
+        sizes.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(space, "random_row", counted)
+    got = {r_.row: r_.id for r_ in space.resolve_places(x, ref, "row", "place", "name", "id", "px", "py", steps=((1, 4),)).collect()}
+    first = lambda ids: min(ids, key=lambda k: hashlib.md5(f"1:{k}".encode()).hexdigest())
+    # row 7 stands in two places: it is picked for from the candidates of both
+    assert got == {k: first([*range(100, 130), 1, 2] if k == 7 else range(100, 130)) for k in range(40)}
+    assert max(sizes) <= 41
