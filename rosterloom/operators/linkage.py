@@ -13,6 +13,9 @@ from .graph import materialised
 from .windows import by_group_size, first_row
 
 
+#: Rows of base and of ``a`` whose links ``link_three`` makes in one task.
+CELL = 256
+
 #: Takes the joined rows of both sides and keeps those that are links.
 Accept = Callable[[DataFrame], DataFrame]
 
@@ -74,13 +77,39 @@ def link_three(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str],
 
     ``pairs_per_key`` tells how far a common key blows up.  By default no key is
     left out; ``most_pairs`` leaves out those that ``common_keys`` lists.
+
+    The last join makes the rows, and nothing moves or sorts them after it:
+    ``pairs_per_key`` is counted from the members of each key.  The rows of a
+    common key are made in cells of ``CELL`` by ``CELL`` rows of base and ``a``,
+    spread over tasks.
     """
+    keys = list(keys)
+    known = lambda t, names: t.filter(reduce(lambda p, q: p & q, [F.col(n).isNotNull() for n in names]))
     if most_pairs is not None:
-        base = base.join(common_keys(base, a, b, keys, most_pairs), list(keys), "left_anti")
-    x = base.select(base_id, *keys).join(a.select(a_id, *keys), list(keys)).select(base_id, a_id, *keys)
-    y = base.select(base_id, *keys).join(b.select(b_id, *keys), list(keys)).select(base_id, b_id)
-    out = x.join(y, base_id)
-    return out.withColumn("pairs_per_key", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        base = base.join(common_keys(base, a, b, keys, most_pairs), keys, "left_anti")
+    a, b = known(a.select(a_id, *keys), keys), known(b.select(b_id, *keys), keys)
+    rows = known(base, [base_id, *keys]).groupBy(base_id, *keys).agg(F.count(F.lit(1)).alias("_times"))
+    n_a, n_b = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for t, n in ((a, "_n_a"), (b, "_n_b")))
+    links = rows.join(n_b, keys, "left").groupBy(base_id).agg(F.sum(F.col("_times") * F.col("_n_b")).alias("_links"), F.count(F.lit(1)).alias("_sets"))
+    rows = rows.join(links, base_id)
+    cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    facts = rows.join(n_a, keys).groupBy(*keys).agg(F.sum(F.col("_times") * F.col("_n_a") * F.col("_links")).alias("pairs_per_key"), F.count(F.lit(1)).alias("_n_base"), F.max("_n_a").alias("_n_a"))
+    facts = facts.filter("pairs_per_key > 0").select(*keys, "pairs_per_key", cells("_n_base").alias("_is"), cells("_n_a").alias("_js"))
+    copied = lambda t, n: t.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).drop("_copy")
+    one = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # rows are few and links many, so they are spread by number, not by size
+    tasks, cell = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "_i", "_j"]
+    placed = lambda t, i, j: t.withColumn("_i", i).withColumn("_j", j).drop("_is", "_js").repartition(tasks, *cell)
+    single = copied(rows.filter("_sets = 1").join(facts, keys), F.col("_times") * F.col("_times")).select(base_id, *keys, "pairs_per_key", "_is", "_js")
+    sides = placed(single, one(base_id, "_is"), every("_js")), *[placed(t.join(facts.drop("pairs_per_key"), keys), every("_is"), j) for t, j in ((a, one(a_id, "_js")), (b, every("_js")))]
+    names = [base_id, a_id, *keys, b_id, "pairs_per_key"]
+    out = sides[0].join(sides[1], cell).join(sides[2], cell).select(*names)
+    # an id that stands on several keys links the partners of one with those of another
+    several = rows.filter("_sets > 1").select(base_id, *keys, "_times")
+    y = several.join(b, keys).select(base_id, b_id, F.col("_times").alias("_times2"))
+    x = several.join(facts.select(*keys, "pairs_per_key"), keys).join(a, keys)
+    return out.unionByName(copied(x.join(y, base_id), F.col("_times") * F.col("_times2")).select(*names))
 
 
 def link_three_counts(base: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -535,6 +535,22 @@ def test_link_three_leaves_out_common_keys_only_if_asked(spark):
     assert values(linkage.link_three(base, a, b, ["n"], "i", "j", "k", most_pairs=10), "i", "j", "k") == [(99, 99, 99)]
 
 
+def test_link_three_of_repeated_ids_and_common_keys(spark, monkeypatch):
+    """As the plain joins, with ids that stand on several keys, repeated rows and nulls; no link is moved after it is made."""
+    monkeypatch.setattr(linkage, "CELL", 3)
+    r = random.Random(3)
+    rows = lambda n, ids: [(r.choice([*range(ids), None]), r.choice(["u", "u", "v", "w", None]), r.choice([1, 1, 2])) for _ in range(n)]
+    base, a, b = rows(40, 25), rows(20, 30), rows(15, 30)
+    x = [(i, j, n, s) for i, n, s in base for j, m, t in a if n is not None and (n, s) == (m, t)]
+    y = [(i, j) for i, n, s in base for j, m, t in b if n is not None and (n, s) == (m, t)]
+    cube = [(i, j, k, n, s) for i, j, n, s in x for h, k in y if i is not None and i == h]
+    per = {g: sum(c[3:] == g for c in cube) for g in {c[3:] for c in cube}}
+    sides = (spark.createDataFrame(t, f"{i} int, n string, s int") for t, i in ((base, "i"), (a, "j"), (b, "k")))
+    out = linkage.link_three(*sides, ["n", "s"], "i", "j", "k")
+    assert out.columns == ["i", "j", "n", "s", "k", "pairs_per_key"] and "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((tuple(o) for o in out.collect()), key=repr) == sorted(((i, j, n, s, k, per[n, s]) for i, j, k, n, s in cube), key=repr)
+
+
 def test_added_level(spark):
     got = [one(spark, linkage.added_level(F.col("v"), F.col("i"), F.col("d")), v=1, i=i, d=d) for i, d in ((1, 4), (2, 2), (2, 5), (3, 1), (4, 3), (4, 4), (5, 1), (5, 3), (5, 5), (6, 1), (2, 1), (9, 1))]
     assert got == [1, 3, 4, 1, 4, 5, 5, 6, 7, 3, None, None]
