@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -197,12 +198,46 @@ def best_candidate(df: DataFrame, id_: str, order: Sequence[Column], accept: Col
     return first_row(df, [id_], order, accept)
 
 
-def cascade(base: DataFrame, other: DataFrame, base_id: str, other_id: str, stages: Sequence[Sequence[str]], accept: Accept | Sequence[Accept | None] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Nearest:
+    """A rule of ``cascade``: a pair is linked if each is the other's nearest by a number, the least id of equals."""
+
+    value: str
+    other_value: str
+
+
+def nearest_partners(x: DataFrame, y: DataFrame, keys: Sequence[str], x_id: str, y_id: str, value: str, other_value: str) -> DataFrame:
+    """(x id, y id, _far): for each x id its nearest y of its keys, ties by the least y id; no pairs are made.
+
+    The nearest of a value is the next lower or equal one or the next higher
+    one, so each distinct (keys, value) is placed between the others' distinct
+    values of its keys, with the least id of each.  (A key's distinct values, not
+    its rows, are sorted in one task.)  Whole numbers are compared
+    exactly; of floats whose distances round to the same the nearer one counts.
+    Rows without a key or value are nobody's partner.
+    """
+    keys = list(keys)
+    asked = x.select(*keys, F.col(value).alias("_v")).filter("_v is not null").distinct()
+    given = y.filter(F.col(other_value).isNotNull()).groupBy(*keys, F.col(other_value).alias("_v")).agg(F.min(y_id).alias("_id"))
+    both = asked.withColumn("_own", F.lit(None).cast(given.schema["_id"].dataType)).unionByName(given.withColumnRenamed("_id", "_own"))
+    both = both.groupBy(*keys, "_v").agg(F.max("_own").alias("_own"))
+    w = Window.partitionBy(*keys).orderBy("_v")
+    held = F.when(F.col("_own").isNotNull(), F.struct(F.col("_v").alias("v"), F.col("_own").alias("id")))
+    low = F.last(held, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.first(held, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}.v")).alias("far"), F.col(f"{c}.id").alias("id")))
+    near = both.withColumns({"_low": low, "_high": high}).select(*keys, F.col("_v").alias(value), F.least(far("_low"), far("_high")).alias("_near")).filter("_near is not null")
+    # an id that stands in several rows takes the nearest of all of them
+    return x.select(x_id, *keys, value).join(near, [*keys, value]).groupBy(x_id).agg(F.min("_near").alias("_near")).select(x_id, F.col("_near.id").alias(y_id), F.col("_near.far").alias("_far"))
+
+
+def cascade(base: DataFrame, other: DataFrame, base_id: str, other_id: str, stages: Sequence[Sequence[str]], accept: Accept | Nearest | Sequence[Accept | Nearest | None] | None = None) -> DataFrame:
     """Links by ever looser keys: (base id, other id, filter_stage).
 
     Each stage takes only ids that no earlier one linked, and links keys that
     are unique on both sides, or the rows of the joined sides that ``accept``
-    keeps: one rule for all stages, or one (or None) for each.  Results are
+    keeps: one rule for all stages, or one (or None) for each.  A rule that takes
+    joined rows makes all pairs of a key; ``Nearest`` makes none.  Results are
     written stage by stage.
     """
     rules = list(accept) if isinstance(accept, (list, tuple)) else [accept] * len(stages)
@@ -213,7 +248,11 @@ def cascade(base: DataFrame, other: DataFrame, base_id: str, other_id: str, stag
             x, y = x.join(done.select(base_id), base_id, "left_anti"), y.join(done.select(other_id), other_id, "left_anti")
         x, y = x.dropna(subset=list(keys)), y.dropna(subset=list(keys))
         rule = rules[k - 1]
-        pairs = rule(x.join(y, list(keys))) if rule else by_group_size(x, keys).select(base_id, *keys).join(by_group_size(y, keys).select(other_id, *keys), list(keys))
+        if isinstance(rule, Nearest):
+            ways = nearest_partners(x, y, keys, base_id, other_id, rule.value, rule.other_value), nearest_partners(y, x, keys, other_id, base_id, rule.other_value, rule.value)
+            pairs = ways[0].join(ways[1], [base_id, other_id])
+        else:
+            pairs = rule(x.join(y, list(keys))) if rule else by_group_size(x, keys).select(base_id, *keys).join(by_group_size(y, keys).select(other_id, *keys), list(keys))
         found = pairs.select(base_id, other_id, F.lit(k).alias("filter_stage"))
         done = materialised(found if done is None else done.unionByName(found), f"cascade-{k}")
     return done

@@ -438,17 +438,9 @@ def common_keys(t):
   select * from s1 union all select * from s2""")
 def cascade_rules(t):
     """Stages with rules of their own: unique keys first, then the nearest on both sides."""
-    from pyspark.sql import Window
-
     p = t("part").select("p_partkey", F.col("p_name").alias("n"), F.col("p_brand").alias("b"), F.col("p_size").alias("s"))
     x, y = p.filter("s <= 25").withColumnRenamed("p_partkey", "xid"), p.filter("s > 25").withColumnsRenamed({"p_partkey": "yid", "s": "s2"})
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        far = F.abs(F.col("s") - F.col("s2"))
-        place = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy(far, other))
-        return pairs.withColumns({"rx": place("xid", "yid"), "ry": place("yid", "xid")}).filter("rx = 1 and ry = 1")
-
-    return linkage.cascade(x, y, "xid", "yid", [["n", "b"], ["n"]], accept=[None, nearest])
+    return linkage.cascade(x, y, "xid", "yid", [["n", "b"], ["n"]], accept=[None, linkage.Nearest("s", "s2")])
 
 
 @query(f"""with p as (select user_id, day, n::double as y, treated from {_PANEL}) select round(avg(y) filter (treated = 1) - avg(y) filter (treated = 0), 8) as gap, count(*) as n from p""")

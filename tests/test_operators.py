@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import recode, scalars
 from rosterloom.operators import aggs, checks, estimate, fuzzy, graph, indices, joins, linkage, panel, reshape, space, windows
-from rosterloom.plans import catalog
+from rosterloom.plans import catalog, more  # noqa: F401  (more adds its queries)
 
 D = dt.date
 
@@ -527,6 +527,26 @@ def test_cascade_rules_by_stage(spark):
     assert values(linkage.cascade(a, b, "l", "r", [["n"]], accept=near), "l", "r") == [(1, 10), (2, 12), (3, 11)]
 
 
+def test_cascade_links_the_nearest_of_both_sides(spark, tmp_path):
+    """As the rule over all pairs of a name says, ties by the least id; a table of one name makes no pairs."""
+    r = random.Random(12)
+    a = [(k, r.choice(["u", "v", None]), r.choice([*range(0, 40, 3), None])) for k in r.sample(range(1000), 60)]
+    b = [(k, r.choice(["u", "v", "w"]), r.choice([*range(0, 60, 4), None])) for k in r.sample(range(1000), 50)]
+
+    def mutual(a, b):
+        near = {(i, j): abs(s - t) for i, n, s in a for j, m, t in b if n is not None and n == m and s is not None and t is not None}
+        first = lambda own, other: {i: min((d, p[other]) for p, d in near.items() if p[own] == i)[1] for i in {p[own] for p in near}}
+        x, y = first(0, 1), first(1, 0)
+        return sorted(((i, j, 1) for i, j in x.items() if y[j] == i), key=repr)
+
+    left, right = spark.createDataFrame(a, "l int, n string, s int"), spark.createDataFrame(b, "r int, n string, t int")
+    assert mutual(a, b) and values(linkage.cascade(left, right, "l", "r", [["n"]], accept=linkage.Nearest("s", "t")), "l", "r", "filter_stage") == mutual(a, b)
+    # 60,000 rows of one name: 900 million pairs
+    many = spark.range(60_000).selectExpr("id as p_partkey", "'bolt' as p_name", "'b' as p_brand", "cast(id % 50 + 1 as int) as p_size")
+    many.write.parquet(f"{tmp_path}/part.parquet")
+    assert values(catalog.QUERIES["cascade_rules"](spark, str(tmp_path)), "xid", "yid", "filter_stage") == [(24, 25, 2)]
+
+
 def test_link_three_leaves_out_common_keys_only_if_asked(spark):
     t = lambda k, n: spark.createDataFrame([(i, "common") for i in range(n)] + [(99, "rare")], f"{k} int, n string")
     base, a, b = t("i", 4), t("j", 3), t("k", 2)
