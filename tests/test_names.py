@@ -82,6 +82,33 @@ def test_gram_pairs_try_few_pairs(spark):
     assert 300 <= asked.value < 0.02 * 300 * 300
 
 
+def test_texts_that_are_all_alike_are_compared_without_pieces(spark, monkeypatch):
+    """Addresses meet several times for each pair there is: no sets of pieces are built for the pairs."""
+    r = random.Random(3)
+    urls = [f"http{r.choice(['', 's'])}://{r.choice(['www.', 'm.', ''])}th{r.choice(['an', 'ering', 'st'])}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de'])}/{r.randrange(10**5)}{r.choice(['', '#top', '?page=2&ref=x'])}" for _ in range(120)]
+    df = spark.createDataFrame([(u,) for u in [*urls, None]], "s string")
+    monkeypatch.setattr(fuzzy, "TILE", 50)
+    monkeypatch.setattr(fuzzy.F, "array_intersect", lambda *_: pytest.fail("pairs are made by pieces"))
+    got = sorted(tuple(p) for p in fuzzy.gram_pairs(df, df, "s", "s", 12).collect())
+    assert got == sorted((a, b, _levenshtein(a, b)) for a in set(urls) for b in set(urls) if _levenshtein(a, b) <= 12)
+
+
+@pytest.mark.parametrize(("most", "transpositions"), [(5, False), (12, False), (6, True)])
+def test_tiles_equal_brute_force(spark, monkeypatch, most, transpositions):
+    """Blocks, nulls, empty texts, texts around and over 64 letters, letters of four bytes."""
+    monkeypatch.setattr(fuzzy, "DENSE", -1.0)
+    monkeypatch.setattr(fuzzy, "TILE", 20)
+    monkeypatch.setattr(fuzzy, "AT_ONCE", 100)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abé😀") for _ in range(r.choice([0, 3, 7, 30, 62, 64, 66, 70])))
+    x = [(r.choice("uv"), word()) for _ in range(50)] + [("u", None), ("w", "a")]
+    y = [(g, t[:3] + t[5:] + "ab") for g, t in x[:50]] + [(r.choice("uv"), word()) for _ in range(20)] + [("u", None), (None, "a")]
+    d = fuzzy._damerau if transpositions else _levenshtein
+    want = sorted((g, a, b, d(a, b)) for g, a in set(x) for h, b in set(y) if g == h and a is not None and b is not None and d(a, b) <= most)
+    left, right = spark.createDataFrame(x, "g string, a string"), spark.createDataFrame(y, "g string, b string")
+    assert sorted(tuple(p) for p in fuzzy.gram_pairs(left, right, "a", "b", most, transpositions, ["g"]).collect()) == want
+
+
 def test_fuzzy_left_join_at_a_large_distance(spark):
     x = spark.createDataFrame([(1, "comunidad campesina de san pedro de cachora"), (2, "q"), (3, None)], "i int, n string")
     y = spark.createDataFrame([(7, "cc san pedro de cachora"), (8, "san pedro de cachora, comunidad"), (9, "comunidad campesina san pedro cachora")], "j int, n string")
